@@ -7,10 +7,11 @@
 2. Documents with equal fingerprints form one class, represented by its smallest id.  All that follows sees classes.
 3. Signatures are cut into bands; classes that share a band's value are candidates.  The defaults (32 bands of 5) miss a
    pair of similarity 0.85 with probability 7e-9.
-4. A bucket is not expanded into pairs.  First each bucket's smallest class is compared with its other members (a
-   star), on full sets; union-find merges what is linked.  Then only pairs of a bucket that still lie in different
-   components, and whose sizes allow the similarity, are compared.  Pairs inside one component can't change a group, so
-   leaving them out loses nothing; no other pair is left out and nothing is capped.
+4. A bucket is not expanded into pairs.  First each bucket's most central class is compared with its other members (a
+   star), on full sets; union-find merges what is linked.  Then the classes of buckets that still hold several
+   components are joined on the rare elements that similar sets must share (an exact prefix filter), and only pairs in
+   different components are compared.  Pairs inside one component can't change a group, so leaving them out loses
+   nothing; no other pair is left out and nothing is capped.
 5. Union-find runs as rounds of joins over an edge table (hook to the smallest neighbour, compress), never on the driver.
 
 Intermediate tables lie in the shared checkpoint folder.  Aggregations of buckets combine on the map side, so a bucket
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm._blocks import U64, RangeHash, byte_blocks, splitmix64, text_column, words_of
@@ -158,8 +159,8 @@ def _sets(docs: DataFrame, params: NearDupParams) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
+    with_b = pairs.hint("merge").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), "b")
+    both = with_b.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
     shared = F.size(F.array_intersect("ea", "eb"))
     return both.select("a", "b", shared.alias("shared"), (F.size("ea") + F.size("eb")).alias("total")).where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("total") - F.col("shared"))).select("a", "b")
 
@@ -191,6 +192,28 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def _cross_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of the classes ``rest`` (rep, n, root) that can be similar enough and lies in two components.
+
+    The prefix filter of set-similarity joins, which is exact: order elements from rare to common; a set of n elements
+    shares at least ceil(percent * n / 100) of them with any similar set, so two similar sets share one of their first
+    n - that + 1.  Elements of one class alone count in the order but can't be shared, so they never become rows.
+    """
+    own = sets.hint("merge").join(rest.select(F.col("rep").alias("doc_id"), "n", "root"), "doc_id").select("doc_id", "n", "root", F.explode("elements").alias("e"))
+    common = own.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("c > 1")
+    held = own.hint("merge").join(common, "e").select("doc_id", "n", "root", "e", "c", (F.col("lo") != F.col("hi")).alias("mixed"))
+    by_doc = Window.partitionBy("doc_id")
+    ranked = held.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("c", "e")))
+    needed = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    prefix = ranked.where((F.col("alone") + F.col("r") <= needed) & F.col("mixed")).select("e", F.col("doc_id").alias("rep"), "n", "root")
+    prefix = materialise(prefix, "prefix")
+    mixed = prefix.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("e")
+    live = prefix.hint("merge").join(mixed, "e")
+    a, b = (live.select("e", *(F.col(c).alias(c + s) for c in ("rep", "n", "root"))) for s in "ab")
+    fits = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (F.col("roota") != F.col("rootb")) & (F.col("repa") < F.col("repb"))
+    return a.hint("merge").join(b, "e").where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -200,25 +223,30 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), do
 
     reps = materialise(classes, "classes")
     banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("who2")).where("members > 1")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("who2")).where("members > 1")
     # Bands with the same members make one bucket.
-    buckets = materialise(buckets.groupBy("members", "leader", "who", "who2").agg(F.min("key").alias("key")).select("key", "leader"), "buckets")
-    members = materialise(banded.join(buckets, "key").select("key", "leader", "rep", "n"), "members")
+    buckets = materialise(buckets.groupBy("members", "who", "who2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("bands")).select("key", ((F.col("members") - 1) * F.col("bands")).alias("weight")), "buckets")
+    joined = banded.hint("merge").join(buckets, "key").select("key", "rep", "n", "weight")
+    # The class that meets most others is the middle of a group of copies: it leads its buckets.
+    joined = materialise(joined, "joined")
+    central = joined.groupBy("rep").agg(F.sum("weight").alias("weight"))
+    scored = joined.drop("weight").hint("merge").join(central, "rep")
+    leaders = scored.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader"))
+    members = materialise(scored.hint("merge").join(leaders, "key").select("key", "leader", "rep", "n"), "members")
+    discard(joined)
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     # One row of text per id even where rows repeat.
-    sets = materialise(_sets(narrow.join(involved, "doc_id"), params).groupBy("doc_id").agg(F.first("elements").alias("elements")), "sets")
+    texts = narrow.hint("merge").join(involved, "doc_id").dropDuplicates(["doc_id"])
+    sets = materialise(_sets(texts, params), "sets")
 
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(verify(star, sets, params.percent), "links")
     roots = union_find(links)
 
-    where = members.join(roots, members["rep"] == roots["node"], "left").select("key", "leader", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    where = members.hint("merge").join(roots, members["rep"] == roots["node"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     mixed = where.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(where.join(mixed, "key"), "rest")
-    a, b = (rest.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "root", "leader"))) for s in "ab")
-    fits = (F.lit(100) * F.least("na", "nb") >= F.lit(params.percent) * F.greatest("na", "nb")) & (F.col("roota") != F.col("rootb")) & (F.col("repa") < F.col("repb")) & (F.col("repa") != F.col("leadera"))
-    cross = a.join(b, "key").where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
-    more = materialise(verify(cross, sets, params.percent), "links")
+    rest = where.hint("merge").join(mixed, "key").select("rep", "n", "root").distinct()
+    more = materialise(verify(_cross_pairs(rest, sets, params.percent), sets, params.percent), "links")
     if not more.isEmpty():
         roots = union_find(links.union(more))
 
