@@ -198,6 +198,7 @@ def _cross_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The prefix filter of set-similarity joins, which is exact: order elements from rare to common; a set of n elements
     shares at least ceil(percent * n / 100) of them with any similar set, so two similar sets share one of their first
     n - that + 1.  Elements of one class alone count in the order but can't be shared, so they never become rows.
+    The places of a shared element bound the overlap further.
     """
     own = sets.hint("merge").join(rest.select(F.col("rep").alias("doc_id"), "n", "root"), "doc_id").select("doc_id", "n", "root", F.explode("elements").alias("e"))
     common = own.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("c > 1")
@@ -205,12 +206,14 @@ def _cross_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     by_doc = Window.partitionBy("doc_id")
     ranked = held.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("c", "e")))
     needed = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
-    prefix = ranked.where((F.col("alone") + F.col("r") <= needed) & F.col("mixed")).select("e", F.col("doc_id").alias("rep"), "n", "root")
+    prefix = ranked.withColumn("place", F.col("alone") + F.col("r")).where((F.col("place") <= needed) & F.col("mixed")).select("e", F.col("doc_id").alias("rep"), "n", "root", "place")
     prefix = materialise(prefix, "prefix")
     mixed = prefix.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("e")
     live = prefix.hint("merge").join(mixed, "e")
-    a, b = (live.select("e", *(F.col(c).alias(c + s) for c in ("rep", "n", "root"))) for s in "ab")
-    fits = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (F.col("roota") != F.col("rootb")) & (F.col("repa") < F.col("repb"))
+    a, b = (live.select("e", *(F.col(c).alias(c + s) for c in ("rep", "n", "root", "place"))) for s in "ab")
+    # If e is the first element they share, they share at most it and what comes after it in the shorter rest.
+    reach = F.expr(f"1 + least(na - placea, nb - placeb) >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    fits = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & reach & (F.col("roota") != F.col("rootb")) & (F.col("repa") < F.col("repb"))
     return a.hint("merge").join(b, "e").where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
 
 
