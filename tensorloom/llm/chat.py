@@ -97,10 +97,14 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     rounds = max(1, math.ceil(math.log2(max(2, largest))))
     here = links.select("tree", "node", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("depth"), F.array("parent").alias("jumps"))
     for k in range(rounds + 1):
+        live = here.where("up IS NOT NULL")
+        if live.isEmpty():
+            break
         above = here.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
-        met = here.hint("merge").join(above, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left")
-        # Only the last round's pointers can still be set: then they go round a cycle.
-        new = materialise(met.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.concat("jumps", F.array("up2")).alias("jumps")), "pointers")
+        met = live.hint("merge").join(above, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left")
+        moved = met.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.concat("jumps", F.array("up2")).alias("jumps"))
+        # Pointers that are still set after the last round go round a cycle.
+        new = materialise(here.where("up IS NULL").union(moved), "pointers")
         discard(here)
         here = new
     rooted = here.where("up IS NULL")
@@ -111,11 +115,11 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     # Each row stands for ``span`` messages that end at ``node``; it is split until it stands for one.
     row = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("depth").alias("span"), (F.col("depth") - 1).alias("place"))
     jumps = here.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "jumps")
-    for k in range(rounds, -1, -1):
+    for k in range(rounds - 1, -1, -1):
         step = 1 << k
         met = row.hint("merge").join(jumps, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))
         near = F.struct("node", F.least("span", F.lit(step)).alias("span"), "place")
-        far = F.struct(F.element_at("jumps", k + 1).alias("node"), (F.col("span") - step).alias("span"), (F.col("place") - step).alias("place"))
+        far = F.struct(F.get("jumps", F.lit(k)).alias("node"), (F.col("span") - step).alias("span"), (F.col("place") - step).alias("place"))
         row = met.select("tree", "leaf", "rank", F.explode(F.when(F.col("span") > step, F.array(near, far)).otherwise(F.array(near))).alias("x")).select("tree", "leaf", "rank", "x.*")
     return row.select("tree", "leaf", "rank", "place", "node")
 
