@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from tensorloom.llm._shared import materialise
 
 #: Entries after which a worker's table of words is emptied; it only saves time.
-TABLE_LIMIT = 800_000
+TABLE_LIMIT = 1_500_000
 #: White space on which this tokenizer's library and ``str.split`` agree; texts with other white space take the slow way.
 _ODD = "\x1c\x1d\x1e\x1f"
 
