@@ -115,22 +115,21 @@ def fit(rows: list[tuple[int, str]], params: ToxicityParams = ToxicityParams())
     """A model from (label, text) pairs; None unless both labels occur with words."""
     texts = pa.array([text for _, text in rows], pa.large_string())
     label = np.array([y for y, _ in rows])
-    places, buckets, los, his, owners, base, n_rows = [], [], [], [], [], 0, 0
+    buckets, los, his, owners, base, n_rows = [], [], [], [], 0, 0
     for _, _, data, offsets in byte_blocks(lowered(texts)) if len(rows) else ():
-        found, start, end, first, n = _features(data, offsets, params)
+        found, start, end, first, _ = _features(data, offsets, params)
         row, lo, hi = _windows(start, end, first, params)
         place = np.concatenate([at for at, _ in found])
         order = np.argsort(place, kind="stable")
-        places.append(place[order] + base)
+        place = place[order]
         buckets.append(np.concatenate([b for _, b in found])[order])
-        los.append(lo + base), his.append(hi + base), owners.append(row + n_rows)
-        base, n_rows = base + n, n_rows + len(offsets) - 1
+        los.append(np.searchsorted(place, lo) + base), his.append(np.searchsorted(place, hi) + base), owners.append(row + n_rows)
+        base, n_rows = base + len(place), n_rows + len(offsets) - 1
     owner = np.concatenate(owners) if owners else np.zeros(0, int)
     if len(set(label[np.unique(owner)].tolist())) < 2:
         return None
-    place, bucket = np.concatenate(places), np.concatenate(buckets)
-    lo, hi = np.searchsorted(place, np.concatenate(los)), np.searchsorted(place, np.concatenate(his))
-    del places, place
+    bucket, lo, hi = np.concatenate(buckets), np.concatenate(los), np.concatenate(his)
+    del buckets
     docs, first = np.unique(owner, return_index=True)
     last = np.append(first[1:], len(owner))
     y = (label[docs] == 1).astype(float)
@@ -145,29 +144,33 @@ def fit(rows: list[tuple[int, str]], params: ToxicityParams = ToxicityParams())
         if epoch < params.warm_epochs:
             a, b = lo[first], hi[last - 1]
         else:
-            sums = np.zeros(len(bucket) + 1)
-            np.cumsum((table @ (soft[:, 1] - soft[:, 0]))[bucket], out=sums[1:])
-            logit = (sums[hi] - sums[lo]) / np.maximum(hi - lo, 1)
+            slope = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+            ends = np.stack([lo, hi], 1).reshape(-1)
+            logit = np.add.reduceat(np.append(slope[bucket], np.float32(0)), ends)[::2] / np.maximum(hi - lo, 1)
             peak = np.maximum.reduceat(logit, first)
             at = np.flatnonzero(logit == np.repeat(peak, last - first))
             worst = at[np.unique(owner[at], return_index=True)[1]]
             a, b = lo[worst], hi[worst]
-        size = b - a
-        doc = np.repeat(np.arange(len(docs)), size)
-        cells = bucket[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        mean = np.stack([np.bincount(doc, table[cells, d], len(docs)) for d in range(params.dim)], 1) / np.maximum(size, 1)[:, None]
-        z = mean @ soft + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        error = (p - np.stack([1 - y, y], 1)) * weigh[:, None]
-        back = (error @ soft.T) / np.maximum(size, 1)[:, None]
-        for x, square, grad in ((soft, square_soft, mean.T @ error), (bias, square_bias, error.sum(0))):
+        grad_table, grad_soft, grad_bias = np.zeros_like(table), np.zeros_like(soft), np.zeros(2)
+        for part in range(0, len(docs), 100):  # a bounded part of the batch at a time
+            own = slice(part, part + 100)
+            size = b[own] - a[own]
+            n = len(size)
+            doc = np.repeat(np.arange(n), size)
+            cells = bucket[np.repeat(a[own] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            mean = np.stack([np.bincount(doc, table[cells, d], n) for d in range(params.dim)], 1) / np.maximum(size, 1)[:, None]
+            z = mean @ soft + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            error = (p - np.stack([1 - y[own], y[own]], 1)) * weigh[own, None]
+            back = (error @ soft.T) / np.maximum(size, 1)[:, None]
+            grad_soft += mean.T @ error
+            grad_bias += error.sum(0)
+            for d in range(params.dim):
+                grad_table[:, d] += np.bincount(cells, back[doc, d], params.buckets)
+        for x, square, grad, rate in ((soft, square_soft, grad_soft, 0.2), (bias, square_bias, grad_bias, 0.2), (table, square_table, grad_table, 1.0)):
             square += grad**2
-            x -= params.rate * 0.2 * grad / np.sqrt(square)
-        for d in range(params.dim):
-            grad = np.bincount(cells, back[doc, d], params.buckets)
-            square_table[:, d] += grad**2
-            table[:, d] -= params.rate * grad / np.sqrt(square_table[:, d])
+            x -= params.rate * rate * grad / np.sqrt(square)
     return ToxicityModel(params, (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
