@@ -30,7 +30,9 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 #: White space of Latin-1 besides the space and the line feed.
 _OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 #: Entries after which a table of words is emptied; it only saves time.
-TABLE_LIMIT = 300_000
+TABLE_LIMIT = 600_000
+#: The same for pairs of tokens known to be neighbours or not.
+PAIR_LIMIT = 1_000_000
 
 
 def _bytes_of_symbols() -> dict[str, int]:
@@ -104,7 +106,7 @@ class PrefixCounter:
                     pair = (data[j - size[j] : j], token)
                     fine = follows.get(pair)
                     if fine is None:
-                        if len(follows) >= TABLE_LIMIT:
+                        if len(follows) >= PAIR_LIMIT:
                             follows.clear()
                         fine = follows[pair] = self._merge(pair[0] + token) == [*pair]
                     if not fine:
