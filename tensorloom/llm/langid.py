@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.llm import _tables
 from tensorloom.llm._blocks import U64, byte_blocks, text_column
 from tensorloom.llm._grams import lowered, plain, rolling
 from tensorloom.llm._sample import held_out, sample_per_class, sample_texts
@@ -131,6 +132,7 @@ def identify(docs: DataFrame, model: LangIdModel | None, doc_id: str = "doc_id",
     """doc_id, held_out, lang_pred, score and rejected of every document."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tables.enter("langid")
         for batch in batches:
             if batch.num_rows:
                 langs, score, rejected = predict(text_column(batch, "text"), model)
@@ -145,6 +147,7 @@ def language_filter(docs: DataFrame, model: LangIdModel | None, text: str = "tex
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tables.enter("langid")
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(~predict(batch.column(at).cast(pa.large_string()).fill_null(""), model)[2]))

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorloom.llm import _tables
 from tensorloom.llm._blocks import U64, RangeHash, byte_blocks, splitmix64, text_column, words_of
 from tensorloom.llm._shared import discard, materialise
 
@@ -126,6 +127,7 @@ def signatures(docs: DataFrame, params: NearDupParams) -> DataFrame:
     """doc_id, n_shingles, fp1, fp2 (fingerprint of the set) and band keys of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tables.enter("neardup")
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(text_column(batch, "text")):
                 n = hi - lo
@@ -148,6 +150,7 @@ def _sets(docs: DataFrame, params: NearDupParams) -> DataFrame:
     """doc_id and its full set as an array."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tables.enter("neardup")
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(text_column(batch, "text")):
                 key, row = shingle_sets(data, offsets, params.shingle)

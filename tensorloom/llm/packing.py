@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tensorloom.llm import _tables
 from tensorloom.llm._shared import materialise
 
 #: Entries after which a worker's table of words is emptied; it only saves time.
-TABLE_LIMIT = 1_500_000
+TABLE_LIMIT = 1_300_000
 #: White space on which this tokenizer's library and ``str.split`` agree; texts with other white space take the slow way.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -107,6 +108,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds.load(tokenizer)
+        _tables.enter("words", coder.table.clear)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):

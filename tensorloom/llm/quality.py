@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tensorloom.llm import _tables
 from tensorloom.llm._blocks import U64, RangeHash, byte_blocks, splitmix64, tally, text_column, words_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -120,6 +121,7 @@ def quality_measures(docs: DataFrame, rules: QualityRules = QualityRules(), doc_
     schema = ", ".join([f"doc_id {docs.schema[doc_id].dataType.simpleString()}", *(f"{c} long" for c in longs), "base_failed boolean", "kept boolean"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tables.enter("quality")
         for batch in batches:
             if batch.num_rows:
                 found = measure(text_column(batch, "text"), rules)
@@ -133,6 +135,7 @@ def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules(), text:
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tables.enter("quality")
         for batch in batches:
             if batch.num_rows:
                 column = batch.column(at).cast(pa.large_string()).fill_null("")

@@ -147,7 +147,13 @@ class PrefixCounter:
         return total
 
     def _chunk(self, chunk: str) -> int:
-        total = sum(map(self._total, PIECES.findall(chunk)))
+        body = chunk[1:] if chunk[0] == " " else chunk
+        if body.isalpha():  # letters are one piece, and so is one sign behind them
+            total = self._total(chunk)
+        elif body[-1] in ".,!?;:" and body[:-1].isalpha():
+            total = self._total(chunk[:-1]) + 1
+        else:
+            total = sum(map(self._total, PIECES.findall(chunk)))
         if len(self.chunks) >= TABLE_LIMIT:
             self.chunks.clear()
         if len(chunk) < 200:
