@@ -46,7 +46,7 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: The classifiers, signatures, tilts and packing are beyond SQL; tests compare each stage with a brute-force version.
+#: The classifiers, signatures, tilts and packing are beyond SQL; tests compare the stages' operators with brute-force versions.
 ORACLE_SQL = None
 
 
