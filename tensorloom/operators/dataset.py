@@ -17,7 +17,7 @@ from tensorloom.operators.frame import _numbered
 
 
 def _zero(kind: str) -> Column:
-    return F.lit(None).cast(kind) if kind in ("string", "timestamp", "date") or kind.startswith("array") else F.lit(0).cast(kind)
+    return F.lit(None).cast(kind) if kind.startswith(("string", "timestamp", "date", "array", "struct", "map", "binary")) else F.lit(0).cast(kind)
 
 
 @dataclass
