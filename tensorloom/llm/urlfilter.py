@@ -3,11 +3,13 @@
 Every rule is a (host, path) string.  The array of the rules' 64-bit xxhash values is sorted and written once to a file
 in the shared folder; Spark hands the file to the executors, where each Python worker maps it into memory, so the rules
 take no memory of their own there however many they are.  A url's candidates are its host and each of its parent
-domains, joined with the prefixes of its path that have the length of some rule's path; they are probed by one
-vectorised binary search per batch, and what hits is compared with the stored full strings, so a collision can't judge.
+domains with as many labels as some rule's host, joined with the prefixes of its path that have the length of some
+rule's path; they are probed by one vectorised binary search per batch, and what hits is compared with the stored full
+strings, so a collision can't judge.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and gets the default verdict; equal urls
-get equal answers; a null page_id is carried through; without rules every url gets the default verdict.
+get equal answers; a null page_id is carried through; without rules every url gets the default verdict; of rules of
+equal length that fit one url, the first by code points counts; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -46,19 +48,20 @@ def split_url(url: str | None) -> tuple[str, str]:
 class DigestArray:
     """Sorted digests with the strings they stand for, in one buffer that can be a memory map."""
 
-    MAGIC = b"LOOMDIG1"
+    MAGIC = b"LOOMDIG2"
     _mapped: dict[str, DigestArray] = {}
 
     def __init__(self, buffer):
-        n, self.lengths_count = np.frombuffer(buffer, "<u8", 2, 8).tolist()
-        at = 24
+        n, n_lengths, n_labels = np.frombuffer(buffer, "<u8", 3, 8).tolist()
+        at = 32
         self.digests = np.frombuffer(buffer, "<u8", n, at)
         self.offsets = np.frombuffer(buffer, "<u8", n + 1, at + 8 * n)
         self.verdicts = np.frombuffer(buffer, np.uint8, n, at + 16 * n + 8)
         at += 17 * n + 8
         at += -at % 8
-        self.lengths = np.frombuffer(buffer, "<u8", self.lengths_count, at).tolist()
-        self.strings = memoryview(buffer)[at + 8 * self.lengths_count :]
+        self.lengths = np.frombuffer(buffer, "<u8", n_lengths, at).tolist()
+        self.labels = np.frombuffer(buffer, "<u8", n_labels, at + 8 * n_lengths).tolist()
+        self.strings = memoryview(buffer)[at + 8 * (n_lengths + n_labels) :]
 
     @classmethod
     def build(cls, rules: Sequence[Rule]) -> bytes:
@@ -67,10 +70,11 @@ class DigestArray:
         keyed = sorted((xxhash.xxh64_intdigest(s.encode()), s.encode(), v) for s, (_, v) in last.items())
         ends = np.cumsum([0, *(len(s) for _, s, _ in keyed)]).astype("<u8")
         lengths = np.array(sorted({len(path) for path, _ in last.values()}), "<u8")
+        labels = np.array(sorted({host.count(".") + 1 for host, _, _ in rules}), "<u8")
         out = io.BytesIO()
-        out.write(cls.MAGIC + np.array([len(keyed), len(lengths)], "<u8").tobytes())
+        out.write(cls.MAGIC + np.array([len(keyed), len(lengths), len(labels)], "<u8").tobytes())
         out.write(np.array([d for d, _, _ in keyed], "<u8").tobytes() + ends.tobytes() + bytes(v == "block" for _, _, v in keyed))
-        out.write(b"\0" * (-out.tell() % 8) + lengths.tobytes() + b"".join(s for _, s, _ in keyed))
+        out.write(b"\0" * (-out.tell() % 8) + lengths.tobytes() + labels.tobytes() + b"".join(s for _, s, _ in keyed))
         return out.getvalue()
 
     @classmethod
@@ -100,12 +104,12 @@ class DigestArray:
         return bytes(self.strings[int(self.offsets[k]) : int(self.offsets[k + 1])])
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[bytes]:
     """Every rule string that could fit, the longest first."""
     if not host:
         return []
     parts = host.split(".")
-    hosts = [".".join(parts[i:]) for i in range(len(parts))]
+    hosts = [".".join(parts[-k:]) for k in labels if k <= len(parts)]
     found = {h + path[:n] for h in hosts for n in lengths if n <= len(path)}
     return [s.encode() for s in sorted(found, key=lambda s: (-len(s), s))]
 
@@ -113,7 +117,7 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
 def judge_urls(urls: Sequence[str | None], rules: DigestArray, default: str) -> tuple[list[str], list[str], list[str | None], list[str]]:
     """Hosts, paths, rules and verdicts of some urls."""
     split = [split_url(u) for u in urls]
-    probes = [candidates(h, p, rules.lengths) for h, p in split]
+    probes = [candidates(h, p, rules.lengths, rules.labels) for h, p in split]
     hits = rules.find([k for ks in probes for k in ks])
     names: list[str | None] = []
     verdicts, at = [], 0
