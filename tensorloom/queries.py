@@ -8,10 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tensorloom.functions import rational
 from tensorloom.functions.scalar import BINARY, UNARY, cage, is_close, normal_pdf, relu, sigmoid
 from tensorloom.operators import dataset, learn, linalg, scan
 from tensorloom.operators.frame import ALL, TensorFrame
-from tensorloom.plans import expr
+from tensorloom.operators.loop import Loop
+from tensorloom.plans import elements, expr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -457,3 +459,42 @@ def svd_inverse(spark, sf_dir):
     values, _ = linalg.symmetric_eigen(gram)
     _, s, _ = linalg.svd(gram)
     return residual.unionByName(values.df.select(F.lit("eigen").alias("kind"), F.col("i0").alias("k"), _r(F.col("v"), 4).alias("v"))).unionByName(s.df.select(F.lit("singular").alias("kind"), (7 - F.col("i0")).alias("k"), _r(F.col("v"), 4).alias("v")))
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS an, 7 + p_partkey % 5 AS ad, 1 - p_partkey % 6 AS bn, 3 + p_partkey % 4 AS bd FROM part),
+    s AS (SELECT p_partkey, an * bd + bn * ad AS sn, an * bn AS mn, ad * bd AS d FROM p)
+    SELECT p_partkey, sn // gcd(abs(sn), d) AS sum_num, d // gcd(abs(sn), d) AS sum_den, mn // gcd(abs(mn), d) AS mul_num, d // gcd(abs(mn), d) AS mul_den,
+           CAST(floor(mn / d) AS BIGINT) AS whole FROM s""")
+def rationals(spark, sf_dir):
+    """Sums, products and floors of exact fractions."""
+    key = F.col("p_partkey")
+    a, b = rational.rational(F.col("p_size"), 7 + key % 5), rational.rational(1 - key % 6, 3 + key % 4)
+    rows = _table(spark, sf_dir, "part").select(key, rational.add(a, b).alias("s"), rational.multiply(a, b).alias("m"))
+    return rows.select(key, F.col("s.num").alias("sum_num"), F.col("s.den").alias("sum_den"), F.col("m.num").alias("mul_num"), F.col("m.den").alias("mul_den"), rational.to_long(rational.floor(F.col("m"))).alias("whole"))
+
+
+def _window_squares() -> expr.Expr:
+    k = elements.total_index("k")
+    return elements.total("k", elements.index(1), elements.index(1) + 2, elements.element("x", elements.index(0), k) ** 2)
+
+
+@query(f"WITH {_E} SELECT i0, i1, round(sum(v * v) OVER (PARTITION BY i0 ORDER BY i1 ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 6) AS v FROM e QUALIFY i1 < 62")
+def element_sums(spark, sf_dir):
+    """An element expression: sums of squares of three neighbouring elements."""
+    x = _matrix(spark, sf_dir)
+    return _out(elements.elements((x.shape[0], WIDTH - 2), _window_squares(), {"x": x}, spark))
+
+
+@query(f"WITH {_E} SELECT i0, i1, round(2 * v * (least(i1, 61) - greatest(i1 - 2, 0) + 1), 6) AS v FROM e")
+def element_gradient(spark, sf_dir):
+    """The derivative of the total of ``element_sums`` by every element it reads."""
+    x = _matrix(spark, sf_dir)
+    return _out(elements.elements_gradient(_window_squares(), {"x": x}, "x", TensorFrame.ones(spark, (x.shape[0], WIDTH - 2))))
+
+
+@query("SELECT event_id, round(2 * (1 - power(0.5, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))), 6) AS d_value FROM events")
+def loop_gradient(spark, sf_dir):
+    """The derivative of the total of all states of a decaying sum by each of its values, by the loop's backward pass."""
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value").withColumn("seed", F.lit(1.0))
+    loop = Loop(expr.var("state") * 0.5 + expr.var("value"), "user_id", ["ts", "event_id"], "value")
+    return loop.adjoints(rows, "seed").select("event_id", _r(F.col("d_value")).alias("d_value"))

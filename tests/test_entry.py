@@ -14,7 +14,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["generators", "elem_binary", "reduce_axis0", "mask_get", "scatter", "slot_batches", "true_idx", "loop_scan"])
+@pytest.mark.parametrize("name", ["generators", "elem_binary", "reduce_axis0", "mask_get", "scatter", "slot_batches", "true_idx", "loop_scan", "rationals", "element_sums", "element_gradient", "loop_gradient"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
