@@ -107,3 +107,21 @@ def relu(c: Column) -> Column:
 def normal_pdf(x: Column, mean: Column | float = 0.0, variance: Column | float = 1.0) -> Column:
     mean, variance = (v if isinstance(v, Column) else F.lit(float(v)) for v in (mean, variance))
     return F.exp(-F.pow(x - mean, F.lit(2.0)) / (2 * variance)) / F.sqrt(2 * F.pi() * variance)
+
+
+#: Coefficients of the polynomial in t = 1 / (1 + |x| / 2) that approximates erf to 1.2e-7, from t^0 to t^9.
+_ERF = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def erf(x: Column) -> Column:
+    t = F.lit(1.0) / (F.abs(x) / 2 + 1)
+    power = F.lit(_ERF[-1])
+    for c in reversed(_ERF[:-1]):
+        power = power * t + c
+    tail = t * F.exp(power - x * x)
+    return F.when(x >= 0, 1 - tail).otherwise(tail - 1)
+
+
+def normal_cdf(x: Column, mean: Column | float = 0.0, variance: Column | float = 1.0) -> Column:
+    mean, variance = (v if isinstance(v, Column) else F.lit(float(v)) for v in (mean, variance))
+    return (erf((x - mean) / F.sqrt(2 * variance)) + 1) / 2

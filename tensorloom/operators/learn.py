@@ -64,6 +64,16 @@ def linear_regression(df: DataFrame, inputs: list[str], target: str) -> dict[str
     return dict(zip(["bias", *inputs], map(float, weights), strict=True))
 
 
+def lq(weights: np.ndarray, q: float) -> float:
+    return float((np.abs(weights) ** q).sum())
+
+
+def derivative_deviation(e: Expr, at: dict[str, float], step: float = 1e-5) -> dict[str, float]:
+    """By variable, how far the derivative of ``e`` is from its central difference at a point."""
+    exact = e.gradient(sorted(at))
+    return {n: abs(exact[n].value(at) - (e.value(at | {n: at[n] + step}) - e.value(at | {n: at[n] - step})) / (2 * step)) for n in at}
+
+
 # -- optimisers --------------------------------------------------------------------------------------------------------
 @dataclass
 class GradientDescent:
@@ -175,3 +185,27 @@ def gp_predict(df: DataFrame, x: str, known_x: np.ndarray, known_y: np.ndarray,
             yield table.assign(gp_mean=cross @ weights, gp_variance=prior - np.einsum("ij,jk,ik->i", cross, inverse, cross))
 
     return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "gp_mean double", "gp_variance double"]))
+
+
+def gp_predict_slopes(df: DataFrame, x: str, known: tuple[np.ndarray, np.ndarray], slopes: tuple[np.ndarray, np.ndarray], length: float, variance: float, noise: float = 0.0, slope_noise: float = 0.0) -> DataFrame:
+    """As ``gp_predict`` with the squared exponential, from known values and known slopes; also the slope's mean and variance."""
+    (known_x, known_y), (slope_x, slope_y) = known, slopes
+    n = len(known_x)
+    if n + len(slope_x) > 5000:
+        raise ValueError("the training set of a Gaussian process must fit in one solve")
+    kernel = squared_exponential(length, variance)
+    first = lambda a, b: -(a[:, None] - b[None, :]) / length**2 * kernel(a, b)  # noqa: E731  # by a
+    second = lambda a, b: (1 / length**2 - (a[:, None] - b[None, :]) ** 2 / length**4) * kernel(a, b)  # noqa: E731  # by a and b
+    cross = first(slope_x, known_x)
+    inverse = np.linalg.pinv(np.block([[kernel(known_x, known_x) + noise * np.eye(n), cross.T], [cross, second(slope_x, slope_x) + slope_noise * np.eye(len(slope_x))]]))
+    weights = inverse @ np.concatenate([known_y, slope_y])
+
+    def run(batches):
+        for table in batches:
+            at = table[x].to_numpy(float)
+            out = {}
+            for name, rows, prior in (("gp", np.hstack([kernel(at, known_x), first(slope_x, at).T]), variance), ("gp_slope", np.hstack([first(at, known_x), second(at, slope_x)]), variance / length**2)):
+                out[f"{name}_mean"], out[f"{name}_variance"] = rows @ weights, prior - np.einsum("ij,jk,ik->i", rows, inverse, rows)
+            yield table.assign(**out)
+
+    return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{n} double" for n in ("gp_mean", "gp_variance", "gp_slope_mean", "gp_slope_variance"))]))

@@ -78,6 +78,33 @@ def read_idx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, _SCHEMA)
 
 
+def read_image_records(spark: SparkSession, path: str, shape: tuple[int, ...] = (3, 32, 32)) -> DataFrame:
+    """Binary files of fixed records, a label byte and then an image's bytes: path, record, label, image (row-major)."""
+    size = int(np.prod(shape))
+
+    def parse(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            for name, content in zip(table["path"], table["content"], strict=True):
+                if len(content) % (size + 1):
+                    raise ValueError(f"{name} doesn't hold whole records")
+                rows = np.frombuffer(content, np.uint8).reshape(-1, size + 1)
+                for at in range(0, len(rows), 1000):
+                    part = rows[at : at + 1000]
+                    yield pd.DataFrame({"path": name, "record": np.arange(at, at + len(part)), "label": part[:, 0].astype(int), "image": list(part[:, 1:].astype(np.int16))})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, record long, label int, image array<smallint>")
+
+
+def save_parameters(spark: SparkSession, parameters: dict[str, np.ndarray | float], path: str, mode: str = "errorifexists") -> None:
+    """Named parameters of a model as one Parquet row each: name, shape, row-major values."""
+    rows = [(k, list(np.shape(v)), np.asarray(v, float).reshape(-1).tolist()) for k, v in parameters.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.mode(mode).parquet(path)
+
+
+def load_parameters(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r.name: np.array(r["values"]).reshape(r.shape) for r in spark.read.parquet(path).collect()}
+
+
 def tensor_of(rows: DataFrame, entry: str = "") -> TensorFrame:
     """The tensor of one entry of ``read_numpy`` or ``read_idx``."""
     one = rows.where(F.col("entry") == entry)

@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tensorloom.functions import scalar
 from tensorloom.operators import learn as L
 from tensorloom.operators import scan as S
 from tensorloom.operators.frame import TensorFrame
 from tensorloom.plans.expr import Expr, const, sigmoid, stop_gradient, unary, var, where_greater
+from tensorloom.sources import tensors
 
 X, Y = var("x"), var("y")
 CASES = [X * Y + X / Y, unary("tanh", X * 2) ** 2, unary("exp", -X * X) * unary("sin", Y), unary("log", X + 3) - unary("sqrt", Y + 4), X**Y, unary("abs", X - Y), where_greater(X, Y, X * X, Y), sigmoid(X * Y), Expr("max_elemwise", (X, Y * 2)), unary("atan", X) + unary("cosh", Y) + unary("asin", X / 9) + unary("tan", Y / 5)]
@@ -76,3 +78,42 @@ def test_contract_and_interpolate(spark):
     assert [r[0] for r in df.select(i.derivative(0)(F.col("x"))).collect()] == [0, 1, 1, 9, 0, 0]
     flat = S.Interpolator(np.add.outer(np.arange(3.0), 10 * np.arange(4.0)), [0, 0], [2, 3])
     assert df.limit(1).select(flat(F.lit(1.25), F.lit(0.5))).first()[0] == pytest.approx(6.25)
+
+
+def test_erf_and_cdf(spark):
+    at = np.linspace(-4, 4, 81)
+    got = spark.createDataFrame([(float(x),) for x in at], "x double").select("x", scalar.erf(F.col("x")).alias("e"), scalar.normal_cdf(F.col("x"), 1.0, 4.0).alias("c")).collect()
+    for r in got:
+        assert abs(r.e - math.erf(r.x)) < 2e-7 and abs(r.c - (1 + math.erf((r.x - 1) / math.sqrt(8))) / 2) < 2e-7
+
+
+def test_derivative_deviation():
+    e = unary("tanh", var("a") * var("b")) / (var("a") ** 2 + 1)
+    assert max(L.derivative_deviation(e, {"a": 0.4, "b": -1.2}).values()) < 1e-8
+    assert L.lq(np.array([1.0, -2.0]), 3) == 9
+
+
+def test_gaussian_process_with_slopes(spark):
+    at = np.linspace(0, 6, 25)
+    df = spark.createDataFrame([(float(x),) for x in at], "x double")
+    known = np.arange(0, 7, 1.5)
+    got = L.gp_predict_slopes(df, "x", (known, np.sin(known)), (known, np.cos(known)), 1.0, 1.0).collect()
+    for r in got:
+        assert r.gp_mean == pytest.approx(np.sin(r.x), abs=0.05) and r.gp_slope_mean == pytest.approx(np.cos(r.x), abs=0.15) and r.gp_variance > -1e-6
+    none = np.zeros(0)
+    plain = L.gp_predict(df, "x", known, np.sin(known), L.squared_exponential(1.0, 1.0), 0.1).collect()
+    same = L.gp_predict_slopes(df, "x", (known, np.sin(known)), (none, none), 1.0, 1.0, 0.1).collect()
+    np.testing.assert_allclose([(r.gp_mean, r.gp_variance) for r in same], [(r.gp_mean, r.gp_variance) for r in plain], atol=1e-9)
+    h = {r.x: r for r in L.gp_predict_slopes(spark.createDataFrame([(0.7,), (0.7001,)], "x double"), "x", (known, np.sin(known)), (known[:2], np.cos(known[:2])), 1.0, 1.0, 0.1, 0.1).collect()}
+    assert h[0.7].gp_slope_mean == pytest.approx((h[0.7001].gp_mean - h[0.7].gp_mean) / 1e-4, rel=1e-3)
+
+
+def test_parameters_and_image_records(spark, tmp_path):
+    parameters = {"w": np.arange(6.0).reshape(2, 3), "b": 1.5}
+    tensors.save_parameters(spark, parameters, str(tmp_path / "p"))
+    got = tensors.load_parameters(spark, str(tmp_path / "p"))
+    assert set(got) == {"w", "b"} and got["b"].shape == () and (got["w"] == parameters["w"]).all() and got["b"] == 1.5
+    data = np.random.default_rng(1).integers(0, 256, (3, 13), np.uint8)
+    (tmp_path / "batch.bin").write_bytes(data.tobytes())
+    rows = tensors.read_image_records(spark, str(tmp_path / "batch.bin"), (3, 2, 2)).orderBy("record").collect()
+    assert [r.label for r in rows] == data[:, 0].tolist() and [r.image for r in rows] == data[:, 1:].tolist()
