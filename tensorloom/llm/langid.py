@@ -4,6 +4,10 @@ A text is a TF-IDF vector of hashed byte n-grams (2 to 4) of its lower-cased let
 k-means gives each language a few centroids; a text gets the language of the centroid with the largest cosine.  A text
 whose cosine distance to it is beyond the language's radius is ``rejected``: it still names the nearest language.
 
+A text of few different n-grams has a small cosine even in its own language, and long gibberish a large one, so the
+radius depends on their number n: a language's usual cosine is fitted as 1 / sqrt(base + slope / n) to training texts
+held back from its centroids, and the radius is set from a low quantile of these texts' cosines over the usual one.
+
 The classifier is fit on at most ``per_language`` documents of each language (a documented bound); every document is
 then judged on its whole text.  Scoring is one pass without a shuffle; the model is a few hundred kilobytes.
 
@@ -37,9 +41,9 @@ class LangIdParams:
     lengths: tuple[int, ...] = (2, 3, 4)
     buckets: int = 1 << 13
     rounds: int = 12
-    #: The radius of a language: this many times the largest distance of its own training texts, as 1 - cosine is kept
-    #: from reaching 1 by the factor on the cosine.
-    slack: float = 0.35
+    #: The least cosine of a language, over its usual one: ``slack`` times this quantile of its held-back texts'.
+    quantile: float = 0.01
+    slack: float = 0.55
 
 
 @dataclass
@@ -48,7 +52,13 @@ class LangIdModel:
     idf: np.ndarray
     centroids: np.ndarray
     owner: list[str]
-    floor: np.ndarray
+    #: Of each centroid's language: base, slope and least cosine over the usual one.
+    radius: np.ndarray
+
+    def floors(self, near: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The least cosine that a text of ``n`` different n-grams needs with its centroid."""
+        base, slope, least = self.radius[near].T
+        return least / np.sqrt(base + slope / np.maximum(n, 1))
 
 
 def vectors(texts: pa.Array, params: LangIdParams, idf: np.ndarray | None) -> Iterator[np.ndarray]:
@@ -86,6 +96,28 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centres
 
 
+def _held_back(x: np.ndarray, params: LangIdParams) -> np.ndarray:
+    """Cosine of each text with the nearest centroid of the other half of its language's texts."""
+    out = np.zeros(len(x))
+    for k in (0, 1):
+        # A language with a single text has nothing to hold back.
+        own = _cluster(x[k::2] if len(x) > 1 else x, params.centroids, params.rounds)
+        out[1 - k :: 2] = (x[1 - k :: 2] @ own.T).max(1, initial=0.0)
+    return out
+
+
+def _radius(cos: np.ndarray, n: np.ndarray, params: LangIdParams) -> tuple[float, float, float]:
+    """base, slope and the least cosine over the usual one, 1 / sqrt(base + slope / n)."""
+    inverse, terms = 1 / np.maximum(cos, 0.02) ** 2, np.stack([np.ones(len(n)), 1 / np.maximum(n, 1)], 1)
+    weight, base, slope = np.ones(len(n)), 1.0, 0.0
+    for _ in range(10):  # reweighted, so that a few odd texts don't bend the curve
+        scale = weight / inverse
+        base, slope = np.linalg.lstsq(terms * scale[:, None], inverse * scale, rcond=None)[0]
+        weight = np.maximum(np.abs(terms @ [base, slope] - inverse) / inverse, 0.05) ** -0.5
+    base, slope = max(float(base), 0.5), max(float(slope), 0.0)
+    return base, slope, params.slack * float(np.quantile(cos * np.sqrt(terms @ [base, slope]), params.quantile))
+
+
 def fit(rows: list[tuple[str, str]], params: LangIdParams = LangIdParams()) -> LangIdModel | None:
     """A model from (language, text) pairs; None where no text has a letter."""
     rows = [(lang, text) for lang, text in rows if pc.match_substring_regex(pa.array([text]), r"\p{L}")[0].as_py()]
@@ -97,14 +129,14 @@ def fit(rows: list[tuple[str, str]], params: LangIdParams = LangIdParams()) -> L
     x = raw * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     langs = np.array([lang for lang, _ in rows])
-    centres, owner, floor = [], [], []
+    grams = (x > 0).sum(1)
+    centres, owner, radius = [], [], []
     for lang in sorted(set(langs.tolist())):
         own = _cluster(x[langs == lang], params.centroids, params.rounds)
-        least = float((x[langs == lang] @ own.T).max(1).min())
         centres.append(own)
         owner += [lang] * len(own)
-        floor += [params.slack * max(least, 0.0)] * len(own)
-    return LangIdModel(params, idf, np.concatenate(centres), owner, np.array(floor, np.float32))
+        radius += [_radius(_held_back(x[langs == lang], params), grams[langs == lang], params)] * len(own)
+    return LangIdModel(params, idf, np.concatenate(centres), owner, np.array(radius))
 
 
 def predict(texts: pa.Array, model: LangIdModel | None) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -112,14 +144,15 @@ def predict(texts: pa.Array, model: LangIdModel | None) -> tuple[list[str], np.n
     letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
     if model is None or not len(texts):
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    best, near = [], []
+    best, near, grams = [], [], []
     for x in vectors(texts, model.params, model.idf):
         cos = x @ model.centroids.T
         near.append(cos.argmax(1))
         best.append(cos.max(1))
+        grams.append(np.count_nonzero(x, axis=1))
     near, score = np.concatenate(near), np.clip(np.concatenate(best).astype(float), 0, 1)
     langs = [model.owner[k] if ok else UNKNOWN for k, ok in zip(near, letters, strict=True)]
-    return langs, np.where(letters, score, 0.0), ~letters | (score < model.floor[near])
+    return langs, np.where(letters, score, 0.0), ~letters | (score < model.floors(near, np.concatenate(grams)))
 
 
 def fit_documents(docs: DataFrame, params: LangIdParams = LangIdParams(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LangIdModel | None:

@@ -50,3 +50,30 @@ def test_language(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got.values() if not r.rejected}
     nothing = df.withColumn("lang", F.lit(None).cast("string"))
     assert langid.identify(nothing, langid.fit_documents(nothing)).where("lang_pred <> 'und'").isEmpty()
+
+
+SYLLABLES = {"aa": "the and ing er th on re at ou st ly in", "bb": "der ung ein sch ge en zu ich eit ver auf ö", "cc": "ción os la que es ar do mi ez ll ua ñ"}
+
+
+def prose(rng, lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang].split()) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+
+
+def test_language_rejects_what_it_has_not_learned():
+    rng = random.Random(3)
+    made = [(lang, prose(rng, lang, rng.choice([3, 10, 30, 100, 300, 600]))) for lang in SYLLABLES for _ in range(150)]
+    rng.shuffle(made)
+    known, rest = made[:300], made[300:]
+
+    def rejected(texts, model):
+        return langid.predict(pa.array(texts, pa.large_string()), model)[2]
+
+    model = langid.fit(known)
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(n)) for n in (5, 20, 100, 500, 2000, 10000)]
+    assert rejected(letters, model).all()
+    assert not rejected([t for _, t in rest], model).any()
+    for out in SYLLABLES:
+        model = langid.fit([(lang, t) for lang, t in known if lang != out])
+        assert rejected([t for lang, t in rest if lang == out], model).mean() > 0.9
+        assert not rejected([t for lang, t in rest if lang != out], model).any()
+    assert not rejected(["the house"], langid.fit([("aa", "the house")])).any()
