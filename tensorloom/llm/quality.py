@@ -33,9 +33,10 @@ class QualityRules:
     min_words: int = 10
     max_repeat_words_percent: int = 20
     ngram_lengths: tuple[int, ...] = (5, 6, 8, 10)
-    #: Of each n-gram length: above this coverage a text is rejected.
-    max_ngram_percent: tuple[int, ...] = (25, 24, 22, 20)
-    max_line_percent: int = 30
+    #: Of each n-gram length: above this coverage a text is rejected.  A longer n-gram's cover lies within the 5-gram's, so
+    #: limits at or above ``max_repeat_words_percent`` would hardly decide anything; these are the widely published ones.
+    max_ngram_percent: tuple[int, ...] = (15, 14, 12, 10)
+    max_line_percent: int = 20
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -55,3 +55,24 @@ def test_frame(spark):
     kept = quality_filter(df)
     assert kept.columns == df.columns and [r.n_words for r in kept.collect()] == ["x", "x"]
     assert quality_measures(df.filter(F.lit(False))).count() == 0
+
+
+def test_coverage_rejects_what_the_base_rules_pass():
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+
+    def words(n):
+        return " ".join(f"w{next(fresh):05d}" for _ in range(n))
+
+    passage, line = words(10), words(4)
+    repeated = " ".join([passage, words(48), passage, words(45)])  # 20 of 113 words
+    long_passage = words(12)
+    ten = " ".join([long_passage, words(96), long_passage, words(96)])  # 24 of 216: only 10-grams are beyond their limit
+    lines = "\n".join(x for _ in range(12) for x in (line, words(rng.randrange(7, 10))))
+    clean = [words(200), "\n".join(words(12) for _ in range(30)), " ".join([passage, words(300), passage])]
+    made = [repeated, ten, lines, *clean]
+    found = measure(pa.array(made, pa.large_string()), QualityRules())
+    assert not found["base_failed"].any()
+    assert found["kept"].tolist() == [False] * 3 + [True] * 3
+    for i, text in enumerate(made):
+        assert {k: v[i] for k, v in found.items()} == brute(text)
