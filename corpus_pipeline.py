@@ -24,8 +24,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return neardup.keep_one_of_each(docs)
+    """One document of each group of near duplicates: those that share at least 80 % of their five-word shingles."""
+    return neardup.keep_one_of_each(docs, neardup.NearDupParams(percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+import corpus_pipeline
 from tensorloom.llm.neardup import NearDupParams, keep_one_of_each, near_duplicates, superminhash, union_find
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,3 +84,15 @@ def test_union_find_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {tuple(r) for r in union_find(edges).collect()}
     assert got == {(i, 0) for i in range(1, 201)} | {(501, 500)}
+
+
+def test_pipeline_stage_links_from_four_fifths(spark):
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    near, far = base[:94] + [f"x{i}" for i in range(10)], base[:91] + [f"y{i}" for i in range(13)]
+    for words, shared in ((near, 90), (far, 87)):
+        assert len(shingles(" ".join(base)) & shingles(" ".join(words))) == shared
+    # Alike to 90 / 110 = 0.82 with the first; 87 / 113 = 0.77 with both.
+    df = spark.createDataFrame([(1, " ".join(base), "x"), (2, " ".join(near), "x"), (3, " ".join(far), "x")], "doc_id long, text string, source string")
+    kept = corpus_pipeline.keep_one_copy(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert sorted(r.doc_id for r in near_duplicates(df).where("kept").collect()) == [1, 2, 3]  # op5's contract is 85 %
