@@ -1,7 +1,8 @@
 """Record datasets: rows with a dense 0-based ``sample_id`` (and ``step`` for sequences), one column per field.
 
 Positions are what batches, splits and cuts are defined by, so ids come from an explicit order.  Everything below is
-arithmetic on these ids: filters and projections without a shuffle, but for padding, which adds a few rows by a union.
+arithmetic on these ids: filters and projections without a shuffle, but for padding, which adds a few rows by a union,
+and for cuts of sequences of different lengths, whose chunks are numbered anew.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ def _zero(kind: str) -> Column:
 class Dataset:
     df: DataFrame
     n_samples: int
+    #: Steps of the longest sequence; None where samples aren't sequences.
     n_steps: int | None = None
+    #: Whether some sequences are shorter than others.
+    ragged: bool = False
 
     @classmethod
     def of_samples(cls, df: DataFrame, order: Sequence[str]) -> Dataset:
@@ -36,15 +40,17 @@ class Dataset:
     def of_sequences(cls, df: DataFrame, sample: str, order: Sequence[str], n_steps: int | None = None) -> Dataset:
         """Rows of a table as steps of sequences; samples are numbered by their key, steps by an order.
 
-        A sequence's steps are numbered by a window over its own rows.
+        A sequence's steps are numbered by a window over its own rows.  All steps stay, also of sequences of different
+        lengths; only ``n_steps``, if given, cuts every sequence to that many steps.
         """
         from pyspark.sql import Window
 
         ids = _numbered(df.select(sample).distinct(), [sample]).withColumnRenamed("n", "sample_id")
         steps = df.withColumn("step", F.row_number().over(Window.partitionBy(sample).orderBy(*order)).cast("long") - 1).join(ids, sample)
-        if n_steps is None:
-            n_steps = steps.groupBy("sample_id").count().agg(F.min("count")).first()[0] or 0
-        return cls(steps.where(F.col("step") < n_steps), ids.count(), n_steps)
+        if n_steps is not None:
+            steps = steps.where(F.col("step") < n_steps)
+        least, most = steps.groupBy("sample_id").count().agg(F.min("count"), F.max("count")).first()
+        return cls(steps, ids.count(), most or 0, least != most)
 
     @property
     def fields(self) -> list[str]:
@@ -60,7 +66,7 @@ class Dataset:
         return self.df.where(F.col("step").between(first, last))
 
     def part(self, first: int, last: int) -> Dataset:
-        return Dataset(self.samples(first, last).withColumn("sample_id", F.col("sample_id") - first), last - first + 1, self.n_steps)
+        return Dataset(self.samples(first, last).withColumn("sample_id", F.col("sample_id") - first), last - first + 1, self.n_steps, self.ragged)
 
     def batches(self, size: int) -> DataFrame:
         """``batch_id``: contiguous batches, the last one smaller."""
@@ -74,7 +80,7 @@ class Dataset:
         if self.n_steps is not None:
             more = more.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.n_steps - 1).cast("long"))))
         blank = more.select(*(F.col(c) if c in ("sample_id", "step") else _zero(self.df.schema[c].dataType.simpleString()).alias(c) for c in self.df.columns))
-        return Dataset(self.df.unionByName(blank), total, self.n_steps).batches(size)
+        return Dataset(self.df.unionByName(blank), total, self.n_steps, self.ragged).batches(size)
 
     def slot_batches(self, batch: int, slot: int) -> DataFrame:
         """Tiles of batches and time slots: ``batch_id`` outer, ``slot_id`` inner; the last ones are smaller."""
@@ -86,7 +92,7 @@ class Dataset:
         for k, r in enumerate(ratios):
             n = self.n_samples - at if k == len(ratios) - 1 else int(r / sum(ratios) * self.n_samples)
             rows = self.df.where((F.col("sample_id") >= at) & (F.col("sample_id") < at + n)).withColumn("sample_id", F.col("sample_id") - at)
-            out.append(Dataset(rows, n, self.n_steps))
+            out.append(Dataset(rows, n, self.n_steps, self.ragged))
             at += n
         return out
 
@@ -94,7 +100,9 @@ class Dataset:
         return dict(zip(("trn", "val", "tst"), self.partition((train, validation, test)), strict=True))
 
     def cut_sequences(self, chunk: int) -> Dataset:
-        """Each sequence cut into chunks of ``chunk`` steps, the last one filled with zeros; chunks follow their sample."""
+        """Each sequence cut into chunks of ``chunk`` steps, its last one filled with zeros; chunks follow their sample."""
+        if self.ragged:
+            return self._cut_ragged(chunk)
         cuts = math.ceil(self.n_steps / chunk)
         moved = self.df.withColumn("sample_id", F.col("sample_id") * cuts + F.floor(F.col("step") / chunk)).withColumn("step", F.col("step") % chunk)
         if self.n_steps % chunk:
@@ -103,12 +111,32 @@ class Dataset:
             moved = moved.unionByName(blank.select(*(F.col(c) if c in ("sample_id", "step") else _zero(self.df.schema[c].dataType.simpleString()).alias(c) for c in self.df.columns)))
         return Dataset(moved, self.n_samples * cuts, chunk)
 
+    def _cut_ragged(self, chunk: int) -> Dataset:
+        """A shorter sequence has fewer chunks, so that a single long one doesn't fill up all the others."""
+        at = self.df.withColumn("_cut", F.floor(F.col("step") / chunk)).withColumn("step", F.col("step") % chunk).withColumnRenamed("sample_id", "_sample")
+        counts = at.groupBy("_sample", "_cut").agg(F.count(F.lit(1)).alias("_n"))
+        cuts = _numbered(counts, ["_sample", "_cut"]).withColumnRenamed("n", "sample_id")
+        moved = at.join(cuts.drop("_n"), ["_sample", "_cut"]).select(*self.df.columns)
+        blank = cuts.where(F.col("_n") < chunk).select("sample_id", F.explode(F.sequence(F.col("_n"), F.lit(chunk - 1).cast("long"))).alias("step"))
+        moved = moved.unionByName(blank.select(*(F.col(c) if c in ("sample_id", "step") else _zero(self.df.schema[c].dataType.simpleString()).alias(c) for c in self.df.columns)))
+        return Dataset(moved, counts.count(), chunk)
+
     def cut_to_min_samples(self, least: int) -> Dataset:
         cuts = math.ceil(least / self.n_samples)
-        return self.cut_sequences(max(1, self.n_steps // cuts))
+        chunk = max(1, self.n_steps // cuts)
+        if self.ragged:
+            # Shorter sequences give fewer chunks: the largest size that still makes enough of them.
+            steps = self.df.groupBy("sample_id").count()
+            low, high = 1, chunk
+            while low < high:
+                middle = (low + high + 1) // 2
+                enough = steps.agg(F.sum(F.ceil(F.col("count") / middle))).first()[0] >= least
+                low, high = (middle, high) if enough else (low, middle - 1)
+            chunk = low
+        return self.cut_sequences(chunk)
 
     def map(self, fn: Callable[[str, Column], Column]) -> Dataset:
-        return Dataset(self.df.select("sample_id", *(["step"] if self.n_steps is not None else []), *(fn(c, F.col(c)).alias(c) for c in self.fields)), self.n_samples, self.n_steps)
+        return Dataset(self.df.select("sample_id", *(["step"] if self.n_steps is not None else []), *(fn(c, F.col(c)).alias(c) for c in self.fields)), self.n_samples, self.n_steps, self.ragged)
 
     def save(self, path: str) -> None:
         self.df.write.parquet(path)
@@ -116,8 +144,8 @@ class Dataset:
     @classmethod
     def load(cls, spark, path: str) -> Dataset:
         df = spark.read.parquet(path)
-        row = df.agg((F.max("sample_id") + 1).alias("n"), *([(F.max("step") + 1).alias("s")] if "step" in df.columns else [])).first()
-        return cls(df, row["n"] or 0, row["s"] if "step" in df.columns else None)
+        row = df.agg((F.max("sample_id") + 1).alias("n"), F.count(F.lit(1)).alias("rows"), *([(F.max("step") + 1).alias("s")] if "step" in df.columns else [])).first()
+        return cls(df, row["n"] or 0, row["s"] if "step" in df.columns else None, "step" in df.columns and row["rows"] != (row["n"] or 0) * (row["s"] or 0))
 
 
 # -- normalisers -------------------------------------------------------------------------------------------------------

@@ -341,8 +341,13 @@ def partition_split(spark, sf_dir):
     return out
 
 
-def _sequences(spark, sf_dir) -> dataset.Dataset:
-    return dataset.Dataset.of_sequences(_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"])
+def _sequences(spark, sf_dir, n_steps: int | None = None) -> dataset.Dataset:
+    return dataset.Dataset.of_sequences(_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], n_steps)
+
+
+def _shortest(spark, sf_dir) -> int:
+    """Steps of the shortest sequence, to which the SQL of ``slot_batches`` and ``cut_sequences`` cuts all of them."""
+    return _table(spark, sf_dir, "events").groupBy("user_id").count().agg(F.min("count")).first()[0] or 0
 
 
 _EVENTS = """u AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value FROM events),
@@ -351,11 +356,26 @@ _EVENTS = """u AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS s
 
 @query(f"WITH {_EVENTS} SELECT sample_id // 16 AS batch_id, step // 8 AS slot_id, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM s GROUP BY 1, 2")
 def slot_batches(spark, sf_dir):
-    return _sequences(spark, sf_dir).slot_batches(16, 8).groupBy("batch_id", "slot_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
+    return _sequences(spark, sf_dir, _shortest(spark, sf_dir)).slot_batches(16, 8).groupBy("batch_id", "slot_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 
 @query(f"WITH {_EVENTS} SELECT sample_id * CAST(ceil(steps / 7) AS BIGINT) + step // 7 AS sample_id, CAST(7 AS BIGINT) AS n, round(sum(value), 4) + 0.0 AS total FROM s, l GROUP BY 1")
 def cut_sequences(spark, sf_dir):
+    return _sequences(spark, sf_dir, _shortest(spark, sf_dir)).cut_sequences(7).df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
+
+
+_RAGGED = "u AS (SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value FROM events)"
+
+
+@query(f"WITH {_RAGGED} SELECT sample_id // 16 AS batch_id, step // 8 AS slot_id, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM u GROUP BY 1, 2")
+def slot_batches_whole(spark, sf_dir):
+    """As ``slot_batches``, with every step of every sequence."""
+    return _sequences(spark, sf_dir).slot_batches(16, 8).groupBy("batch_id", "slot_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
+
+
+@query(f"WITH {_RAGGED}, t AS (SELECT sample_id AS s, step // 7 AS cut, sum(value) AS total FROM u GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY s, cut) - 1 AS sample_id, CAST(7 AS BIGINT) AS n, round(total, 4) + 0.0 AS total FROM t")
+def cut_sequences_whole(spark, sf_dir):
+    """As ``cut_sequences``, with every step of every sequence; chunks are numbered through."""
     return _sequences(spark, sf_dir).cut_sequences(7).df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 

@@ -37,6 +37,30 @@ def test_sequences(sequences):
     assert values[7, 2] == 100 + 19 + 2 and values[5, 18] == 0.0
 
 
+def test_ragged_sequences_keep_every_step(spark, tmp_path):
+    lengths = [1, 9, 4, 30]
+    rows = [(s, k, float(100 * s + k + 1)) for s, n in enumerate(lengths) for k in range(n)]
+    df = spark.createDataFrame(rows, "key long, at long, x double").repartition(5)
+    data = D.Dataset.of_sequences(df, "key", ["at"])
+    assert (data.n_samples, data.n_steps, data.df.count()) == (4, 30, 44)
+    tiles = {(r.batch_id, r.slot_id): r["count"] for r in data.slot_batches(2, 4).groupBy("batch_id", "slot_id").count().collect()}
+    assert tiles == {(0, 0): 5, (0, 1): 4, (0, 2): 1, (1, 0): 8, **{(1, k): 4 for k in range(1, 7)}, (1, 7): 2}
+    data.save(str(tmp_path / "d"))
+    for one in (data, D.Dataset.load(spark, str(tmp_path / "d"))):
+        cut = one.cut_sequences(4)
+        assert (cut.n_samples, cut.n_steps, cut.ragged) == (1 + 3 + 1 + 8, 4, False)
+        got = {(r.sample_id, r.step): r.x for r in cut.df.collect()}
+        want, at = {}, 0
+        for s, n in enumerate(lengths):
+            for first in range(0, n, 4):
+                want |= {(at, k): float(100 * s + first + k + 1) if first + k < n else 0.0 for k in range(4)}
+                at += 1
+        assert got == want
+    assert data.cut_to_min_samples(12).n_samples >= 12
+    asked = D.Dataset.of_sequences(df, "key", ["at"], 4)
+    assert asked.n_steps == 4 and asked.ragged and asked.df.count() == 1 + 4 + 4 + 4
+
+
 def test_normalizers(spark):
     x = np.random.default_rng(1).normal(size=(50, 2)) * 4 + 2
     df = spark.createDataFrame([(*map(float, r), float(k % 2), 5.0) for k, r in enumerate(x)], "a double, b double, c double, d double")
