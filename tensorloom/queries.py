@@ -214,6 +214,11 @@ def replicate(spark, sf_dir):
     return _matrix(spark, sf_dir).slice((0, 19), ALL).replicate(1, 2).df
 
 
+@query(f"WITH {_E} SELECT i0, r * 64 + i1 AS i1, v FROM e, range(2) t(r)")
+def replicate_whole(spark, sf_dir):
+    return _matrix(spark, sf_dir).replicate(1, 2).df
+
+
 @query(f"WITH {_E} SELECT i0, i1 - 1 AS i1, round(v - w, 6) + 0.0 AS v FROM (SELECT i0, i1, v, lag(v) OVER (PARTITION BY i0 ORDER BY i1) AS w FROM e) WHERE w IS NOT NULL")
 def diff_axis(spark, sf_dir):
     return _out(_matrix(spark, sf_dir).diff_axis(1))
@@ -224,6 +229,12 @@ def diag_mat(spark, sf_dir):
     return _matrix(spark, sf_dir).slice((0, 29), 0).diag_mat().df
 
 
+@query(f"WITH {_E} SELECT i0, i1, CAST(c AS BIGINT) AS i2, CASE WHEN i1 = c THEN v ELSE 0.0 END AS v FROM e, range(64) t(c)")
+def diag_mat_whole(spark, sf_dir):
+    """Every row on the diagonal of its own matrix."""
+    return _matrix(spark, sf_dir).diag_mat().df
+
+
 # -- masks, gather, scatter ----------------------------------------------------------------------------------------------
 @query(f"WITH {_E}, k AS (SELECT i0, row_number() OVER (ORDER BY i0) - 1 AS n FROM e WHERE i1 = 0 AND v > 0) SELECT n AS i0, i1, v FROM e JOIN k USING (i0)")
 def mask_get(spark, sf_dir):
@@ -287,12 +298,32 @@ def dot_batched(spark, sf_dir):
     return _out(x.dot(x.transpose()))
 
 
+@query(f"""WITH {_E}, n AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT i0, i1, v FROM e UNION ALL
+        SELECT i, c, 0.0 FROM n, range(10) k(d), range(64) u(c), LATERAL (SELECT n + d AS i) WHERE i < 10 * CAST(ceil(n / 10) AS BIGINT)),
+    r AS (SELECT i0 // 10 AS b, i0 % 10 AS r, i1 AS c, v FROM p)
+    SELECT x.b AS i0, x.r AS i1, y.r AS i2, round(sum(x.v * y.v), 6) + 0.0 AS v FROM r x JOIN r y ON x.b = y.b AND x.c = y.c GROUP BY 1, 2, 3""")
+def dot_batched_whole(spark, sf_dir):
+    """As ``dot_batched`` over all rows; rows of zeros fill the last batch of ten."""
+    x = _matrix(spark, sf_dir)
+    if x.shape[0] % 10:
+        x = TensorFrame.concat(0, [x, TensorFrame.filled(spark, (-x.shape[0] % 10, WIDTH), 0.0)])
+    x = x.reshape([x.shape[0] // 10, 10, WIDTH])
+    return _out(x.dot(x.transpose()))
+
+
 @query(f"WITH {_E} SELECT a.i0 * 3 + b.i0 AS i0, a.i1 * 4 + b.i1 AS i1, round(a.v * b.v, 6) + 0.0 AS v FROM e a, e b WHERE a.i0 < 5 AND a.i1 < 6 AND b.i0 < 3 AND b.i1 < 4")
 def tensor_product(spark, sf_dir):
     x = _matrix(spark, sf_dir)
     return _out(x.slice((0, 4), (0, 5)).tensor_product(x.slice((0, 2), (0, 3))))
 
 
+@query(f"WITH {_E} SELECT a.i0 * 3 + b.i0 AS i0, a.i1 * 4 + b.i1 AS i1, round(a.v * b.v, 6) + 0.0 AS v FROM e a, e b WHERE b.i0 < 3 AND b.i1 < 4")
+def tensor_product_whole(spark, sf_dir):
+    """The whole matrix by a fixed block of 3 x 4, so that the result grows with the rows alone."""
+    x = _matrix(spark, sf_dir)
+    return _out(x.tensor_product(x.slice((0, 2), (0, 3))))
+
+
 @query(f"WITH {_E} SELECT round(sum(v * v), 4) AS v FROM e")
 def trace(spark, sf_dir):
     x = _matrix(spark, sf_dir)
@@ -471,14 +502,14 @@ def vocabulary(spark, sf_dir):
 
 @query()
 def svd_inverse(spark, sf_dir):
-    """Residuals of the inverse, the singular values and the eigenvalues of a Gram block."""
-    x = _matrix(spark, sf_dir).slice((0, 99), (0, 7))
+    """Residuals of the inverse, the singular values and the eigenvalues of the Gram matrix of all rows."""
+    x = _matrix(spark, sf_dir)
     gram = x.transpose().dot(x)
-    unit = gram.dot(linalg.invert(gram)) - TensorFrame.identity(spark, 8)
+    unit = gram.dot(linalg.invert(gram)) - TensorFrame.identity(spark, WIDTH)
     residual = unit.unary("abs").reduce("max").df.select(F.lit("inverse").alias("kind"), F.lit(0).cast("long").alias("k"), _r(F.col("v")).alias("v"))
     values, _ = linalg.symmetric_eigen(gram)
     _, s, _ = linalg.svd(gram)
-    return residual.unionByName(values.df.select(F.lit("eigen").alias("kind"), F.col("i0").alias("k"), _r(F.col("v"), 4).alias("v"))).unionByName(s.df.select(F.lit("singular").alias("kind"), (7 - F.col("i0")).alias("k"), _r(F.col("v"), 4).alias("v")))
+    return residual.unionByName(values.df.select(F.lit("eigen").alias("kind"), F.col("i0").alias("k"), _r(F.col("v"), 4).alias("v"))).unionByName(s.df.select(F.lit("singular").alias("kind"), (WIDTH - 1 - F.col("i0")).alias("k"), _r(F.col("v"), 4).alias("v")))
 
 
 @query("""WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS an, 7 + p_partkey % 5 AS ad, 1 - p_partkey % 6 AS bn, 3 + p_partkey % 4 AS bd FROM part),

@@ -27,6 +27,33 @@ def test_against_sql(spark, name):
     assert [x.replace(".0", "") for x in key(got)] == [x.replace(".0", "") for x in key(want)]
 
 
+@pytest.mark.parametrize("name", ["replicate_whole", "diag_mat_whole", "dot_batched_whole", "tensor_product_whole"])
+def test_whole_table_against_sql(spark, tmp_path, name):
+    """On 213 rows, so that the last batch of ten is not full."""
+    duckdb = pytest.importorskip("duckdb")
+    small = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    n = small.count()
+    rows = small.unionByName(small.withColumn("vec_id", F.col("vec_id") + n)).unionByName(small.withColumn("vec_id", F.col("vec_id") + 2 * n)).unionByName(small.withColumn("vec_id", F.col("vec_id") + 3 * n)).unionByName(small.withColumn("vec_id", F.col("vec_id") + 4 * n))
+    rows.where("vec_id < 213").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).fetchdf()
+    keys = sorted(c for c in want.columns if c != "v")
+    got, want = (t.sort_values(keys).reset_index(drop=True) for t in (got, want))
+    assert len(got) == len(want) and (got[keys] == want[keys]).all(axis=None) and (got["v"] - want["v"]).abs().max() < 3e-6
+
+
+def test_svd_inverse_of_the_full_gram(spark):
+    import numpy as np
+
+    got = entry.queries()["svd_inverse"](spark, "/root/testdata/sf0.01").toPandas()
+    x = np.array(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"].tolist(), np.float64)
+    want = np.linalg.eigvalsh(x.T @ x)
+    for kind in ("eigen", "singular"):
+        np.testing.assert_allclose(got[got.kind == kind].sort_values("k")["v"], want, atol=1e-3)
+    assert got[got.kind == "inverse"]["v"].max() < 1e-6
+
+
 def test_stream(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1, 0, k), "a" if k % 2 else "b", float(k)) for k in range(30)]
     df = spark.createDataFrame(rows, "ts timestamp, event_type string, value double")
