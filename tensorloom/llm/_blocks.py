@@ -83,6 +83,25 @@ def byte_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         first = last
 
 
+def strings_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow binary array, copied; ranges ascend and don't overlap."""
+    lengths = end - start
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    take = np.zeros(len(data) + 1, np.int8)
+    full = lengths > 0
+    np.add.at(take, start[full], 1)
+    np.add.at(take, end[full], -1)
+    own = data[np.cumsum(take[:-1], dtype=np.int8) > 0]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(own))])
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of each byte range the number of its content, equal exactly where the bytes are equal, and the contents by number."""
+    coded = strings_at(data, start, end).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and of each row the index of its first word (one more at the end)."""
     solid = np.zeros(len(data) + 2, bool)

@@ -1,7 +1,8 @@
 """Repetition coverage: how many characters of a text lie in repeated n-grams and repeated lines.
 
-Word n-grams of several lengths and whole lines are hashed in numpy from prefix sums of the text's bytes, so the work
-grows with the bytes alone, and a text is judged on all of its words.  No rows meet: there is no shuffle.
+Words and lines are numbered by their bytes, and rolling hashes of several n-gram lengths run over these numbers in numpy,
+so the work grows with the bytes alone, and a text is judged on all of its words.  Equal hashes are confirmed on the words'
+numbers, so counts are exact: no two unequal words, n-grams or lines count as equal.  No rows meet: there is no shuffle.
 
 Defined results: a null or empty text has no words and fails the base rules (fewer words than the minimum); a null
 ``doc_id`` is carried through; equal rows are judged alike, each on its own; an empty table gives an empty table.
@@ -18,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tensorloom.llm import _tables
-from tensorloom.llm._blocks import U64, RangeHash, byte_blocks, splitmix64, tally, text_column, words_of
+from tensorloom.llm._blocks import U64, byte_blocks, numbered, splitmix64, tally, text_column, words_of
 
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
-_STEP = splitmix64(np.arange(1, 65, dtype=U64)) | U64(1)
+#: Bytes that one pass covers: its arrays stay within a core's cache.
+_BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -39,12 +41,36 @@ class QualityRules:
     max_line_percent: int = 20
 
 
-def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key: whether it occurs twice or more, and whether an equal one stands before it."""
+def _hashed(values: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit hash of each row of some columns."""
+    key = np.zeros(len(values[0]), U64)
+    for v in values:
+        key = splitmix64(key ^ v.astype(U64))
+    return key
+
+
+def _repeated(keys: np.ndarray, same_row) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key: whether it occurs twice or more, and whether an equal one stands before it.
+
+    ``same_row(a, b)`` tells whether the rows at two lists of places are equal.  Rows of one hash that are unequal, which is
+    all but impossible, are told apart by sorting the few rows concerned.
+    """
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     same = np.zeros(len(keys) + 1, bool)
     same[1:-1] = ranked[1:] == ranked[:-1]
+    at = np.flatnonzero(same)
+    if len(at):
+        wrong = ~same_row(order[at - 1], order[at])
+        if wrong.any():
+            for key in np.unique(ranked[at[wrong]]):
+                lo, hi = np.searchsorted(ranked, key, "left"), np.searchsorted(ranked, key, "right")
+                groups: list[list[int]] = []
+                for place in order[lo:hi].tolist():
+                    own = next((g for g in groups if same_row(np.array([g[0]]), np.array([place]))[0]), None)
+                    own.append(place) if own else groups.append([place])
+                order[lo:hi] = [x for g in groups for x in g]
+                same[lo + 1 : hi] = [x for g in groups for x in (False, *[True] * (len(g) - 1))][1:]
     twice, later = np.empty(len(keys), bool), np.empty(len(keys), bool)
     twice[order] = same[1:] | same[:-1]
     later[order] = same[:-1]
@@ -60,9 +86,7 @@ def _block(data: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[s
     np.cumsum(point, out=points[1:])
     chars = points[end] - points[start]
     row = np.repeat(np.arange(n_rows), n_words)
-    salt = splitmix64(np.arange(n_rows, dtype=U64) + U64(1 << 40))
-    hashes = RangeHash(data)
-    word = hashes(start, end)
+    word, _ = numbered(data, start, end)
     in_words = np.bincount(row, chars, n_rows).astype(np.int64)
 
     out = {"n_words": n_words, "word_chars": in_words, "n_symbols": tally(_IS_SYMBOL[data], offsets)}
@@ -71,10 +95,8 @@ def _block(data: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[s
     for n in sorted({5, *rules.ngram_lengths}):
         # A repeated longer n-gram begins with a repeated 5-gram, so only those places are looked at again.
         at = np.flatnonzero(np.arange(len(word)) + n <= limit) if at is None or n <= 5 else at[at + n <= limit[at]]
-        key = np.zeros(len(at), U64)
-        for j in range(n):
-            key += word[at + j] * _STEP[j]
-        twice, _ = _repeated(splitmix64(key) + salt[row[at]])
+        grams = [row[at], *(word[at + j] for j in range(n))]
+        twice, _ = _repeated(_hashed(grams), lambda a, b, grams=grams: np.logical_and.reduce([g[a] == g[b] for g in grams]))
         hit = at[twice]
         edge = np.zeros(len(word) + 1, np.int64)
         np.add.at(edge, hit, 1)
@@ -94,7 +116,8 @@ def _block(data: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[s
     first_word = np.searchsorted(start, lines_start)
     has_word = (first_word < len(start)) & (start[np.minimum(first_word, max(len(start) - 1, 0))] < lines_end) if len(start) else np.zeros(len(lines_start), bool)
     lines_start, lines_end, lines_row = lines_start[has_word], lines_end[has_word], lines_row[has_word]
-    _, later = _repeated(hashes(lines_start, lines_end) + salt[lines_row])
+    line, _ = numbered(data, lines_start, lines_end)
+    _, later = _repeated(_hashed([lines_row, line]), lambda a, b: (line[a] == line[b]) & (lines_row[a] == lines_row[b]))
     out["n_dup_lines"] = np.bincount(lines_row[later], minlength=n_rows)
     word_points = np.zeros(len(word) + 1, np.int64)
     np.cumsum(chars, out=word_points[1:])
@@ -111,7 +134,7 @@ def _block(data: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[s
 
 def measure(texts: pa.Array, rules: QualityRules) -> dict[str, np.ndarray]:
     """Every measure of each text of an Arrow string column without nulls."""
-    parts = [_block(data, offsets, rules) for _, _, data, offsets in byte_blocks(texts)]
+    parts = [_block(data, offsets, rules) for _, _, data, offsets in byte_blocks(texts, _BLOCK)]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
 
