@@ -1,7 +1,8 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, union-find.
 
-1. One pass over the texts gives each document's set of word shingles (64-bit hashes), a 128-bit fingerprint of the set,
-   and a SuperMinHash signature: an element proposes one value per round, in an order drawn from a permutation of its
+1. One pass over the texts gives each document's set of word shingles (hashes of 64 bits, built on xxHash of each word), a
+   fingerprint of the set (a cryptographic digest of all its shingles with 128 bits each, so that equal fingerprints are
+   equal sets), and a SuperMinHash signature: an element proposes one value per round, in an order drawn from a permutation of its
    own, so values of different positions are correlated and vary less than with independent hashes; a document stops as
    soon as every position has a value of an earlier round (early stopping; one or two rounds for usual texts).
 2. Documents with equal fingerprints form one class, represented by its smallest id.  All that follows sees classes.
@@ -25,16 +26,18 @@ is kept; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm import _tables
-from tensorloom.llm._blocks import U64, RangeHash, byte_blocks, splitmix64, text_column, words_of
+from tensorloom.llm._blocks import U64, byte_blocks, numbered, splitmix64, text_column, words_of
 from tensorloom.llm._shared import discard, materialise
 
 _STEP = splitmix64(np.arange(1, 65, dtype=U64) + U64(1 << 50)) | U64(1)
@@ -52,33 +55,52 @@ class NearDupParams:
     rows: int = 5
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all rows, ascending within a row, and the row of each."""
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of the 128-bit xxHash of each word; each different word of a block is hashed once."""
+    number, words = numbered(data, start, end)
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), U64).reshape(-1, 2)
+    return halves[number, 0], halves[number, 1]
+
+
+def _distinct(key: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys ascending and distinct within their rows (which ascend already), and the rows."""
+    bounds = np.searchsorted(row, np.arange(n_rows + 1))
+    for r in range(n_rows):  # rows are few and each row's keys many
+        key[bounds[r] : bounds[r + 1]].sort()
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return key[fresh], row[fresh]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, both: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct shingle hashes of all rows, ascending within a row, and the row of each.
+
+    ``both``: the same once more from the other halves of the words' hashes, so that a shingle has 128 bits in all.
+    """
     n_rows = len(offsets) - 1
+    data = _LOWER[data]
     start, end, first = words_of(data, offsets)
-    word = RangeHash(_LOWER[data])(start, end)
     counts = np.diff(first)
     per_row = np.where(counts >= n, counts - n + 1, 0)
     row = np.repeat(np.arange(n_rows), per_row)
     at = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row) + first[row]
-    key = np.zeros(len(at), U64)
-    for j in range(n):
-        key += word[at + j] * _STEP[j]
     short = np.flatnonzero((counts > 0) & (counts < n))
-    small = np.zeros(len(short), U64)
-    for j in range(n - 1):
-        live = counts[short] > j
-        small[live] += word[first[short[live]] + j] * _STEP[j + 32]
-    key, row = splitmix64(np.concatenate([key, small])), np.concatenate([row, short])
-    # Rows are few and each row's hashes many: sort row by row.
-    order = np.argsort(row, kind="stable")
-    key, row = key[order], row[order]
-    bounds = np.searchsorted(row, np.arange(n_rows + 1))
-    for r in range(n_rows):
-        key[bounds[r] : bounds[r + 1]].sort()
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-    return key[fresh], row[fresh]
+    rows = np.concatenate([row, short])
+    # Each row's shingles stand together, and a row has either long or short ones.
+    order = np.argsort(rows, kind="stable") if len(short) else None
+    rows = rows if order is None else rows[order]
+    out: list[np.ndarray] = []
+    for word in _word_hashes(data, start, end)[: 1 + both]:
+        key = np.zeros(len(at), U64)
+        for j in range(n):
+            key = splitmix64(key ^ word[at + j])
+        small = counts[short].astype(U64)
+        for j in range(n - 1):
+            live = counts[short] > j
+            small[live] = splitmix64(small[live] ^ word[first[short[live]] + j])
+        key = np.concatenate([key, small])
+        out += _distinct(key if order is None else key[order], rows, n_rows)
+    return tuple(out)
 
 
 def superminhash(key: np.ndarray, row: np.ndarray, n_rows: int, m: int) -> np.ndarray:
@@ -131,14 +153,11 @@ def signatures(docs: DataFrame, params: NearDupParams) -> DataFrame:
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(text_column(batch, "text")):
                 n = hi - lo
-                key, row = shingle_sets(data, offsets, params.shingle)
+                key, row, other, other_row = shingle_sets(data, offsets, params.shingle, both=True)
                 count = np.bincount(row, minlength=n)
-                prints = []
-                for salt in (1 << 41, 1 << 42):
-                    sums = np.zeros(len(key) + 1, U64)
-                    np.cumsum(splitmix64(key ^ U64(salt)), out=sums[1:])
-                    bound = np.searchsorted(row, np.arange(n + 1))
-                    prints.append(_signed(sums[bound[1:]] - sums[bound[:-1]]))
+                one, two = (np.searchsorted(r, np.arange(n + 1)) for r in (row, other_row))
+                digests = [hashlib.blake2b(key[one[r] : one[r + 1]].tobytes() + other[two[r] : two[r + 1]].tobytes(), digest_size=16).digest() for r in range(n)]
+                prints = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T.copy()
                 keys = _signed(band_keys(superminhash(key, row, n, params.bands * params.rows), params).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * params.bands), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(count.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
@@ -200,8 +219,11 @@ def _cross_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     The prefix filter of set-similarity joins, which is exact: order elements from rare to common; a set of n elements
     shares at least ceil(percent * n / 100) of them with any similar set, so two similar sets share one of their first
-    n - that + 1.  Elements of one class alone count in the order but can't be shared, so they never become rows.
-    The places of a shared element bound the overlap further.
+    n - that + 1.  With a set that isn't smaller it even shares ceil(2 * percent * n / (100 + percent)), so of each pair
+    the smaller set need only be looked up by its first n - that + 1 (its ``core``).  Elements of one class alone count in
+    the order but can't be shared, so they never become rows.  The places of a shared element bound the overlap further.
+    Holders of an element meet by component: pairs of components are formed first, so that a component with most of an
+    element's holders meets the others' holders but never itself.
     """
     own = sets.hint("merge").join(rest.select(F.col("rep").alias("doc_id"), "n", "root"), "doc_id").select("doc_id", "n", "root", F.explode("elements").alias("e"))
     common = own.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("c > 1")
@@ -209,15 +231,20 @@ def _cross_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     by_doc = Window.partitionBy("doc_id")
     ranked = held.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("c", "e")))
     needed = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
-    prefix = ranked.withColumn("place", F.col("alone") + F.col("r")).where((F.col("place") <= needed) & F.col("mixed")).select("e", F.col("doc_id").alias("rep"), "n", "root", "place")
+    core = F.expr(f"place <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
+    prefix = ranked.withColumn("place", F.col("alone") + F.col("r")).where((F.col("place") <= needed) & F.col("mixed")).select("e", F.col("doc_id").alias("rep"), "n", "root", "place", core.alias("core"))
     prefix = materialise(prefix, "prefix")
-    mixed = prefix.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("e")
-    live = prefix.hint("merge").join(mixed, "e")
-    a, b = (live.select("e", *(F.col(c).alias(c + s) for c in ("rep", "n", "root", "place"))) for s in "ab")
+    # One row for each element and component that holds it, with whether a core does.
+    holders = prefix.groupBy("e", "root").agg(F.bool_or("core").alias("core"))
+    looked = holders.where("core").select("e", F.col("root").alias("rootb"))
+    met = holders.select("e", F.col("root").alias("roota")).hint("merge").join(looked, "e").where("roota <> rootb")
+    a, b = (prefix.where("core") if s == "b" else prefix for s in "ab")
+    a, b = (t.select("e", *(F.col(c).alias(c + s) for c in ("rep", "n", "root", "place"))) for t, s in ((a, "a"), (b, "b")))
     # If e is the first element they share, they share at most it and what comes after it in the shorter rest.
     reach = F.expr(f"1 + least(na - placea, nb - placeb) >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    fits = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & reach & (F.col("roota") != F.col("rootb")) & (F.col("repa") < F.col("repb"))
-    return a.hint("merge").join(b, "e").where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+    fits = (F.col("nb") <= F.col("na")) & (F.lit(100) * F.col("nb") >= F.lit(percent) * F.col("na")) & reach
+    both = a.hint("merge").join(met, ["e", "roota"]).hint("merge").join(b, ["e", "rootb"]).where(fits)
+    return both.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,6 +280,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), do
     mixed = where.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = where.hint("merge").join(mixed, "key").select("rep", "n", "root").distinct()
     more = materialise(verify(_cross_pairs(rest, sets, params.percent), sets, params.percent), "links")
+    for done in (buckets, members, sets):
+        discard(done)
     if not more.isEmpty():
         roots = union_find(links.union(more))
 
@@ -266,8 +295,10 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), do
 def keep_one_of_each(docs: DataFrame, params: NearDupParams = NearDupParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that near-duplicate grouping keeps, with all columns: one row of each group.
 
-    Rows that repeat an id are copies of one document, so one of them stays; rows with a null id stay.
+    Rows that repeat an id and text are copies, so one of them stays; rows that repeat an id with another text all stay
+    where the id does, as do rows with a null id.
     """
     kept = near_duplicates(docs, params, doc_id, text).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id).cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id])
+    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id).cast("long") == F.col("_kept_id"), "left_semi")
+    named = named.withColumn("_kept_text", F.xxhash64(F.col(text), F.octet_length(F.col(text)))).dropDuplicates([doc_id, "_kept_text"]).drop("_kept_text")
     return named.unionByName(docs.where(F.col(doc_id).isNull()))
