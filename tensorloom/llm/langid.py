@@ -9,10 +9,15 @@ radius depends on their number n: a language's usual cosine is fitted as 1 / sqr
 held back from its centroids, and the radius is set from a low quantile of these texts' cosines over the usual one.
 
 The classifier is fit on at most ``per_language`` documents of each language (a documented bound); every document is
-then judged on its whole text.  Scoring is one pass without a shuffle; the model is a few hundred kilobytes.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; a table without labelled
-rows gives ``und`` everywhere; equal texts get equal answers; a null doc_id is carried through and isn't learned from.
+then judged on its whole text.  Executors turn the sampled texts into sparse counts, at most one number a bucket however
+long a text is, so that is all the driver gets; it holds the dense vectors of one language at a time.  Scoring is one pass
+without a shuffle; the model is a few hundred kilobytes.
+
+Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; without labelled rows nothing
+can be told apart, so every text is ``und`` with score 0, and only texts without a letter are rejected; equal cosines
+(also of 0, where a text shares no n-gram with any centroid) go to the language that is first by code point; equal texts
+get equal answers; rows that repeat an id and text are learned once; a null doc_id is carried through and isn't learned
+from; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ from pyspark.sql import functions as F
 from tensorloom.llm import _tables
 from tensorloom.llm._blocks import U64, byte_blocks, text_column
 from tensorloom.llm._grams import lowered, plain, rolling
-from tensorloom.llm._sample import held_out, sample_per_class, sample_texts
+from tensorloom.llm._sample import held_out, sample_per_class, sampled_rows
 
 UNKNOWN = "und"
+#: Bytes that one pass covers: its arrays stay within a core's cache.
+_BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -61,23 +68,43 @@ class LangIdModel:
         return least / np.sqrt(base + slope / np.maximum(n, 1))
 
 
-def vectors(texts: pa.Array, params: LangIdParams, idf: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Unit TF-IDF vectors (rows x buckets) of about 256 texts at a time; raw counts' logarithms where ``idf`` is None."""
-    for _, _, data, offsets in byte_blocks(lowered(texts)):
+def _grams_of(texts: pa.Array, params: LangIdParams) -> Iterator[list[np.ndarray]]:
+    """The buckets of all n-grams of each text, one array per length."""
+    for _, _, data, offsets in byte_blocks(lowered(texts), _BLOCK):
         data, offsets = plain(data, offsets)
         grams = [((h >> U64(20)) & U64(params.buckets - 1)).astype(np.int32) for _, h in rolling(data, params.lengths)]
-        for lo in range(0, len(offsets) - 1, 256):
-            hi = min(lo + 256, len(offsets) - 1)
-            out = np.zeros((hi - lo, params.buckets), np.float32)
-            for r in range(lo, hi):
-                ends = [max(offsets[r], offsets[r + 1] - n + 1) for n in params.lengths]
-                out[r - lo] = np.bincount(np.concatenate([g[offsets[r] : e] for g, e in zip(grams, ends, strict=True)]), minlength=params.buckets)
-            np.log1p(out, out=out)
-            if idf is not None:
-                out *= idf
-            norm = np.sqrt(np.einsum("ij,ij->i", out, out))
-            out /= np.maximum(norm, 1e-12)[:, None]
-            yield out
+        for r in range(len(offsets) - 1):
+            yield [g[offsets[r] : max(offsets[r], offsets[r + 1] - n + 1)] for g, n in zip(grams, params.lengths, strict=True)]
+
+
+def counts(texts: pa.Array, params: LangIdParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the buckets of its n-grams, ascending, and how often each occurs."""
+    for grams in _grams_of(texts, params):
+        many = np.bincount(np.concatenate(grams), minlength=params.buckets)
+        bucket = np.flatnonzero(many)
+        yield bucket.astype(np.int32), many[bucket].astype(np.int32)
+
+
+def vectors(texts: pa.Array, params: LangIdParams, idf: np.ndarray) -> Iterator[np.ndarray]:
+    """Unit TF-IDF vectors (rows x buckets) of up to 256 texts at a time."""
+    out = np.zeros((256, params.buckets), np.float32)
+    n = 0
+    for grams in _grams_of(texts, params):
+        out[n] = np.bincount(np.concatenate(grams), minlength=params.buckets)
+        n += 1
+        if n == len(out):
+            yield _unit(out, idf)
+            n = 0
+    if n:
+        yield _unit(out[:n], idf)
+
+
+def _unit(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Counts as unit TF-IDF vectors, in place."""
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -118,32 +145,44 @@ def _radius(cos: np.ndarray, n: np.ndarray, params: LangIdParams) -> tuple[float
     return base, slope, params.slack * float(np.quantile(cos * np.sqrt(terms @ [base, slope]), params.quantile))
 
 
-def fit(rows: list[tuple[str, str]], params: LangIdParams = LangIdParams()) -> LangIdModel | None:
-    """A model from (language, text) pairs; None where no text has a letter."""
-    rows = [(lang, text) for lang, text in rows if pc.match_substring_regex(pa.array([text]), r"\p{L}")[0].as_py()]
+def fit_counts(rows: list[tuple[str, np.ndarray, np.ndarray]], params: LangIdParams = LangIdParams()) -> LangIdModel | None:
+    """A model from (language, buckets, counts) of texts; None without texts."""
     if not rows:
         return None
-    texts = pa.array([text for _, text in rows], pa.large_string())
-    raw = np.concatenate(list(vectors(texts, params, None)))
-    idf = (np.log((1 + len(rows)) / (1 + (raw > 0).sum(0))) + 1).astype(np.float32)
-    x = raw * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    langs = np.array([lang for lang, _ in rows])
-    grams = (x > 0).sum(1)
+    held = np.zeros(params.buckets, np.int64)
+    for _, bucket, _ in rows:
+        held[bucket] += 1
+    idf = (np.log((1 + len(rows)) / (1 + held)) + 1).astype(np.float32)
     centres, owner, radius = [], [], []
-    for lang in sorted(set(langs.tolist())):
-        own = _cluster(x[langs == lang], params.centroids, params.rounds)
-        centres.append(own)
-        owner += [lang] * len(own)
-        radius += [_radius(_held_back(x[langs == lang], params), grams[langs == lang], params)] * len(own)
+    for lang in sorted({lang for lang, _, _ in rows}):
+        own = [(bucket, many) for name, bucket, many in rows if name == lang]
+        x = np.zeros((len(own), params.buckets), np.float32)
+        for r, (bucket, many) in enumerate(own):
+            x[r, bucket] = many
+        _unit(x, idf)
+        centre = _cluster(x, params.centroids, params.rounds)
+        centres.append(centre)
+        owner += [lang] * len(centre)
+        radius += [_radius(_held_back(x, params), np.array([len(bucket) for bucket, _ in own]), params)] * len(centre)
     return LangIdModel(params, idf, np.concatenate(centres), owner, np.array(radius))
 
 
+def _lettered(texts: pa.Array) -> np.ndarray:
+    return pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def fit(rows: list[tuple[str, str]], params: LangIdParams = LangIdParams()) -> LangIdModel | None:
+    """A model from (language, text) pairs; None where no text has a letter."""
+    texts = pa.array([text for _, text in rows], pa.large_string())
+    lettered = _lettered(texts) if rows else []
+    return fit_counts([(lang, *found) for (lang, _), found, ok in zip(rows, counts(texts, params), lettered, strict=True) if ok], params)
+
+
 def predict(texts: pa.Array, model: LangIdModel | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of each text of an Arrow string column without nulls."""
-    letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+    letters = _lettered(texts)
     if model is None or not len(texts):
-        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), ~letters
     best, near, grams = [], [], []
     for x in vectors(texts, model.params, model.idf):
         cos = x @ model.centroids.T
@@ -158,7 +197,26 @@ def predict(texts: pa.Array, model: LangIdModel | None) -> tuple[list[str], np.n
 def fit_documents(docs: DataFrame, params: LangIdParams = LangIdParams(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LangIdModel | None:
     """Learn from documents that aren't held out and have a language."""
     ids = sample_per_class(docs.where(~held_out(doc_id)), doc_id, lang, params.per_language)
-    return fit([(key, body) for _, key, body in sample_texts(docs, ids, doc_id, text)], params)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tables.enter("langid")
+        for batch in batches:
+            batch = batch.filter(pa.array(_lettered(text_column(batch, "text"))))
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                found = list(counts(text_column(part, "text"), params))
+                lists = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc_id", "key", "bucket", "many"])
+
+    rows = sampled_rows(docs, ids, doc_id, text).mapInArrow(count, "doc_id long, key string, bucket array<int>, many array<int>").toArrow()
+    if not rows.num_rows:
+        return None
+    # In a fixed order, repeated rows once: the model is the same at every rerun.
+    columns = [rows.column(c).combine_chunks() for c in ("doc_id", "key", "bucket", "many")]
+    found = {(d, k): i for i, (d, k) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True))}
+    if len(found) < rows.num_rows:
+        found = {(d, k, b.as_py() and tuple(b.as_py()), tuple(m.as_py())): i for i, (d, k, b, m) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3], strict=True))}
+    return fit_counts([(key[1], columns[2][i].values.to_numpy(), columns[3][i].values.to_numpy()) for key, i in sorted(found.items())], params)
 
 
 def identify(docs: DataFrame, model: LangIdModel | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

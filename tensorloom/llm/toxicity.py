@@ -6,12 +6,15 @@ of a window of words are averaged, a linear softmax gives the window's score, an
 one insult in a long text isn't thinned out.  Table and softmax are trained together by Adagrad on log loss, first on
 averages of whole texts, then on each text's worst window.
 
-The classifier is fit on at most ``per_class`` labelled documents of each class (a documented bound).  A trained model
+The classifier is fit on at most ``per_class`` labelled documents of each class, none of more than ``max_text_bytes`` (both
+documented bounds).  A trained model
 needs one number per bucket (embedding times the difference of the two softmax rows), half a megabyte, so scoring is a
 table look-up over all bytes of every whole text in one pass without a shuffle.
 
 Defined results: an empty or null text, or one without letters, scores ``EMPTY`` (0); without labelled rows every score
-is 0; equal texts score alike; labels with a null id or value are ignored; a null doc_id is carried through.
+is 0; equal texts score alike; labels with a null id or value are ignored; labels that contradict each other for one id
+count as toxic; rows that repeat an id and text are learned once; a null doc_id is carried through; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ EMPTY = 0.0
 @dataclass(frozen=True)
 class ToxicityParams:
     per_class: int = 800
+    #: Labelled texts of more bytes than this aren't learned from (they are scored like all others).
+    max_text_bytes: int = 1 << 17
     lengths: tuple[int, ...] = (3, 4, 5, 6)
     buckets: int = 1 << 17
     dim: int = 8
@@ -176,9 +181,9 @@ def fit(rows: list[tuple[int, str]], params: ToxicityParams = ToxicityParams())
 
 def fit_documents(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel | None:
     """Learn from labelled documents that aren't held out."""
-    known = labels.where(~held_out(doc_id) & F.col(label).isin(0, 1))
+    known = labels.where(~held_out(doc_id) & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias(label))
     ids = sample_per_class(known, doc_id, label, params.per_class)
-    return fit([(int(key), body) for _, key, body in sample_texts(docs, ids, doc_id, text)], params)
+    return fit([(int(key), body) for _, key, body in sample_texts(docs, ids, doc_id, text, params.max_text_bytes)], params)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel | None, doc_id: str = "doc_id", text: str = "text", threshold: float = ToxicityParams.threshold) -> DataFrame:
