@@ -5,8 +5,9 @@ length whatever the corpus: a bin is filled greedily with the largest piece that
 to two unpacked pieces if these fill the widened gap more tightly; the bin is repeated while its pieces last.  A
 repetition ends when some length has too few pieces left, so there are at most sum(capacity / length) different bins.
 
-Pieces are then ranked within their length and looked up in the plan.  Ranks are counted within hash shares of a length
-and offset by the shares before, so a length that a third of all pieces have is no single task's work.
+Pieces are then ranked within their length and looked up in the plan.  Ranks are counted within shares of a length and
+offset by the shares before, so a length that a third of all pieces have is no single task's work, whatever their ids
+and texts: shares are dealt in turn when pieces are cut, and stay in the table of pieces.
 
 Defined results: a null or empty text is the end mark alone; equal rows are packed each on its own; a null doc_id is
 carried through; an empty table gives an empty table; other columns are not read.
@@ -14,6 +15,7 @@ carried through; an empty table gives an empty table; other columns are not read
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +29,11 @@ from tokenizers import Tokenizer
 from tensorloom.llm import _tables
 from tensorloom.llm._shared import materialise
 
-#: Entries after which a worker's table of words is emptied; it only saves time.
-TABLE_LIMIT = 1_300_000
+#: Entries of a worker's table of words at most; it only saves time.  When half of them are new, words not met since the
+#: last time are forgotten.
+TABLE_LIMIT = 800_000
+#: Shares in which the pieces of a length are ranked.
+SHARES = 1024
 #: White space on which this tokenizer's library and ``str.split`` agree; texts with other white space take the slow way.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -60,6 +65,10 @@ class WordIds:
         alone = self.library.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = alone[0] if len(alone) == 1 else None
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.table, self.older = {}, {}
 
     def _simple(self, text: str) -> bool:
         """Whether lower-casing and cutting at white space is all that happens before single words are encoded."""
@@ -93,36 +102,45 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [text.lower().split() if self._simple(text) else None for text in texts]
         met = set().union(*(ws for ws in words if ws))
-        missing = [w for w in met if w not in self.table]
+        if len(self.table) + len(met) > TABLE_LIMIT // 2:
+            self.table, self.older = {}, self.table
+        table, older = self.table, self.older
+        unmet = [w for w in met if w not in table]
+        missing = []
+        for w in unmet:
+            ids = older.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                table[w] = ids
         if missing:
-            if len(self.table) + len(missing) > TABLE_LIMIT:
-                self.table.clear()
-                missing = list(met)
             self._learn(missing)
         look = self.table.__getitem__
         return [b"".join(map(look, ws)) if ws is not None else np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for ws, text in zip(words, texts, strict=True)]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32 and a share of every piece of every document; shares go round in turn."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds.load(tokenizer)
-        _tables.enter("words", coder.table.clear)
+        _tables.enter("words", coder.forget)
         tail = np.array([end_id], "<u4").tobytes()
+        turn = secrets.randbelow(SHARES)  # tasks begin with different shares
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                owner, piece, start, length, crc = [], [], [], [], []
+                owner, piece, start, length, crc, share = [], [], [], [], [], []
                 for i, ids in enumerate(coder.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += tail
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
-                        owner.append(i), piece.append(k), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        owner.append(i), piece.append(k), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own)), share.append(turn % SHARES)
+                        turn += 1
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(share, pa.int32())], names=["doc_id", "piece", "start", "length", "ids_crc32", "share"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, share int")
 
 
 @dataclass
@@ -151,7 +169,7 @@ def _fill(free: np.ndarray, capacity: int) -> dict[int, int]:
         bin_[n] = take
         gap -= take * n
         lengths = lengths[:k]
-    if gap == 0 or sum(bin_.values()) < 2:
+    if gap == 0:
         return bin_
     small = min(bin_)
     room = gap + small
@@ -204,9 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     ``tokenizer`` is the path of a tokenizers ``.json`` file on every executor; its ids are taken without added tokens.
     """
-    spark = docs.sparkSession
-    shares = min(4096, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    pieces = materialise(pieces_of(docs, tokenizer, capacity, end_id, doc_id, text).withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)).cast("int")), "pieces")
+    pieces = materialise(pieces_of(docs, tokenizer, capacity, end_id, doc_id, text), "pieces")
     shared = pieces.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
     # At most one row per length, so at most ``capacity`` of them.
     histogram = shared.groupBy("length").agg(F.sum("n").alias("n")).collect()

@@ -30,6 +30,33 @@ def test_plan_is_tight():
         assert least <= plan.bins <= least * 1.02 + 1 or sizes.min() > 600
 
 
+def test_a_bin_of_one_document_is_exchanged_too():
+    plan = plan_bins(np.array([1024, 1500]), np.array([2, 1]), 2048)
+    assert plan.bins == 2
+    first = {int(n) for n, b in zip(plan.length, plan.bin) if b == 0}
+    assert first == {1024}  # 1500 gives way to two of 1024, which leave no gap
+
+
+def test_forgotten_words(monkeypatch):
+    from tensorloom.llm import packing
+
+    monkeypatch.setattr(packing, "TABLE_LIMIT", 40)
+    coder, library = WordIds(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [" ".join(f"word{rng.randrange(60)}" for _ in range(12)) for _ in range(3)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(coder.table) + len(coder.older) <= 100
+
+
+def test_equal_rows_without_ids_are_ranked_in_many_shares(spark):
+    from tensorloom.llm.packing import SHARES, pieces_of
+
+    df = spark.createDataFrame([(None, "same text")] * 3000, "doc_id long, text string").coalesce(1)
+    shares = pieces_of(df, PATH, 2048, 0, "doc_id", "text").groupBy("share").count().collect()
+    assert len(shares) == SHARES and max(r["count"] for r in shares) <= 3
+
+
 def test_rows(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["alpha", "beta!", "É", "x1"]) for _ in range(rng.choice([0, 3, 50, 400, 3000]))), 5) for i in range(200)]
