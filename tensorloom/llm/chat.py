@@ -12,8 +12,10 @@ character; backslashes are doubled.  So no text can end its turn, and reading a
 text exactly.  The loss mask is the spans of assistant texts.
 
 Defined results: a null text or role is empty; a message whose parent is missing starts a path; messages that only reach
-a cycle have no root and are left out; rows with a null tree are one tree of their own; equal messages of a flat
-conversation are ordered by turn, role and text, and each stays; an empty table gives an empty table.
+a cycle have no root and are left out; rows with a null tree are one tree of their own; rows that repeat a (tree, node)
+are one message, of which the row with the least parent (null first), score, role and text counts; a row with a null node
+can't be placed in its tree and is left out; equal messages of a flat conversation are ordered by turn, role and text, and
+each stays; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -87,11 +89,22 @@ def flat_messages(conversations: DataFrame, conv_id: str = "conv_id", turn: str
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
+def single_messages(messages: DataFrame) -> DataFrame:
+    """One row for each (tree, node) that isn't null, and all columns: the least row by parent, score, role and text."""
+    rest = [c for c in ("parent", "score", "role", "text") if c in messages.columns]
+    least = messages.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("least"))
+    return least.select("tree", "node", "least.*")
+
+
 def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, place, node): the messages of each tree's ``top`` best branches (all: None), in order from the root.
 
-    ``messages``: tree, node (unique in its tree), parent (null at a root), score.  Branches rank by mean score, ties by leaf.
+    ``messages``: tree, node, parent (null at a root), score.  Branches rank by mean score, ties by leaf.
     """
+    return _branches(single_messages(messages.select("tree", "node", "parent", "score")), top)
+
+
+def _branches(messages: DataFrame, top: int | None) -> DataFrame:
     links = materialise(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "links")
     largest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     rounds = max(1, math.ceil(math.log2(max(2, largest))))
@@ -124,9 +137,13 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     return row.select("tree", "leaf", "rank", "place", "node")
 
 
-def format_conversations(messages: DataFrame, top: int | None = 1) -> DataFrame:
-    """(tree, leaf, rank, formatted, loss_spans): one string per chosen branch.  ``messages``: tree, node, parent, score, role, text."""
-    paths = branches(messages, top)
+def format_conversations(messages: DataFrame, top: int | None = 1, unique: bool = False) -> DataFrame:
+    """(tree, leaf, rank, formatted, loss_spans): one string per chosen branch.  ``messages``: tree, node, parent, score, role, text.
+
+    ``unique``: the caller knows that no (tree, node) repeats, as in ``flat_messages``, so repeats needn't be looked for.
+    """
+    messages = messages if unique else single_messages(messages)
+    paths = _branches(messages, top)
     texts = messages.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = paths.hint("merge").join(texts, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select("tree", "leaf", "rank", "place", "role", "text")
     ordered = turns.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place")

@@ -61,3 +61,11 @@ def test_flat(spark):
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.formatted_chars == len(format_turns([x[1:] for x in own])[0])
     assert digests(format_conversations(flat_messages(df.limit(0)))).count() == 0
+
+
+def test_repeated_messages_and_missing_nodes(spark):
+    rows = [(1, 0, None, 1.0, "user", "root")] * 2 + [(1, 1, 0, 4.0, "assistant", "reply"), (1, 1, 0, 5.0, "assistant", "other"), (1, None, 0, 9.0, "user", "lost"), (2, None, None, 1.0, "user", "alone"), (None, 7, None, None, None, None)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")
+    assert {tuple(r) for r in branches(df, None).collect()} == {(1, 1, 1, 0, 0), (1, 1, 1, 1, 1), (None, 7, 1, 0, 7)}
+    got = {(r.tree, r.leaf): read_turns(r.formatted) for r in format_conversations(df, None).collect()}
+    assert got == {(1, 1): [("user", "root"), ("assistant", "reply")], (None, 7): [("", "")]}
