@@ -7,12 +7,12 @@ multipliers solve a convex dual by Newton's method on the logarithm of the words
 
 Rates depend on source and size alone, so Newton iterations are aggregations over a histogram of (source, size), joined
 with a table of multipliers; documents are read once to make it.  Rates are rounded into whole copies by systematic
-sampling over sizes in order, then a few copies are added or dropped until a source misses its target by less than a
-document.  Within a (source, size) the documents with the smallest hashes get the odd copies, ranked in hash shares, so
+sampling over sizes in order, then copies are added or dropped until no document's change brings a source nearer to its
+target.  Within a (source, size) the documents with the smallest hashes get the odd copies, ranked in hash shares, so
 a source or a size with a third of all rows is nobody's single task.  The targets are one window over one row a source.
 
 Defined results: a null text has size 0 and so takes 0 words; null sources are a source of their own, the last; a source
-without words has target 0; equal rows are ranked each on its own, in any order among themselves; an empty table gives
+without words has target 0; a source that can't be brought to its target is an error, never a silent miss; equal rows are ranked each on its own, in any order among themselves; an empty table gives
 an empty table; all choices depend on the rows alone, so reruns agree.  Other columns are not read by ``mix``.
 """
 
@@ -36,9 +36,9 @@ class MixParams:
     #: Words of the mix as a part of all words, in percent.
     total_percent: int = 150
     max_copies: int = 2
-    max_iterations: int = 40
+    #: Newton's method takes a few; a source that hasn't reached its target after so many is an error.
+    max_iterations: int = 200
     tolerance: float = 1e-9
-    repairs: int = 6
 
 
 def word_count(text: Column) -> Column:
@@ -94,8 +94,8 @@ def _multipliers(histogram: DataFrame, targets: DataFrame, params: MixParams) ->
         discard(state)
         state = new
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= params.tolerance:
-            break
-    return state
+            return state
+    raise RuntimeError(f"the mix misses a target after {params.max_iterations} iterations")
 
 
 def _group_copies(histogram: DataFrame, state: DataFrame, params: MixParams) -> DataFrame:
@@ -107,11 +107,11 @@ def _group_copies(histogram: DataFrame, state: DataFrame, params: MixParams) ->
     copies = F.floor(F.col("upto") + 0.5) - F.floor(F.coalesce(F.lag("upto").over(Window.partitionBy("key").orderBy(F.col("size").desc())), F.lit(0.0)) + 0.5)
     most = F.lit(params.max_copies) * F.col("n")
     groups = materialise(total.select("key", "size", "n", F.least(most, F.greatest(F.lit(0), copies)).cast("long").alias("copies"), "rate", "source_size", "target"), "groups")
-    for _ in range(params.repairs):
+    while True:  # each round brings every source that it changes nearer to its target, by whole words
         short = groups.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
         at = groups.hint("merge").join(short, "key")
         free = F.when(F.col("short") > 0, most - F.col("copies")).otherwise(F.col("copies"))
-        usable = (F.col("size") > 0) & (F.col("size") <= F.abs("short") + 0.5) & (free > 0)
+        usable = (F.col("size") > 0) & (F.col("size") <= F.abs("short") + 0.5) & (F.col("size") < 2 * F.abs("short")) & (free > 0)
         pick = F.max(F.when(usable, F.col("size"))).over(Window.partitionBy("key"))
         times = F.least(free, F.greatest(F.lit(1), F.floor(F.abs("short") / F.col("size"))))
         change = F.when(F.col("size") == F.col("pick"), F.signum("short") * times).otherwise(0)

@@ -77,3 +77,23 @@ def test_documents(spark):
         want[r.doc_id] += r.copies
     assert Counter(r.doc_id for r in out.collect()) == +want
     assert mix(df.limit(0)).count() == 0 and mixed_documents(df.limit(0)).count() == 0
+
+
+def test_a_missed_target_is_an_error(spark):
+    from tensorloom.llm.mixing import MixParams
+
+    df = spark.createDataFrame(table(), "doc_id long, text string, source string, size string")
+    with pytest.raises(RuntimeError, match="misses a target"):
+        mix(df, MixParams(max_iterations=1))
+
+
+def test_no_document_could_bring_a_source_nearer(spark):
+    """Very long texts beside short ones: each source ends within half its smallest document that could still change."""
+    rows = [(0, "w " * 300_000, "a"), (1, "w " * 7, "a"), (2, "w " * 7, "a"), (3, "w " * 50_000, "b"), (4, "w", "b"), (5, "", None)] + [(10 + i, "w " * (i + 1), "c") for i in range(50)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    for s in ("a", "b", "c"):
+        own = [r for r in got if source[r.doc_id] == s]
+        miss = own[0].target - sum(r.taken for r in own)
+        steps = [r.size for r in own if r.size and (r.copies < 2 if miss > 0 else r.copies > 0)]
+        assert all(abs(miss) <= x / 2 + 1e-6 for x in steps), (s, miss, steps)
