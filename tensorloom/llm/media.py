@@ -1,11 +1,13 @@
 """Media columns: payloads stored as lossless 8-bit images in archives, and a Spark data source that reads them back.
 
 Writing packs each payload as an 8-bit greyscale PNG of fixed width into ZIP archives (members stored, archives of about
-``ARCHIVE_BYTES``), one open archive per task.  A commit message carries what a task wrote; only archives of committed
-tasks get a name that readers look at, so a lost executor's or a second attempt's files are never read.
+``ARCHIVE_BYTES``), one open archive per task.  A commit message carries what a task wrote.  When all tasks are done, one
+manifest that names their archives and sizes is put in place by a single rename, and readers read only what manifests
+name: a lost executor's or a second attempt's files are never read, and a driver lost midway leaves nothing visible.
+Archives of the job that no committed task names are then removed.
 
-Reading plans partitions as byte ranges of the archives in a folder: the driver lists files and sizes only, whatever the
-number of members.  A range reads its archive's directory, takes the members whose header starts in the range, checks
+Reading plans partitions as byte ranges of the archives in a folder's manifests: the driver reads names and sizes only,
+whatever the number of members.  A range reads its archive's directory, takes the members whose header starts in the range, checks
 each one's checksum, and streams payloads through Arrow in bounded batches.  A member that fails to read is tried again
 by its own offset on a newly opened file; the others are not read again.  After the last attempt the task fails, or, with
 option ``permissive``, the member becomes a row with an error.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import struct
 import time
 import uuid
@@ -100,7 +103,7 @@ class _Sink(io.RawIOBase):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    files: list[tuple[str, int]]
 
 
 @dataclass
@@ -136,42 +139,50 @@ class MediaArchives(DataSource):
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.folder = options["path"]
+        self.job = uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, root = _file_system(self.folder)
         system.create_dir(root, recursive=True)
-        files: list[str] = []
-        stream = archive = sink = None
+        files: list[tuple[str, int]] = []
+        stream = archive = sink = name = None
         count = 0
         for batch in batches:
             for doc_id, n_bytes, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if archive is None:
-                    files.append(f"{uuid.uuid4().hex}.pending")
-                    stream = system.open_output_stream(f"{root}/{files[-1]}")
+                    name = f"{self.job}-{uuid.uuid4().hex}.zip"
+                    stream = system.open_output_stream(f"{root}/{name}")
                     sink = _Sink(stream)
                     archive, count = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED), 0
                 archive.writestr(zipfile.ZipInfo(f"{count}/{'' if doc_id is None else doc_id}/{n_bytes}.png"), encode_png(payload))
                 count += 1
                 if sink.at > ARCHIVE_BYTES or count >= ARCHIVE_MEMBERS:
                     archive.close(), stream.close()
+                    files.append((name, sink.at))
                     archive = None
         if archive is not None:
             archive.close(), stream.close()
+            files.append((name, sink.at))
         return Written(files)
 
     def commit(self, messages) -> None:
         system, root = _file_system(self.folder)
         system.create_dir(root, recursive=True)
-        for m in messages:
-            for name in m.files if m else ():
-                system.move(f"{root}/{name}", f"{root}/{name.removesuffix('.pending')}.zip")
+        files = [f for m in messages if m for f in m.files]
+        with system.open_output_stream(f"{root}/{self.job}.pending") as out:
+            out.write(json.dumps(files).encode())
+        system.move(f"{root}/{self.job}.pending", f"{root}/{self.job}.manifest")
+        self._remove({name for name, _ in files})
 
     def abort(self, messages) -> None:
+        self._remove(set())
+
+    def _remove(self, keep: set[str]) -> None:
+        """This job's archives besides ``keep``: those of lost or repeated tasks."""
         system, root = _file_system(self.folder)
-        for m in messages:
-            for name in m.files if m else ():
-                if system.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
-                    system.delete_file(f"{root}/{name}")
+        for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith(f"{self.job}-") and f.base_name not in keep:
+                system.delete_file(f.path)
 
 
 class ArchiveReader(DataSourceReader):
@@ -182,10 +193,14 @@ class ArchiveReader(DataSourceReader):
         self.permissive = str(options.get("permissive", "false")).lower() == "true"
 
     def partitions(self) -> list[Range]:
-        """Byte ranges of the archives; only names and sizes are looked at."""
+        """Byte ranges of the archives that manifests name."""
         system, root = _file_system(self.folder)
-        found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".zip"))
-        return [Range(path, at, min(at + self.range_bytes, size)) for path, size in found for at in range(0, size, self.range_bytes)]
+        found = []
+        for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.endswith(".manifest"):
+                with system.open_input_file(f.path) as manifest:
+                    found += [(f"{root}/{name}", size) for name, size in json.loads(manifest.read())]
+        return [Range(path, at, min(at + self.range_bytes, size)) for path, size in sorted(found) for at in range(0, size, self.range_bytes)]
 
     def _member(self, system: fs.FileSystem, path: str, info: zipfile.ZipInfo, file) -> bytes:
         """The stored bytes of a member, by its offset."""

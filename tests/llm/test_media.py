@@ -58,3 +58,26 @@ def test_damage_and_retry(spark, monkeypatch):
     assert len(bad) == 1 and bad[0].attempts == 3 and bad[0].payload is None
     with pytest.raises(Exception, match="damaged"):
         read_media(spark, folder).collect()
+
+
+def test_only_named_archives_are_read(spark, tmp_path):
+    """Archives of a job that never ended, or of tasks that ran twice, are not read; a finished job removes its own."""
+    from tensorloom.llm.media import ArchiveWriter, Written
+
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").repartition(3)
+    folder = store_texts(df, str(tmp_path / "m"))
+    before = {p.name for p in Path(folder).iterdir()}
+    writer = ArchiveWriter({"path": folder})
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 99, "n_bytes": 1, "payload": b" " * 192}])
+    first, again = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert sorted(r.doc_id for r in read_media(spark, folder).collect()) == list(range(20))  # the driver is lost here
+    writer.commit([first, None, Written([])])
+    assert sorted(r.doc_id for r in read_media(spark, folder).collect()) == [*range(20), 99]
+    assert {p.name for p in Path(folder).iterdir()} - before == {first.files[0][0], f"{writer.job}.manifest"}
+    assert again.files[0][0] not in {p.name for p in Path(folder).iterdir()}
+    other = ArchiveWriter({"path": folder})
+    other.write(iter([batch]))
+    other.abort([])
+    assert sorted(r.doc_id for r in read_media(spark, folder).collect()) == [*range(20), 99]
