@@ -64,6 +64,8 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 36, None, True)] * 2 + [(3, 36, 3, True)] * 2 + [(5, 36, 3, False), (6, 0, 6, True), (7, 1, 7, True)], key=str)
     assert sorted((r.doc_id or -1) for r in keep_one_of_each(df).collect()) == [-1, -1, 3, 6, 7]
+    other = df.union(spark.createDataFrame([(3, "quite another text under an id that is taken")], df.schema))
+    assert sorted(r.text[:5] for r in keep_one_of_each(other).where("doc_id = 3").collect()) == ["quite", "t0 t1"]
     assert near_duplicates(df.limit(0)).count() == 0
 
 
@@ -96,3 +98,34 @@ def test_pipeline_stage_links_from_four_fifths(spark):
     kept = corpus_pipeline.keep_one_copy(spark, df, "")
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
     assert sorted(r.doc_id for r in near_duplicates(df).where("kept").collect()) == [1, 2, 3]  # op5's contract is 85 %
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y z u v"), (2, f"{two} x y z u v"), (3, f"{one.upper()}  x y z u v")]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {(1, 2, 1, True), (2, 2, 2, True), (3, 2, 1, False)}
+
+
+def test_passage_shared_by_unlinked_classes(spark):
+    """Every document shares most of its words with all others and is linked with few: nothing is lost, whatever meets."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"o{i}_{k}" for k in range(rng.choice([3, 8, 9, 10, 11, 14]))])) for i in range(60)]
+    rows += [(100 + i, " ".join(passage[: rng.randrange(50, 60)])) for i in range(20)]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+
+
+def test_whole_table_loses_no_link(spark):
+    """Every document of a whole table against links counted over all pairs that share a shingle."""
+    import duckdb
+
+    from tensorloom.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = {tuple(r) for r in con.execute(ORACLE_SQL["op5_superminhash"]).fetchall()}
+    assert {tuple(r) for r in QUERIES["op5_superminhash"](spark, folder).collect()} == want

@@ -76,3 +76,24 @@ def test_coverage_rejects_what_the_base_rules_pass():
     assert found["kept"].tolist() == [False] * 3 + [True] * 3
     for i, text in enumerate(made):
         assert {k: v[i] for k, v in found.items()} == brute(text)
+
+
+def test_exact_beyond_hashes(monkeypatch):
+    """Counts don't rest on hashes: with one that is the same for all, and on words that a polynomial modulo 2**64 confuses."""
+    import numpy as np
+
+    from tensorloom.llm import quality
+
+    one, other = colliding_words()
+    made = [f"{one}\n{other}\n" + " ".join(f"w{i}" for i in range(20)), " ".join([one, *"abcd", other, *"abcd", *map(str, range(30))])] + texts()[:120]
+    monkeypatch.setattr(quality, "_hashed", lambda values: np.zeros(len(values[0]), np.uint64) if len(values[0]) < 400 else (values[-1] % 7).astype(np.uint64))
+    found = measure(pa.array(made, pa.large_string()), QualityRules())
+    for i, text in enumerate(made):
+        assert {k: v[i] for k, v in found.items()} == brute(text), text[:60]
+    assert found["n_dup_lines"][0] == 0
+
+
+def colliding_words():
+    """The Thue-Morse word of 2048 letters and its complement."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    return word, word.translate(str.maketrans("ab", "ba"))
