@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm._shared import discard, materialise
@@ -59,9 +59,10 @@ def _targets(histogram: DataFrame, params: MixParams) -> DataFrame:
     weighed = sizes.withColumn("weight", weigh.cast("double")).withColumn("cap", cap)
     all_, before = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy(F.col("cap") / F.col("weight"), "key").rowsBetween(Window.unboundedPreceding, -1)
     # In order of cap by weight, sources stop at their caps until the level that the rest would get is below the next cap.
+    # Past that source, levels that count it as capped only fall, so the level is the largest of those that fit.
     level = (F.sum("source_size").over(all_) * (params.total_percent / 100.0) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     levelled = weighed.withColumn("level", level)
-    final = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_)
+    final = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_)
     return levelled.withColumn("final", final).select("key", "source_size", "with_words", "least", F.coalesce(F.least("cap", F.col("final") * F.col("weight")), F.col("cap")).alias("target"))
 
 
@@ -90,10 +91,11 @@ def _multipliers(histogram: DataFrame, targets: DataFrame, params: MixParams) ->
         miss = F.coalesce(F.abs(F.col("got") / F.col("target") - 1), F.lit(0.0))
         moved = at.withColumns({"lo2": lo, "hi2": hi, "miss2": miss}).withColumn("next", step)
         settled = F.col("full") | (F.col("miss2") <= params.tolerance)
-        new = materialise(moved.select("key", "source_size", "target", "mean", "full", F.when(settled, F.col("lambda")).otherwise(F.col("next")).alias("lambda"), F.when(settled, F.col("lo")).otherwise(F.col("lo2")).alias("lo"), F.when(settled, F.col("hi")).otherwise(F.col("hi2")).alias("hi"), F.when(F.col("full"), 0.0).otherwise(F.col("miss2")).alias("miss")), "multipliers")
+        worst = Observation()
+        new = materialise(moved.select("key", "source_size", "target", "mean", "full", F.when(settled, F.col("lambda")).otherwise(F.col("next")).alias("lambda"), F.when(settled, F.col("lo")).otherwise(F.col("lo2")).alias("lo"), F.when(settled, F.col("hi")).otherwise(F.col("hi2")).alias("hi"), F.when(F.col("full"), 0.0).otherwise(F.col("miss2")).alias("miss")).observe(worst, F.max("miss").alias("miss")), "multipliers")
         discard(state)
         state = new
-        if (state.agg(F.max("miss")).first()[0] or 0.0) <= params.tolerance:
+        if (worst.get["miss"] or 0.0) <= params.tolerance:
             return state
     raise RuntimeError(f"the mix misses a target after {params.max_iterations} iterations")
 
@@ -115,13 +117,13 @@ def _group_copies(histogram: DataFrame, state: DataFrame, params: MixParams) ->
         pick = F.max(F.when(usable, F.col("size"))).over(Window.partitionBy("key"))
         times = F.least(free, F.greatest(F.lit(1), F.floor(F.abs("short") / F.col("size"))))
         change = F.when(F.col("size") == F.col("pick"), F.signum("short") * times).otherwise(0)
-        fixed = materialise(at.withColumn("pick", pick).select("key", "size", "n", (F.col("copies") + F.coalesce(change, F.lit(0))).cast("long").alias("copies"), "rate", "source_size", "target", F.col("pick").isNotNull().alias("changed")), "groups")
+        moves = Observation()
+        fixed = materialise(at.withColumn("pick", pick).select("key", "size", "n", (F.col("copies") + F.coalesce(change, F.lit(0))).cast("long").alias("copies"), "rate", "source_size", "target", F.col("pick").isNotNull().alias("changed")).observe(moves, F.count_if("changed").alias("n")), "groups")
         discard(groups)
         groups = fixed.drop("changed")
         groups._loom_path = fixed._loom_path
-        if fixed.where("changed").isEmpty():
-            break
-    return groups
+        if not moves.get["n"]:
+            return groups
 
 
 def _assign(rows: DataFrame, params: MixParams) -> DataFrame:

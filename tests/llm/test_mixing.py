@@ -97,3 +97,13 @@ def test_no_document_could_bring_a_source_nearer(spark):
         miss = own[0].target - sum(r.taken for r in own)
         steps = [r.size for r in own if r.size and (r.copies < 2 if miss > 0 else r.copies > 0)]
         assert all(abs(miss) <= x / 2 + 1e-6 for x in steps), (s, miss, steps)
+
+
+@pytest.mark.parametrize("sizes", [[100 + k % 7 for k in range(20)], [10, 1000, 1000, 20, 500, 500, 5, 700], [1, 1, 1, 1000], [50] * 3])
+def test_targets_of_many_sources(spark, sizes):
+    """Some sources stop at their caps, most don't."""
+    rows = [(i, "w " * n, f"s{k:02d}") for k, n in enumerate(sizes) for i in range(20 * k, 20 * k + 3)]
+    got = {r.doc_id // 20: r.target for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    order = [f"s{k:02d}" for k in range(len(sizes))]
+    want = brute_targets({s: 3 * n for s, n in zip(order, sizes)}, order)
+    assert [got[k] for k in range(len(sizes))] == pytest.approx([want[s] for s in order])
