@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm import _tables
@@ -202,10 +202,11 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # All smaller neighbours of v, and v itself, hang on v's least neighbour.
         below = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(below, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").union(below.select("v", F.col("m").alias("u"))).distinct()
-        after = materialise(small, "edges")
+        seen = Observation()
+        after = materialise(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
         discard(now)
         now = after
-        found = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+        found = (seen.get["n"], seen.get["x"])
         if found == state:
             break
         state = found
@@ -214,6 +215,16 @@ def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def _joined_further(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further edges ``more`` (a, b): only the components that these touch are gone through again."""
+    own = roots.select(F.col("node").alias("x"), "root")
+    at = more.join(own.withColumnRenamed("x", "a"), "a", "left").select(F.coalesce("root", "a").alias("a"), "b")
+    at = at.join(own.withColumnRenamed("x", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
+    over = materialise(union_find(at).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
+    moved = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(over.select(F.col("root").alias("node"), F.col("top").alias("root")))
+
+
 def _cross_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair (a, b) of the classes ``rest`` (rep, n, root) that can be similar enough and lies in two components.
 
@@ -283,7 +294,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), do
     for done in (buckets, members, sets):
         discard(done)
     if not more.isEmpty():
-        roots = union_find(links.union(more))
+        roots = _joined_further(roots, more)
 
     class_of = known.join(reps.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep")
     rooted = class_of.join(roots, class_of["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
