@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of documents; the last returns packed pieces.
+
+Defined results, from the operators': a null or empty text goes in the first stage; null ids, languages and sources are
+carried through (a null source is a source of its own); of rows that repeat an id and text one stays; an empty table gives
+an empty table; where no document has a language, none can be told apart and only texts without letters go.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tensorloom.llm import langid, mixing, neardup, packing, quality
-from tensorloom.llm._shared import materialise
+from tensorloom.llm._shared import discard, materialise
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents in ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,4 +1,9 @@
 import datetime as dt
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +19,17 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_without_the_corpus_operators(tmp_path):
+    """In a copy without them, all other queries, their SQL and the benchmark's list are there."""
+    root = Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    (copy / "tensorloom" / "llm" / "__pycache__").mkdir(parents=True)  # as a run leaves it behind
+    code = "import __spark_entry__ as e, bench; q = e.queries(); o = e.oracle_sql(); assert set(o) <= set(q) and len(q) > 40; assert not [n for n in q if n.startswith('op') or n == 'pipeline']; print('fine')"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert said.stdout.strip() == "fine", said.stderr
+
+
 @pytest.mark.parametrize("name", ["generators", "elem_binary", "reduce_axis0", "mask_get", "scatter", "slot_batches", "true_idx", "loop_scan", "rationals", "element_sums", "element_gradient", "loop_gradient"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
