@@ -87,7 +87,107 @@ BINARY: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def is_close(a: Column, b: Column, abs_tol: float = 1e-8, rel_tol: float = 1e-5) -> Column:
-    return _no_nan(a, b) & ((a == b) | (F.abs(a - b) <= abs_tol + rel_tol * F.abs(b)))
+    """|a - b| <= abs_tol + rel_tol * |b| with IEEE infinities: equal infinities differ by NaN, so they aren't close, and all
+    finite numbers are close to an infinite ``b``.  Integers are compared exactly: see ``binary``."""
+    off = F.abs(a.cast("double") - b.cast("double"))
+    return _no_nan(a, b) & ~F.isnan(off) & (off <= abs_tol + rel_tol * F.abs(b.cast("double")))
+
+
+# -- integers --------------------------------------------------------------------------------------------------------
+#: Bits of the integer types.
+BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+_LOW32 = 0xFFFFFFFF
+
+
+def limits(kind: str) -> tuple:
+    """The least and the largest finite value of a type."""
+    if kind in BITS:
+        return -(1 << (BITS[kind] - 1)), (1 << (BITS[kind] - 1)) - 1
+    top = 3.4028234663852886e38 if kind == "float" else 1.7976931348623157e308
+    return -top, top
+
+
+def wrapped(c: Column, kind: str) -> Column:
+    """A long reduced to an integer type by dropping high bits, where a cast would be an error."""
+    spare = 64 - BITS[kind]
+    return c if not spare else F.shiftright(F.shiftleft(c, spare), spare).cast(kind)
+
+
+def _add64(a: Column, b: Column) -> Column:
+    low = a.bitwiseAND(F.lit(_LOW32)) + b.bitwiseAND(F.lit(_LOW32))
+    high = F.shiftright(a, 32) + F.shiftright(b, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW32)))
+
+
+def _subtract64(a: Column, b: Column) -> Column:
+    return _add64(_add64(a, F.bitwise_not(b)), F.lit(1).cast("long"))
+
+
+def _multiply64(a: Column, b: Column) -> Column:
+    low = lambda c: c.bitwiseAND(F.lit(_LOW32))
+    ah, al, bh, bl = F.shiftright(a, 32), low(a), F.shiftright(b, 32), low(b)
+    cross = F.shiftleft(low(low(ah * bl) + low(al * bh)), 32)
+    product = _add64(F.shiftleft(F.shiftright(al, 16) * bl, 16), al.bitwiseAND(F.lit(0xFFFF)) * bl)
+    return _add64(cross, product)
+
+
+def sum_parts(c: Column) -> list[Column]:
+    """Aggregates of 16-bit parts of an integer column, which can't overflow; ``sum_of_parts`` puts them together."""
+    v = c.cast("long")
+    parts = [F.shiftright(v, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(3)] + [F.shiftright(v, 48)]
+    return [F.coalesce(F.sum(p), F.lit(0)) for p in parts]
+
+
+def sum_of_parts(parts: list[Column], kind: str) -> Column:
+    total = parts[0]
+    for k in (1, 2, 3):
+        total = _add64(total, F.shiftleft(parts[k], 16 * k))
+    return wrapped(total, kind)
+
+
+_WRAPPING = {"add": _add64, "subtract": _subtract64, "multiply": _multiply64}
+
+
+def binary(name: str, a: Column, b: Column, kind: str) -> Column:
+    """``BINARY[name]`` for operands of one type: integers wrap around, divide towards zero and are compared exactly;
+    an integer divided by zero is an error."""
+    if name == "is_close":
+        return a == b if kind in BITS or kind == "boolean" else is_close(a, b)
+    if kind not in BITS:
+        return BINARY[name](a, b)
+    if name in _WRAPPING:
+        return wrapped(_WRAPPING[name](a.cast("long"), b.cast("long")), kind)
+    if name == "divide":
+        return F.call_function("div", a, b).cast(kind)
+    if name == "modulo":
+        return (a % b).cast(kind)
+    plain = {"equal": a == b, "not_equal": a != b, "less": a < b, "less_or_equal": a <= b, "greater": a > b, "greater_or_equal": a >= b, "max_elemwise": F.greatest(a, b), "min_elemwise": F.least(a, b)}
+    return plain[name] if name in plain else BINARY[name](a, b)
+
+
+def unary(name: str, c: Column, kind: str) -> Column:
+    """``UNARY[name]`` by type: a negated integer wraps around, its sign keeps its type; the absolute value of the least is an error."""
+    if kind in BITS and name == "negate":
+        return wrapped(_subtract64(F.lit(0).cast("long"), c.cast("long")), kind)
+    if kind in BITS and name == "sgn":
+        return F.signum(c).cast(kind)
+    if kind in BITS and name in ("ceil", "floor", "round", "truncate"):
+        return c
+    return F.lit(True) if name == "is_finite" and kind in (*BITS, "boolean") else UNARY[name](c)
+
+
+def convert(c: Column, source: str, target: str) -> Column:
+    """A number as another type: integers lose high bits; reals are cut towards zero, and NaN and what is out of the
+    type's range become its least value."""
+    if target not in BITS or source == "boolean":
+        return c.cast(target)
+    if source in BITS:
+        return wrapped(c.cast("long"), target)
+    if BITS[target] < 32:
+        return wrapped(convert(c, source, "int").cast("long"), target)
+    least, most = limits(target)
+    fits = ~F.isnan(c) & (c.cast("double") > float(least) - (1 if target == "int" else 0)) & (c.cast("double") < float(most + 1))
+    return F.when(fits, F.when(fits, c).cast(target)).otherwise(F.lit(least).cast(target))
 
 
 def cage(c: Column, low: float | None = None, high: float | None = None) -> Column:

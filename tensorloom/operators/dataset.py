@@ -32,25 +32,28 @@ class Dataset:
 
     @classmethod
     def of_samples(cls, df: DataFrame, order: Sequence[str]) -> Dataset:
-        """Rows numbered in the order of some columns (ties: equal rows only, or the numbers are not defined)."""
-        out = _numbered(df, list(order)).withColumnRenamed("n", "sample_id")
-        return cls(out, df.count())
+        """Rows numbered in the order of some columns; rows with equal ones go by a hash of all their columns."""
+        out, n = _numbered(df, list(order))
+        return cls(out.withColumnRenamed("n", "sample_id"), n)
 
     @classmethod
     def of_sequences(cls, df: DataFrame, sample: str, order: Sequence[str], n_steps: int | None = None) -> Dataset:
         """Rows of a table as steps of sequences; samples are numbered by their key, steps by an order.
 
-        A sequence's steps are numbered by a window over its own rows.  All steps stay, also of sequences of different
-        lengths; only ``n_steps``, if given, cuts every sequence to that many steps.
+        All rows are numbered by key and order, and a step is a row's number less its sequence's first, so no sequence is
+        one task's work.  All steps stay, also of sequences of different lengths; only ``n_steps``, if given, cuts every
+        sequence to that many steps.
         """
-        from pyspark.sql import Window
-
-        ids = _numbered(df.select(sample).distinct(), [sample]).withColumnRenamed("n", "sample_id")
-        steps = df.withColumn("step", F.row_number().over(Window.partitionBy(sample).orderBy(*order)).cast("long") - 1).join(ids, sample)
+        rows, _ = _numbered(df, [sample, *order])
+        ids, n = _numbered(rows.groupBy(sample).agg(F.min("n").alias("_first"), F.count(F.lit(1)).alias("_steps")), [sample])
+        ids = ids.withColumnRenamed("n", "sample_id")
+        steps = rows.join(ids.drop("_steps"), df[sample].eqNullSafe(ids[sample])).drop(ids[sample]).withColumn("step", F.col("n") - F.col("_first")).drop("n", "_first")
         if n_steps is not None:
             steps = steps.where(F.col("step") < n_steps)
-        least, most = steps.groupBy("sample_id").count().agg(F.min("count"), F.max("count")).first()
-        return cls(steps, ids.count(), most or 0, least != most)
+        least, most = ids.agg(F.min("_steps"), F.max("_steps")).first()
+        if n_steps is not None and n:
+            least, most = min(least, n_steps), min(most, n_steps)
+        return cls(steps, n, most or 0, least != most)
 
     @property
     def fields(self) -> list[str]:
@@ -115,11 +118,12 @@ class Dataset:
         """A shorter sequence has fewer chunks, so that a single long one doesn't fill up all the others."""
         at = self.df.withColumn("_cut", F.floor(F.col("step") / chunk)).withColumn("step", F.col("step") % chunk).withColumnRenamed("sample_id", "_sample")
         counts = at.groupBy("_sample", "_cut").agg(F.count(F.lit(1)).alias("_n"))
-        cuts = _numbered(counts, ["_sample", "_cut"]).withColumnRenamed("n", "sample_id")
+        cuts, n = _numbered(counts, ["_sample", "_cut"])
+        cuts = cuts.withColumnRenamed("n", "sample_id")
         moved = at.join(cuts.drop("_n"), ["_sample", "_cut"]).select(*self.df.columns)
         blank = cuts.where(F.col("_n") < chunk).select("sample_id", F.explode(F.sequence(F.col("_n"), F.lit(chunk - 1).cast("long"))).alias("step"))
         moved = moved.unionByName(blank.select(*(F.col(c) if c in ("sample_id", "step") else _zero(self.df.schema[c].dataType.simpleString()).alias(c) for c in self.df.columns)))
-        return Dataset(moved, counts.count(), chunk)
+        return Dataset(moved, n, chunk)
 
     def cut_to_min_samples(self, least: int) -> Dataset:
         cuts = math.ceil(least / self.n_samples)

@@ -15,14 +15,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tensorloom.functions.scalar import BINARY, NOT_FOUND, UNARY, divide, is_close
+from tensorloom.functions import scalar
+from tensorloom.functions.scalar import BITS, NOT_FOUND, divide
 
 #: Slice items.
 ALL, NEW_AXIS = slice(None), None
 REMAINDER = -1
 #: Axes that are certainly small enough for a broadcast: elements of a known shape, not a guess.
 BROADCAST_ELEMENTS = 100_000
-_LIMITS = {"double": 1.7976931348623157e308, "float": 3.4028234663852886e38, "int": 2**31 - 1, "bigint": 2**63 - 1}
+#: Elements of an axis that one window of ``diff_axis`` covers.
+DIFF_BLOCK = 4096
+#: Elements of an axis that one task multiplies at a time where a product of integers must wrap around.
+PRODUCT_BLOCK = 1024
 
 
 def _i(n: int) -> list[str]:
@@ -145,7 +149,7 @@ class TensorFrame:
         kind = {"boolean": bool, "bigint": np.int64, "int": np.int32, "double": float, "float": np.float32}.get(self.dtype, object)
         out = np.zeros(self.shape, kind)
         if len(table):
-            out[tuple(table[f"i{k}"].to_numpy() for k in range(self.n_dims))] = table["v"].to_numpy()
+            out[tuple(table[f"i{k}"].to_numpy() for k in range(self.n_dims))] = table["v"].to_numpy() if self.n_dims else table["v"].iloc[0]
         return out
 
     def element(self, *index: int):
@@ -290,13 +294,22 @@ class TensorFrame:
 
     def diag_mat(self) -> TensorFrame:
         """The last axis on the diagonal of the last two, zeros elsewhere."""
-        n = self.shape[-1]
-        wide = self.pad_right().broadcast_to([*self.shape, n])
-        row, column = f"i{self.n_dims - 1}", f"i{self.n_dims}"
-        return TensorFrame(wide.df.withColumn("v", F.when(F.col(row) == F.col(column), F.col("v")).otherwise(F.lit(0).cast(self.dtype))), wide.shape)
+        return self.diag_mat_axis(self.n_dims - 1, self.n_dims)
+
+    def diag_mat_axis(self, a: int, b: int) -> TensorFrame:
+        """Axis min(a, b) on the diagonal of axes a and b of the result, zeros elsewhere."""
+        a, b = sorted((a, b))
+        if a == b or not 0 <= a < self.n_dims or b > self.n_dims:
+            raise ValueError(f"no diagonal of axes {a} and {b}")
+        wide = self.insert_axis(b)
+        shape = list(wide.shape)
+        shape[b] = self.shape[a]
+        wide = wide.broadcast_to(shape)
+        return TensorFrame(wide.df.withColumn("v", F.when(F.col(f"i{a}") == F.col(f"i{b}"), F.col("v")).otherwise(F.lit(0).cast(self.dtype))), wide.shape)
 
     def convert(self, kind: str) -> TensorFrame:
-        return TensorFrame(self.df.withColumn("v", F.col("v").try_cast(kind)), self.shape)
+        """Elements as another type; see ``scalar.convert``."""
+        return self.map(lambda v: scalar.convert(v, self.dtype, kind))
 
     # -- elementwise -----------------------------------------------------------------------------------------------
     def map(self, fn: Callable[[Column], Column]) -> TensorFrame:
@@ -305,8 +318,16 @@ class TensorFrame:
     def mapi(self, fn: Callable[..., Column]) -> TensorFrame:
         return TensorFrame(self.df.withColumn("v", fn(*self._index(), F.col("v"))), self.shape)
 
+    def mapi2(self, other, fn: Callable[..., Column]) -> TensorFrame:
+        """``fn`` of the indices and both elements, for tensors that broadcast to each other."""
+        pair = self.map2(other, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return pair.mapi(lambda *x: fn(*x[:-1], x[-1]["a"], x[-1]["b"]))
+
+    def all_finite(self) -> bool:
+        return self.unary("is_finite").reduce("all").element()
+
     def unary(self, name: str) -> TensorFrame:
-        return self.map(UNARY[name])
+        return self.map(lambda v: scalar.unary(name, v, self.dtype))
 
     def map2(self, other, fn: Callable[[Column, Column], Column]) -> TensorFrame:
         if not isinstance(other, TensorFrame):
@@ -329,7 +350,15 @@ class TensorFrame:
         return TensorFrame(both.select(*(c.alias(f"i{k}") for k, c in enumerate(index)), fn(F.col("v"), F.col("w")).alias("v")), shape)
 
     def binary(self, name: str, other) -> TensorFrame:
-        return self.map2(other, BINARY[name])
+        kind = self.dtype
+        if isinstance(other, TensorFrame):
+            if other.dtype != kind and not (kind in BITS and other.dtype in BITS):
+                kind = "double"
+            elif kind in BITS:
+                kind = max(kind, other.dtype, key=BITS.get)
+        elif kind in BITS and isinstance(other, float):
+            kind = "double"
+        return self.map2(other, lambda a, b: scalar.binary(name, a, b, kind))
 
     def __add__(self, other):
         return self.binary("add", other)
@@ -357,21 +386,32 @@ class TensorFrame:
         return self.map2(pair, lambda c, p: F.when(c, p["a"]).otherwise(p["b"]))
 
     def is_close(self, other, **tolerance) -> TensorFrame:
-        return self.map2(other, lambda a, b: is_close(a, b, **tolerance))
+        if self.dtype in BITS or self.dtype == "boolean":
+            return self.map2(other, lambda a, b: a == b)
+        return self.map2(other, lambda a, b: scalar.is_close(a, b, **tolerance))
 
     def almost_equal(self, other: TensorFrame, **tolerance) -> bool:
         return self.shape == other.shape and self.is_close(other, **tolerance).reduce("all").element()
 
     def check_finite(self) -> TensorFrame:
-        return self.map(lambda v: F.when(UNARY["is_finite"](v), v).otherwise(F.raise_error(F.lit("a value that is not finite"))))
+        return self.map(lambda v: F.when(scalar.unary("is_finite", v, self.dtype), v).otherwise(F.raise_error(F.lit("a value that is not finite"))))
 
     # -- reductions ------------------------------------------------------------------------------------------------
     def reduce(self, name: str, axis: int | None = None, keep: bool = False, **options) -> TensorFrame:
-        """sum product min max all any count_true mean var std norm over an axis (None: over all), with the identity for empty axes."""
+        """sum product min max all any count_true mean var std norm over an axis (None: over all), with the identity for empty axes.
+
+        Sums and products of integers wrap around and are exact otherwise.
+        """
         if axis is None:
-            flat = self.flatten()
-            return flat.reduce(name, 0, **options)
+            return self.flatten().reduce(name, 0, **options)
         n = self.shape[axis]
+        if name == "product" and self.dtype in BITS and n > PRODUCT_BLOCK:
+            # Blocks of a bounded size first.
+            at = F.col(f"i{axis}")
+            blocks = self.df.groupBy(*[f"i{k}" for k in range(self.n_dims) if k != axis], _div(at, PRODUCT_BLOCK).alias(f"i{axis}")).agg(_aggregate(name, F.col("v"), self.dtype, n, options)[0].alias("v"))
+            shape = list(self.shape)
+            shape[axis] = -(-n // PRODUCT_BLOCK)
+            return TensorFrame(blocks, shape).reduce(name, axis, keep)
         others = [f"i{k}" for k in range(self.n_dims) if k != axis]
         shape = [s for k, s in enumerate(self.shape) if k != axis]
         value, kind = _aggregate(name, F.col("v"), self.dtype, n, options)
@@ -382,23 +422,93 @@ class TensorFrame:
         out = TensorFrame(df.select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(others)), F.col("v").cast(kind).alias("v")), shape)
         return out.insert_axis(axis) if keep else out
 
+    def summary(self, names: Sequence[str], axis: int | None = None, **options) -> DataFrame:
+        """Several reductions by one aggregation: the other axes' indices and a column for each name.
+
+        Besides the names of ``reduce``: ``arg_min`` and ``arg_max`` (along an axis)."""
+        if axis is None:
+            return self.flatten().summary(names, 0, **options)
+        others = [f"i{k}" for k in range(self.n_dims) if k != axis]
+        made = []
+        for name in names:
+            if name.startswith("arg_"):
+                usable, order = self._first(name[4:])
+                first = F.min(F.when(usable, F.struct(F.when(usable, order).alias("v"), F.col(f"i{axis}").alias("at"))))["at"]
+                made.append(F.coalesce(first, F.lit(NOT_FOUND)).alias(name))
+            else:
+                value, kind = _aggregate(name, F.col("v"), self.dtype, self.shape[axis], options)
+                made.append(value.cast(kind).alias(name))
+        found = self.df.groupBy(*others).agg(*made)
+        return found.select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(others)), *names)
+
     def sum(self, axis=None):
         return self.reduce("sum", axis)
 
     def mean(self, axis=None):
         return self.reduce("mean", axis)
 
+    def _first(self, name: str) -> tuple[Column, Column]:
+        """Which elements may win, and what makes the least of them win; NaN and the type's limit itself never win."""
+        v, (low, high) = F.col("v"), scalar.limits(self.dtype)
+        usable = v < F.lit(high) if name == "min" else v > F.lit(low)
+        return (usable if self.dtype in BITS else usable & ~F.isnan(v)), (v if name == "min" else -v)
+
     def arg(self, name: str, axis: int) -> TensorFrame:
         """Index of the first least ("min") or greatest ("max") element along an axis; NaN never wins."""
-        at, v = F.col(f"i{axis}"), F.col("v").cast("double")
-        limit = _LIMITS["double"]
-        usable = ~F.isnan(v) & (v < limit if name == "min" else v > -limit)
-        first = F.min(F.when(usable, F.struct((v if name == "min" else -v).alias("v"), at.alias("at"))))["at"]
+        usable, order = self._first(name)
+        first = F.min(F.when(usable, F.struct(F.when(usable, order).alias("v"), F.col(f"i{axis}").alias("at"))))["at"]
         return self._by_axis(axis, F.coalesce(first, F.lit(NOT_FOUND)))
 
+    def arg_all(self, name: str) -> list[int]:
+        """Indices of the first least or greatest element of the whole tensor; ValueError where there is none."""
+        usable, order = self._first(name)
+        row = self.df.agg(F.min(F.when(usable, F.struct(F.when(usable, order).alias("v"), self.linear_index().alias("at"))))["at"].alias("at")).first()
+        if row["at"] is None:
+            raise ValueError(f"no element that could be the {name}")
+        return self.linear_to_idx(row["at"])
+
+    def _equal(self, value) -> Column:
+        same = F.col("v") == F.lit(value)
+        return same if self.dtype in BITS or self.dtype == "boolean" else same & ~F.isnan(F.col("v"))
+
     def find(self, value, axis: int) -> TensorFrame:
-        """First index along an axis whose element equals a value."""
-        return self._by_axis(axis, F.coalesce(F.min(F.when(F.col("v") == F.lit(value), F.col(f"i{axis}"))), F.lit(NOT_FOUND)))
+        """First index along an axis whose element equals a value; NaN equals nothing."""
+        return self._by_axis(axis, F.coalesce(F.min(F.when(self._equal(value), F.col(f"i{axis}"))), F.lit(NOT_FOUND)))
+
+    def try_find(self, value) -> list[int] | None:
+        """Indices of the first element, in row-major order, that equals a value."""
+        at = self.df.where(self._equal(value)).agg(F.min(self.linear_index()).alias("at")).first()["at"]
+        return None if at is None else self.linear_to_idx(at)
+
+    def find_all(self, value) -> list[int]:
+        """As ``try_find``; LookupError where no element equals it."""
+        found = self.try_find(value)
+        if found is None:
+            raise LookupError(value)
+        return found
+
+    def linear_to_idx(self, line: int) -> list[int]:
+        """Indices of a row-major position."""
+        if not 0 <= line < self.n_elems:
+            raise IndexError(line)
+        out: list[int] = []
+        for n in reversed(self.shape):
+            out.insert(0, line % n)
+            line //= n
+        return out
+
+    def idx_to_linear(self, index: Sequence[int]) -> int:
+        line = 0
+        for i, n in zip(index, self.shape, strict=True):
+            if not 0 <= i < n:
+                raise IndexError(index)
+            line = line * n + i
+        return line
+
+    def set_element(self, index: Sequence[int], value) -> TensorFrame:
+        """This tensor with one element replaced."""
+        self.idx_to_linear(index)
+        return self.set_slice(list(index), value)
 
     def _by_axis(self, axis: int, value: Column) -> TensorFrame:
         others = [f"i{k}" for k in range(self.n_dims) if k != axis]
@@ -411,51 +521,75 @@ class TensorFrame:
         return self._by_axis(axis, F.aggregate(ordered, start, step))
 
     def trace(self) -> TensorFrame:
-        return self.diag().reduce("sum", self.n_dims - 2)
+        return self.trace_axis(self.n_dims - 2, self.n_dims - 1)
+
+    def trace_axis(self, a: int, b: int) -> TensorFrame:
+        """Sums over the diagonal of two axes."""
+        return self.diag_axis(a, b).reduce("sum", min(a, b))
 
     def diff_axis(self, axis: int) -> TensorFrame:
-        """a[i+1] - a[i]; the axis is one shorter."""
-        w = Window.partitionBy(*[f"i{k}" for k in range(self.n_dims) if k != axis]).orderBy(f"i{axis}")
-        shape = list(self.shape)
+        """a[i+1] - a[i]; the axis is one shorter.  Windows run over blocks of the axis, each with the next block's first element."""
+        at, shape = F.col(f"i{axis}"), list(self.shape)
         shape[axis] = max(0, shape[axis] - 1)
-        return TensorFrame(self.df.withColumn("v", F.lead("v").over(w) - F.col("v")).where(F.col(f"i{axis}") < shape[axis]), shape)
+        block = _div(at, DIFF_BLOCK)
+        spread = F.when((at > 0) & (at % DIFF_BLOCK == 0), F.array(block, block - 1)).otherwise(F.array(block))
+        rows = self.df.withColumn("_block", F.explode(spread))
+        w = Window.partitionBy(*[f"i{k}" for k in range(self.n_dims) if k != axis], "_block").orderBy(f"i{axis}")
+        step = scalar.binary("subtract", F.lead("v").over(w), F.col("v"), self.dtype)
+        return TensorFrame(rows.withColumn("v", step).where((F.col(f"i{axis}") < shape[axis]) & (_div(F.col(f"i{axis}"), DIFF_BLOCK) == F.col("_block"))), shape)
+
+    def diff(self) -> TensorFrame:
+        return self.diff_axis(self.n_dims - 1)
 
     # -- masks, gather, scatter --------------------------------------------------------------------------------------
     def masked(self, masks: Sequence[TensorFrame | None]) -> TensorFrame:
-        """Elements where each axis' mask (rank 1; None: all) is true; axes are numbered anew.  Counts trues (an action)."""
-        out, shape = self, list(self.shape)
+        """Elements where the masks are true.  A mask of rank r takes the next r axes and makes one axis of its trues, in
+        row-major order; None leaves one axis as it is; axes after the last mask stay.  Counts trues (an action)."""
+        out, columns, shape, axis = self.df, [], [], 0
         for k, mask in enumerate(masks):
             if mask is None:
+                columns.append(F.col(f"i{axis}")), shape.append(self.shape[axis])
+                axis += 1
                 continue
-            if mask.shape != (self.shape[k],):
-                raise ValueError(f"a mask of {mask.shape} for an axis of {self.shape[k]}")
-            kept = _numbered(mask.df.where("v").select(F.col("i0").alias("old")), ["old"])
-            shape[k] = kept.count()
-            index = out._index()
-            joined = out.df.join(kept, F.col(f"i{k}") == F.col("old"))
-            index[k] = F.col("n")
-            out = TensorFrame(joined.select(*(c.alias(f"i{j}") for j, c in enumerate(index)), "v"), shape)
-        return out
-
-    def set_masked(self, mask: TensorFrame, value) -> TensorFrame:
-        """Elements where a mask of the same shape is true, replaced by a number or by a vector in row-major order."""
-        if mask.shape != self.shape:
+            own = self.shape[axis : axis + mask.n_dims]
+            if not mask.n_dims or mask.shape != own:
+                raise ValueError(f"a mask of {mask.shape} for axes of {own}")
+            kept, count = _numbered(mask.df.where("v").select(*(F.col(f"i{d}").alias(f"i{axis + d}") for d in range(mask.n_dims))), [f"i{axis + d}" for d in range(mask.n_dims)])
+            kept = kept.withColumnRenamed("n", f"_m{k}")
+            out = out.join(F.broadcast(kept) if count <= BROADCAST_ELEMENTS else kept, [f"i{axis + d}" for d in range(mask.n_dims)])
+            columns.append(F.col(f"_m{k}")), shape.append(count)
+            axis += mask.n_dims
+        columns += [F.col(f"i{k}") for k in range(axis, self.n_dims)]
+        shape += self.shape[axis:]
+        return TensorFrame(out.select(*(c.alias(f"i{j}") for j, c in enumerate(columns)), "v"), shape)
+
+    def set_masked(self, mask: TensorFrame | Sequence[TensorFrame | None], value) -> TensorFrame:
+        """Elements where a mask of this shape (or masks of the axes, as in ``masked``) are true, replaced by a number or by
+        a tensor that broadcasts to what ``masked`` gives there, in row-major order."""
+        masks = [mask] if isinstance(mask, TensorFrame) else list(mask)
+        if isinstance(mask, TensorFrame) and mask.shape != self.shape:
             raise ValueError("a mask needs the tensor's shape")
-        if not isinstance(value, TensorFrame):
+        if not isinstance(value, TensorFrame) and isinstance(mask, TensorFrame):
             return self.map2(mask, lambda v, m: F.when(m, F.lit(value)).otherwise(v))
-        places = _numbered(mask.df.where("v").select(*_i(self.n_dims)), _i(self.n_dims))
-        filled = places.join(value.df.select(F.col("i0").alias("n"), F.col("v").alias("w")), "n").withColumn("hit", F.lit(True))
+        places = self.mapi(lambda *x: F.struct(*(c.alias(f"o{d}") for d, c in enumerate(x[:-1])))).masked(masks)
+        if isinstance(value, TensorFrame):
+            placed = places.map2(value.broadcast_to(places.shape), lambda at, w: F.struct(at.alias("at"), w.alias("w")))
+        else:
+            placed = places.map(lambda at: F.struct(at.alias("at"), F.lit(value).alias("w")))
+        filled = placed.df.select(*(F.col(f"v.at.o{d}").alias(f"i{d}") for d in range(self.n_dims)), F.col("v.w").alias("w"), F.lit(True).alias("hit"))
         return TensorFrame(self.df.join(filled, _i(self.n_dims), "left").withColumn("v", F.when(F.col("hit"), F.col("w")).otherwise(F.col("v"))), self.shape)
 
     def true_idx(self) -> TensorFrame:
         """[count of trues, rank] table of the indices of true elements, in row-major order."""
-        table = _numbered(self.df.where("v").select(*_i(self.n_dims)), _i(self.n_dims))
+        table, count = _numbered(self.df.where("v").select(*_i(self.n_dims)), _i(self.n_dims))
         rows = table.select("n", F.posexplode(F.array(*_i(self.n_dims))).alias("k", "v"))
-        return TensorFrame(rows.select(F.col("n").alias("i0"), F.col("k").cast("long").alias("i1"), "v"), (table.count(), self.n_dims))
+        return TensorFrame(rows.select(F.col("n").alias("i0"), F.col("k").cast("long").alias("i1"), "v"), (count, self.n_dims))
 
     def gather(self, indices: Sequence[TensorFrame | None]) -> TensorFrame:
         """out[i] = self[indices[0][i], ...]; None stands for the output's own index on that axis."""
         given = [t for t in indices if t is not None]
+        if not given or any(t is None for t in list(indices)[len(indices) - len(given) :]):
+            raise ValueError("at least one index tensor is needed, and None only stands for leading axes")
         rank = given[0].n_dims
         if any(t.shape != given[0].shape for t in given):
             raise ValueError("index tensors need one shape")
@@ -564,32 +698,63 @@ def _div(c: Column, n: int) -> Column:
     return c if n == 1 else ((c - c % n) / n).cast("long")
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with a dense 0-based number ``n`` in the order of some columns, without gathering them in one task.
+#: Rows that one task numbers, until there are so many buckets.
+BUCKET_ROWS, MAX_BUCKETS, PER_BUCKET = 250_000, 4096, 32
+
+
+def _numbered(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows with a dense 0-based number ``n`` in the order of some columns, and how many they are (actions).
 
-    Sorted in ranges, counted per range, and offset by the counts of the ranges before (one row per range).
+    Each row's bucket is a function of the row's values alone, the number of bounds that aren't above its key, so it is the
+    same wherever and whenever it is computed; bounds come from a sample of keys chosen by their hash.  Buckets are counted
+    first, and then each row's number is its rank in its bucket after the rows of all buckets before.  Ties go by a hash of
+    the whole row, so only rows that are equal throughout have no order of their own, and no key, however frequent, is one
+    task's work unless its rows are equal.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("_p").orderBy(*order)
-    return ranged.join(F.broadcast(before.drop("_c")), "_p").withColumn("n", F.col("_o") + F.row_number().over(within) - 1).drop("_p", "_o")
+    plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    key = F.struct(*(F.col(c).alias(f"k{j}") for j, c in enumerate(order)), F.xxhash64(*plain).alias("h"))
+    total = df.count()
+    buckets = min(MAX_BUCKETS, total // BUCKET_ROWS + 1)
+    keyed = df.withColumn("_key", key)
+    if buckets == 1:
+        out, before = keyed.withColumn("_b", F.lit(0)), [0]
+    else:
+        every = max(1, total // (buckets * PER_BUCKET))
+        sample = [r["_key"] for r in keyed.where(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0).select("_key").distinct().orderBy("_key").collect()]
+        kinds = [f.dataType for f in keyed.schema["_key"].dataType]
+        bounds = [sample[k * len(sample) // buckets] for k in range(1, buckets)] if len(sample) >= buckets else sample
+        literal = lambda row: F.struct(*(F.lit(v).cast(t).alias(f"k{j}" if j < len(order) else "h") for j, (v, t) in enumerate(zip(row, kinds, strict=True))))
+        # Two levels, so that a row is compared with the square root of the bounds.
+        step = max(1, math.isqrt(len(bounds)))
+        below = lambda found, k: F.size(F.filter(found, lambda bound: bound <= k))
+        coarse = F.array(*(literal(bounds[j]) for j in range(0, len(bounds), step)))
+        fine = F.array(*(F.array(*map(literal, bounds[j : j + step])) for j in range(0, len(bounds), step)))
+        at = keyed.withColumn("_c", below(coarse, F.col("_key")))
+        out = at.withColumn("_b", F.when(F.col("_c") == 0, 0).otherwise((F.col("_c") - 1) * step + below(F.get(fine, F.col("_c") - 1), F.col("_key")))).drop("_c")
+        many = {r["_b"]: r["count"] for r in out.groupBy("_b").count().collect()}
+        before = [0]
+        for k in range(len(bounds)):
+            before.append(before[-1] + many.get(k, 0))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_key"))
+    return out.withColumn("n", F.get(F.array(*(F.lit(x).cast("long") for x in before)), F.col("_b")) + rank - 1).drop("_key", "_b"), total
 
 
 def _aggregate(name: str, v: Column, kind: str, n: int, options: dict) -> tuple[Column, str]:
     """An aggregate with its identity on an empty axis, and its type."""
     real = kind in ("double", "float")
-    limit = _LIMITS.get(kind, _LIMITS["double"])
     d = v.cast("double")
     known = F.when(~F.isnan(d), v) if real else v
     if name == "sum":
-        return F.coalesce(F.sum(v), F.lit(0)), kind
+        return (scalar.sum_of_parts(scalar.sum_parts(v), kind) if kind in BITS else F.coalesce(F.sum(v), F.lit(0))), kind
     if name == "product":
+        if kind in BITS:
+            return F.aggregate(F.collect_list(v), F.lit(1).cast(kind), lambda a, x: scalar.binary("multiply", a, x, kind)), kind
         return F.coalesce(F.product(v), F.lit(1.0)), kind
-    if name == "min":
-        return F.least(F.coalesce(F.min(known), F.lit(limit)), F.lit(limit)), kind
-    if name == "max":
-        return F.greatest(F.coalesce(F.max(known), F.lit(-limit)), F.lit(-limit)), kind
+    if name in ("min", "max"):
+        low, high = (F.lit(x).cast(kind) for x in scalar.limits(kind))
+        if name == "min":
+            return F.least(F.coalesce(F.min(known), high), high), kind
+        return F.greatest(F.coalesce(F.max(known), low), low), kind
     if name == "all":
         return F.coalesce(F.bool_and(v), F.lit(True)), "boolean"
     if name == "any":
@@ -598,7 +763,7 @@ def _aggregate(name: str, v: Column, kind: str, n: int, options: dict) -> tuple[
         return F.count_if(v), "bigint"
     if name == "mean":
         if not real:
-            return F.expr("sum(v) div count(v)"), kind
+            return F.call_function("div", scalar.sum_of_parts(scalar.sum_parts(v), kind), F.count(v)), kind
         return (F.avg(v) if n else F.lit(float("nan"))), kind
     if name in ("var", "std"):
         ddof = options.get("ddof", 0)

@@ -259,7 +259,7 @@ def _first_seen(spark, sf_dir) -> tuple[TensorFrame, TensorFrame, int, int]:
     keys, n, m = orders.select((F.col("o_orderkey")).alias("k"), F.col("o_custkey").alias("c")), orders.count(), customers.agg(F.max("c_custkey") + 1).first()[0]
     from tensorloom.operators.frame import _numbered
 
-    index = TensorFrame(_numbered(keys, ["k"]).select(F.col("n").alias("i0"), F.col("c").cast("long").alias("v")), (n,))
+    index = TensorFrame(_numbered(keys, ["k"])[0].select(F.col("n").alias("i0"), F.col("c").cast("long").alias("v")), (n,))
     return index, TensorFrame(customers.select(F.col("c_custkey").cast("long").alias("i0"), F.col("c_acctbal").alias("v")), (m,)), n, m
 
 
@@ -275,7 +275,7 @@ def scatter(spark, sf_dir):
     index, _, n, m = _first_seen(spark, sf_dir)
     from tensorloom.operators.frame import _numbered
 
-    prices = TensorFrame(_numbered(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"]).select(F.col("n").alias("i0"), F.col("o_totalprice").alias("v")), (n,))
+    prices = TensorFrame(_numbered(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])[0].select(F.col("n").alias("i0"), F.col("o_totalprice").alias("v")), (n,))
     return _out(prices.scatter([index], (m,)), 4)
 
 

@@ -129,6 +129,19 @@ def test_masks_gather_scatter(t):
     same(t(m).masked([t(rows), t(columns)]), m[np.ix_(rows, columns)])
     same(t(m).masked([None, t(columns)]), m[:, columns])
     same(t(m).set_masked(t(m > 9), 0), np.where(m > 9, 0, m))
+    both = np.arange(24.0).reshape(2, 3, 4)
+    plane = both[:, :, 0] % 8 == 0
+    same(t(both).masked([t(plane)]), both[plane])
+    same(t(both).masked([None, t(np.arange(12).reshape(3, 4) % 5 == 0)]), both[:, np.arange(12).reshape(3, 4) % 5 == 0])
+    with pytest.raises(ValueError):
+        t(both).masked([t(np.ones((3, 2), bool))])
+    changed = both.copy()
+    changed[np.ix_([True, False], [True, False, True])] = [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]]
+    same(t(both).set_masked([t(np.array([True, False])), t(np.array([True, False, True]))], t(np.arange(1.0, 9.0).reshape(2, 4))), changed)
+    changed[:, :, np.array([True, False, False, True])] = -1.0
+    same(t(both).set_masked([t(np.array([True, False])), t(np.array([True, False, True]))], t(np.arange(1.0, 9.0).reshape(2, 4))).set_masked([None, None, t(np.array([True, False, False, True]))], -1.0), changed)
+    with pytest.raises(ValueError):
+        t(m).set_masked(t(m > 9), t(np.arange(3)))
     filled = m.copy()
     filled[m > 9] = np.arange(8) * 10
     same(t(m).set_masked(t(m > 9), t(np.arange(8) * 10)), filled)
@@ -147,3 +160,40 @@ def test_masks_gather_scatter(t):
         want[target[r, 0]] += s[r]
     same(t(s).scatter([t(target), None], (3, 3)), want)
     same(t(s).scatter([None, None], (5, 3)), np.vstack([s, np.zeros((1, 3))]))
+    with pytest.raises(ValueError):
+        t(s).gather([t(index), None])
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_numbers_are_dense_whatever_the_partitions(spark, monkeypatch, coalesce):
+    """Wide rows over many partitions and buckets, hot keys, nulls: each number once, in order."""
+    from tensorloom.operators import frame
+
+    monkeypatch.setattr(frame, "BUCKET_ROWS", 3_000)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        n = 200_000
+        wide = spark.range(n, numPartitions=13).select((F.col("id") * 7919 % n).alias("k"), F.when(F.col("id") % 3 != 0, "hot").when(F.col("id") % 10 != 0, F.concat(F.lit("s"), (F.col("id") % 50).cast("string"))).alias("s"), F.repeat(F.lit("x"), 300).alias("w"))
+        for order in (["k"], ["s", "k"], ["s"]):
+            out, total = frame._numbered(wide, order)
+            table = out.select("n", "k", "s").toPandas().sort_values("n")
+            assert total == n and (table["n"].to_numpy() == np.arange(n)).all() and table["k"].nunique() == n
+            keys = [tuple((x is not None, x) for x in row) for row in table[order].astype(object).where(table[order].notna(), None).itertuples(index=False)]
+            assert keys == sorted(keys)
+        assert out.select("n").where("n < 0 OR n >= 200000").isEmpty()
+        empty, total = frame._numbered(wide.limit(0), ["k"])
+        assert total == 0 and empty.count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_differences_over_blocks(t, monkeypatch):
+    from tensorloom.operators import frame
+
+    monkeypatch.setattr(frame, "DIFF_BLOCK", 4)
+    for n in (1, 4, 5, 8, 9, 30):
+        x = RNG.normal(size=n)
+        same(t(x).diff(), np.diff(x))
+    x = RNG.normal(size=(3, 10, 2))
+    same(t(x).diff_axis(1), np.diff(x, axis=1))
