@@ -114,7 +114,7 @@ class TensorFrame:
         import pandas as pd
 
         array = np.asarray(array)
-        index = np.indices(array.shape).reshape(array.ndim, -1)
+        index = np.indices(array.shape).reshape(array.ndim, array.size)
         table = pd.DataFrame({f"i{k}": index[k].astype(np.int64) for k in range(array.ndim)} | {"v": array.reshape(-1)})
         if not len(table):
             kind = {"b": "boolean", "i": "long", "u": "long", "f": "double"}[array.dtype.kind]
