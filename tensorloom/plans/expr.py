@@ -7,9 +7,10 @@ one aggregate over all rows, in generated code.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +77,32 @@ class Expr:
         plain = {"add": lambda: a[0] + a[1], "subtract": lambda: a[0] - a[1], "multiply": lambda: a[0] * a[1], "divide": lambda: a[0] / a[1], "power": lambda: a[0] ** a[1], "negate": lambda: -a[0], "abs": lambda: abs(a[0]), "sgn": lambda: (a[0] > 0) - (a[0] < 0), "stop": lambda: a[0], "where": lambda: a[2] if a[0] > a[1] else a[3], "max_elemwise": lambda: a[0] if a[0] > a[1] else a[1], "min_elemwise": lambda: a[0] if a[0] < a[1] else a[1]}
         return float(plain[self.op]() if self.op in plain else getattr(math, self.op)(a[0]))
 
+    def compiled(self, names: Sequence[str]) -> Callable[..., float]:
+        """A Python function of numbers in the order of ``names``, with IEEE results; shared parts are computed once."""
+        places = {n: f"x{k}" for k, n in enumerate(names)}
+        lines: list[str] = []
+        known: dict[Expr, str] = {}
+
+        def code(e: Expr) -> str:
+            if e.op == "const":
+                return f"({e.args[0]!r})" if math.isfinite(e.args[0]) else f"float('{e.args[0]}')"
+            if e.op == "var":
+                return places[e.args[0]]
+            if e not in known:
+                a = [code(x) for x in e.args]
+                plain = {"add": "{0} + {1}", "subtract": "{0} - {1}", "multiply": "{0} * {1}", "negate": "-{0}", "plus": "{0}", "stop": "{0}", "abs": "abs({0})", "where": "{2} if {0} > {1} else {3}", "max_elemwise": "{0} if {0} > {1} else {1}", "min_elemwise": "{0} if {0} < {1} else {1}", "sgn": "float(({0} > 0) - ({0} < 0))"}
+                lines.append(f"    t{len(known)} = " + (plain[e.op].format(*a) if e.op in plain else f"_{e.op}({', '.join(a)})"))
+                known[e] = f"t{len(known)}"
+            return known[e]
+
+        result = code(self)
+        space = {f"_{n}": f for n, f in _SAFE.items()}
+        exec(f"def run({', '.join(places.values())}):\n" + "".join(line + "\n" for line in lines) + f"    return {result}\n", space)
+        return space["run"]
+
+    def variables(self) -> set[str]:
+        return {self.args[0]} if self.op == "var" else set().union(*(a.variables() for a in self.args if isinstance(a, Expr)))
+
     # -- derivatives -----------------------------------------------------------------------------------------------
     def gradient(self, names: list[str]) -> dict[str, Expr]:
         """Derivatives with respect to variables, by one sweep from the root; shared parts are visited once."""
@@ -140,6 +167,35 @@ class Expr:
         return a[0].args[0] if e.op == "negate" and a[0].op == "negate" else e
 
 
+def _ieee(f: Callable[..., float]) -> Callable[..., float]:
+    """A function of numpy's, on single numbers: infinities and NaN where Python would raise."""
+
+    def run(*xs: float) -> float:
+        with np.errstate(all="ignore"):
+            return float(f(*xs))
+
+    return run
+
+
+def _quick(f: Callable[[float], float], full: Callable[..., float]) -> Callable[[float], float]:
+    slow = _ieee(full)
+
+    def run(x: float) -> float:
+        try:
+            return f(x)
+        except (ArithmeticError, ValueError):
+            return slow(x)
+
+    return run
+
+
+#: Operations of compiled expressions that plain Python doesn't have or raises in.
+_SAFE: dict[str, Callable[..., float]] = {
+    **{n: _quick(getattr(math, n), getattr(np, m)) for n, m in {"log": "log", "log10": "log10", "exp": "exp", "sin": "sin", "cos": "cos", "tan": "tan", "asin": "arcsin", "acos": "arccos", "atan": "arctan", "sinh": "sinh", "cosh": "cosh", "tanh": "tanh", "sqrt": "sqrt"}.items()},
+    **{n: _ieee(f) for n, f in {"ceil": np.ceil, "floor": np.floor, "round": np.rint, "truncate": np.trunc, "divide": np.divide, "modulo": np.fmod, "power": np.float_power}.items()},
+}
+
+
 def const(x: float) -> Expr:
     return Expr("const", (float(x),))
 
