@@ -13,7 +13,8 @@
    components are joined on the rare elements that similar sets must share (an exact prefix filter), and only pairs in
    different components are compared.  Pairs inside one component can't change a group, so leaving them out loses
    nothing; no other pair is left out and nothing is capped.
-5. Union-find runs as rounds of joins over an edge table (hook to the smallest neighbour, compress), never on the driver.
+5. Union-find runs as rounds of joins over an edge table (hook to the smallest neighbour, compress); a table of at most
+   ``LOCAL_EDGES`` edges, which is counted, is joined by one task instead; nothing of it comes to the driver.
 
 Intermediate tables lie in the shared checkpoint folder.  Aggregations of buckets combine on the map side, so a bucket
 with a third of all rows arrives as one row per task; joins on bucket keys are left to adaptive skew splitting.
@@ -41,6 +42,8 @@ from tensorloom.llm._blocks import U64, byte_blocks, numbered, splitmix64, text_
 from tensorloom.llm._shared import discard, materialise
 
 _STEP = splitmix64(np.arange(1, 65, dtype=U64) + U64(1 << 50)) | U64(1)
+#: Edges that one task may join: 16 bytes each, and a few times that while it works.
+LOCAL_EDGES = 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -187,13 +190,43 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("shared"), (F.size("ea") + F.size("eb")).alias("total")).where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def union_find(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges and the smallest node of each one's component, by hooking and pointer jumping in numpy."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(u):
+        least = np.minimum(root[u], root[v])
+        np.minimum.at(root, root[u], least)
+        np.minimum.at(root, root[v], least)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    return nodes, nodes[root]
+
+
+def union_find(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, root (its component's smallest node) for every node of ``edges`` (a, b).
 
     Rounds of hooking every node's larger neighbours to its smallest one and of compressing paths, until stars are left.
+    Up to ``local_edges`` edges, a number that is counted first, are instead gone through by one task.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    state = None
+    size = Observation()
+    plain = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+    now, state = materialise(plain.distinct().observe(size, F.count(F.lit(1)).alias("n")), "edges"), None
+    if size.get["n"] <= local_edges:
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = list(batches)
+            if parts:
+                nodes, root = _local_roots(*(np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (0, 1)))
+                moved = nodes != root
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(root[moved])], names=["node", "root"])
+
+        found = materialise(now.coalesce(1).mapInArrow(join, "node long, root long"), "roots")
+        discard(now)
+        return found
     for _ in range(max_rounds):
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))

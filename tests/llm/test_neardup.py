@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
+from tensorloom.llm import neardup
 from tensorloom.llm.neardup import NearDupParams, keep_one_of_each, near_duplicates, superminhash, union_find
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,7 +50,9 @@ def corpus(rng):
     return list(enumerate(texts))
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_against_brute_force(spark, monkeypatch, local):
+    monkeypatch.setattr(neardup.union_find, "__defaults__", (60, local))
     rows = corpus(random.Random(11))
     df = spark.createDataFrame([(i, t, "x", 9) for i, t in rows], "doc_id long, text string, component_id string, n long").repartition(5)
     got = near_duplicates(df)
@@ -84,8 +88,10 @@ def test_signature_estimates_similarity():
 
 def test_union_find_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
-    got = {tuple(r) for r in union_find(edges).collect()}
-    assert got == {(i, 0) for i in range(1, 201)} | {(501, 500)}
+    for local in (0, 10**6):
+        got = {tuple(r) for r in union_find(edges, local_edges=local).collect()}
+        assert got == {(i, 0) for i in range(1, 201)} | {(501, 500)}
+        assert union_find(edges.limit(0), local_edges=local).count() == 0
 
 
 def test_pipeline_stage_links_from_four_fifths(spark):
