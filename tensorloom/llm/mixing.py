@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tensorloom.llm._shared import discard, materialise
 
 SHARES = 64
+#: Sources up to which a table of one short row each is broadcast: about a hundred bytes a row.
+BROADCAST_SOURCES = 20_000
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -70,20 +72,27 @@ def _rate(params: MixParams) -> Column:
     return F.when(F.col("full"), F.lit(float(params.max_copies))).otherwise(F.least(F.lit(float(params.max_copies)), F.exp(F.col("lambda") * F.col("size") / F.col("mean"))))
 
 
-def _multipliers(histogram: DataFrame, targets: DataFrame, params: MixParams) -> DataFrame:
-    """key, target, source_size, mean, full and the multiplier ``lambda`` of every source."""
+def _beside(rows: DataFrame, small: DataFrame, sources: int, how: str = "inner") -> DataFrame:
+    """``rows`` with a table of at most one row a source: it is broadcast where the sources, which were counted, are few."""
+    return rows.join(F.broadcast(small), "key", how) if sources <= BROADCAST_SOURCES else rows.hint("merge").join(small, "key", how)
+
+
+def _multipliers(histogram: DataFrame, targets: DataFrame, params: MixParams) -> tuple[DataFrame, int]:
+    """key, target, source_size, mean, full and the multiplier ``lambda`` of every source, and the number of sources."""
     ratio = F.col("target") / F.col("source_size")
     full = (F.col("source_size") == 0) | (F.col("target") >= params.max_copies * F.col("source_size"))
     slope = F.col("mean") / F.col("least")
     start = targets.withColumn("mean", F.when(F.col("with_words") > 0, F.col("source_size") / F.col("with_words")).otherwise(1.0)).withColumn("full", full)
     # At these ends the tilt of the shortest document alone gives too few words, or the cap of every document too many.
     state = start.select("key", "source_size", "target", "mean", "full", F.lit(0.0).alias("lambda"), F.when(full, 0.0).otherwise(F.least(F.lit(0.0), F.log(ratio) * slope)).alias("lo"), (F.lit(1.000001) * F.log(F.lit(float(params.max_copies))) * slope).alias("hi"))
-    state = materialise(state.withColumn("miss", F.lit(1.0)), "multipliers")
+    size = Observation()
+    state = materialise(state.withColumn("miss", F.lit(1.0)).observe(size, F.count(F.lit(1)).alias("n")), "multipliers")
+    sources = size.get["n"]
     mass = F.col("n") * F.col("size") * F.col("rate")
     live = F.when(F.col("rate") < params.max_copies, mass * F.col("size") / F.col("mean")).otherwise(0.0)
     for _ in range(params.max_iterations):
-        sums = histogram.hint("merge").join(state.where("NOT full").select("key", "mean", "full", "lambda"), "key").withColumn("rate", _rate(params)).groupBy("key").agg(F.sum(mass).alias("got"), F.sum(live).alias("bend"))
-        at = state.hint("merge").join(sums, "key", "left")
+        sums = _beside(histogram, state.where("NOT full").select("key", "mean", "full", "lambda"), sources).withColumn("rate", _rate(params)).groupBy("key").agg(F.sum(mass).alias("got"), F.sum(live).alias("bend"))
+        at = _beside(state, sums, sources, "left")
         over = F.col("got") > F.col("target")
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lambda")), F.when(over, F.col("lambda")).otherwise(F.col("hi"))
         newton = F.col("lambda") - F.when(F.col("bend") > 0, F.log(F.col("got") / F.col("target")) * F.col("got") / F.col("bend"))
@@ -96,13 +105,13 @@ def _multipliers(histogram: DataFrame, targets: DataFrame, params: MixParams) ->
         discard(state)
         state = new
         if (worst.get["miss"] or 0.0) <= params.tolerance:
-            return state
+            return state, sources
     raise RuntimeError(f"the mix misses a target after {params.max_iterations} iterations")
 
 
-def _group_copies(histogram: DataFrame, state: DataFrame, params: MixParams) -> DataFrame:
+def _group_copies(histogram: DataFrame, state: DataFrame, sources: int, params: MixParams) -> DataFrame:
     """key, size, n, copies (of all n documents together), rate, source_size and target."""
-    with_rate = histogram.hint("merge").join(state.select("key", "source_size", "target", "mean", "full", F.round("lambda", 9).alias("lambda")), "key").withColumn("rate", _rate(params))
+    with_rate = _beside(histogram, state.select("key", "source_size", "target", "mean", "full", F.round("lambda", 9).alias("lambda")), sources).withColumn("rate", _rate(params))
     # Rounded: sums come in any order, and reruns must agree to the last copy.
     run = Window.partitionBy("key").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     total = with_rate.withColumn("upto", F.sum(F.col("n") * F.col("rate")).over(run))
@@ -111,14 +120,14 @@ def _group_copies(histogram: DataFrame, state: DataFrame, params: MixParams) ->
     groups = materialise(total.select("key", "size", "n", F.least(most, F.greatest(F.lit(0), copies)).cast("long").alias("copies"), "rate", "source_size", "target"), "groups")
     while True:  # each round brings every source that it changes nearer to its target, by whole words
         short = groups.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
-        at = groups.hint("merge").join(short, "key")
+        at = _beside(groups, short, sources)
         free = F.when(F.col("short") > 0, most - F.col("copies")).otherwise(F.col("copies"))
         usable = (F.col("size") > 0) & (F.col("size") <= F.abs("short") + 0.5) & (F.col("size") < 2 * F.abs("short")) & (free > 0)
-        pick = F.max(F.when(usable, F.col("size"))).over(Window.partitionBy("key"))
+        picks = at.where(usable).groupBy("key").agg(F.max("size").alias("pick"))
         times = F.least(free, F.greatest(F.lit(1), F.floor(F.abs("short") / F.col("size"))))
         change = F.when(F.col("size") == F.col("pick"), F.signum("short") * times).otherwise(0)
         moves = Observation()
-        fixed = materialise(at.withColumn("pick", pick).select("key", "size", "n", (F.col("copies") + F.coalesce(change, F.lit(0))).cast("long").alias("copies"), "rate", "source_size", "target", F.col("pick").isNotNull().alias("changed")).observe(moves, F.count_if("changed").alias("n")), "groups")
+        fixed = materialise(_beside(at, picks, sources, "left").select("key", "size", "n", (F.col("copies") + F.coalesce(change, F.lit(0))).cast("long").alias("copies"), "rate", "source_size", "target", F.col("pick").isNotNull().alias("changed")).observe(moves, F.count_if("changed").alias("n")), "groups")
         discard(groups)
         groups = fixed.drop("changed")
         groups._loom_path = fixed._loom_path
@@ -131,7 +140,7 @@ def _assign(rows: DataFrame, params: MixParams) -> DataFrame:
     share = F.pmod(F.xxhash64("_id"), F.lit(SHARES)).cast("int")
     counts = materialise(rows.select(F.col("_key").alias("key"), F.col("_size").alias("size"), share.alias("share")).groupBy("key", "size", "share").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = materialise(counts.groupBy("key", "size").agg(F.sum("n").alias("n")), "histogram")
-    groups = _group_copies(histogram, _multipliers(histogram, _targets(histogram, params), params), params)
+    groups = _group_copies(histogram, *_multipliers(histogram, _targets(histogram, params), params), params)
     before = Window.partitionBy("key", "size").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("key", "size", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     cells = offsets.hint("merge").join(groups, ["key", "size"]).select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("share").alias("_share"), F.col("before").alias("_before"), F.expr("copies div n").alias("_base"), F.expr("copies % n").alias("_odd"), F.col("rate").alias("_rate"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
