@@ -46,6 +46,7 @@ class LangIdParams:
     per_language: int = 500
     centroids: int = 4
     lengths: tuple[int, ...] = (2, 3, 4)
+    #: At most 2**15, as buckets travel as 16-bit numbers.
     buckets: int = 1 << 13
     rounds: int = 12
     #: The least cosine of a language, over its usual one: ``slack`` times this quantile of its held-back texts'.
@@ -82,7 +83,7 @@ def counts(texts: pa.Array, params: LangIdParams) -> Iterator[tuple[np.ndarray,
     for grams in _grams_of(texts, params):
         many = np.bincount(np.concatenate(grams), minlength=params.buckets)
         bucket = np.flatnonzero(many)
-        yield bucket.astype(np.int32), many[bucket].astype(np.int32)
+        yield bucket.astype(np.int16), many[bucket].astype(np.int32)
 
 
 def vectors(texts: pa.Array, params: LangIdParams, idf: np.ndarray) -> Iterator[np.ndarray]:
@@ -205,10 +206,10 @@ def fit_documents(docs: DataFrame, params: LangIdParams = LangIdParams(), doc_id
             for lo in range(0, batch.num_rows, 100):
                 part = batch.slice(lo, 100)
                 found = list(counts(text_column(part, "text"), params))
-                lists = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+                lists = [pa.array([x[k] for x in found], pa.list_(kind)) for k, kind in ((0, pa.int16()), (1, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc_id", "key", "bucket", "many"])
 
-    rows = sampled_rows(docs, ids, doc_id, text).mapInArrow(count, "doc_id long, key string, bucket array<int>, many array<int>").toArrow()
+    rows = sampled_rows(docs, ids, doc_id, text).mapInArrow(count, "doc_id long, key string, bucket array<smallint>, many array<int>").toArrow()
     if not rows.num_rows:
         return None
     # In a fixed order, repeated rows once: the model is the same at every rerun.
@@ -216,7 +217,10 @@ def fit_documents(docs: DataFrame, params: LangIdParams = LangIdParams(), doc_id
     found = {(d, k): i for i, (d, k) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True))}
     if len(found) < rows.num_rows:
         found = {(d, k, b.as_py() and tuple(b.as_py()), tuple(m.as_py())): i for i, (d, k, b, m) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3], strict=True))}
-    return fit_counts([(key[1], columns[2][i].values.to_numpy(), columns[3][i].values.to_numpy()) for key, i in sorted(found.items())], params)
+    model = fit_counts([(key[1], columns[2][i].values.to_numpy(), columns[3][i].values.to_numpy()) for key, i in sorted(found.items())], params)
+    del rows, columns
+    _tables.trim()
+    return model
 
 
 def identify(docs: DataFrame, model: LangIdModel | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.llm import _tables
 from tensorloom.llm._blocks import U64, RangeHash, byte_blocks, text_column
 from tensorloom.llm._grams import lowered, plain, rolling
 from tensorloom.llm._sample import held_out, sample_per_class, sample_texts
@@ -183,7 +184,9 @@ def fit_documents(docs: DataFrame, labels: DataFrame, params: ToxicityParams = T
     """Learn from labelled documents that aren't held out."""
     known = labels.where(~held_out(doc_id) & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias(label))
     ids = sample_per_class(known, doc_id, label, params.per_class)
-    return fit([(int(key), body) for _, key, body in sample_texts(docs, ids, doc_id, text, params.max_text_bytes)], params)
+    model = fit([(int(key), body) for _, key, body in sample_texts(docs, ids, doc_id, text, params.max_text_bytes)], params)
+    _tables.trim()
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel | None, doc_id: str = "doc_id", text: str = "text", threshold: float = ToxicityParams.threshold) -> DataFrame:
