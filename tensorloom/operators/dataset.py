@@ -8,13 +8,13 @@ and for cuts of sequences of different lengths, whose chunks are numbered anew.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tensorloom.operators.frame import _numbered
+from tensorloom.operators.frame import BROADCAST_ELEMENTS, _numbered
 
 
 def _zero(kind: str) -> Column:
@@ -78,11 +78,7 @@ class Dataset:
     def padded_batches(self, size: int) -> DataFrame:
         """As ``batches``, the last one filled with samples of zeros."""
         total = math.ceil(self.n_samples / size) * size
-        spark = self.df.sparkSession
-        more = spark.range(self.n_samples, total).withColumnRenamed("id", "sample_id")
-        if self.n_steps is not None:
-            more = more.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.n_steps - 1).cast("long"))))
-        blank = more.select(*(F.col(c) if c in ("sample_id", "step") else _zero(self.df.schema[c].dataType.simpleString()).alias(c) for c in self.df.columns))
+        blank = self._blank(self.n_samples, total)
         return Dataset(self.df.unionByName(blank), total, self.n_steps, self.ragged).batches(size)
 
     def slot_batches(self, batch: int, slot: int) -> DataFrame:
@@ -139,6 +135,20 @@ class Dataset:
             chunk = low
         return self.cut_sequences(chunk)
 
+    def rows(self) -> Iterator[Row]:
+        """All rows by sample and step, one partition at a time."""
+        return self.df.orderBy("sample_id", *(["step"] if self.n_steps is not None else [])).toLocalIterator()
+
+    def template_batch(self, size: int) -> DataFrame:
+        """A batch of zeros with this dataset's fields, as ``padded_batches`` fills up with."""
+        return self._blank(0, size)
+
+    def _blank(self, first: int, stop: int) -> DataFrame:
+        more = self.df.sparkSession.range(first, stop).withColumnRenamed("id", "sample_id")
+        if self.n_steps is not None:
+            more = more.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.n_steps - 1).cast("long"))))
+        return more.select(*(F.col(c) if c in ("sample_id", "step") else _zero(self.df.schema[c].dataType.simpleString()).alias(c) for c in self.df.columns))
+
     def map(self, fn: Callable[[str, Column], Column]) -> Dataset:
         return Dataset(self.df.select("sample_id", *(["step"] if self.n_steps is not None else []), *(fn(c, F.col(c)).alias(c) for c in self.fields)), self.n_samples, self.n_steps, self.ragged)
 
@@ -231,46 +241,118 @@ class CsvParams:
     target_columns: tuple[int, ...] = (0,)
 
 
+#: Categories up to which a column's table is written into the plan; larger ones are joined.
+PLAN_CATEGORIES = 64
+
+
 @dataclass
 class CsvColumn:
     numerical: bool
+    #: All of them, sorted, where there are at most ``PLAN_CATEGORIES``.
     categories: list[str]
+    n_categories: int = 0
+    #: (category, id) where there are more.
+    table: DataFrame | None = None
 
 
 def read_cells(spark, path: str, params: CsvParams = CsvParams()) -> DataFrame:
-    """Lines of a headerless file (gzip too) as arrays of cells; ``?`` is missing.  Quotes and blanks around cells go."""
-    split = F.split(F.trim("value"), "[" + "".join("\\" + c if c in "\\]^-" else c for c in params.separators.strip(" ") or " ") + "]")
-    cells = F.transform(split, lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
-    return spark.read.text(path).where(F.trim("value") != "").select(F.transform(cells, lambda c: F.when(c != "?", c)).alias("cells"))
+    """Lines of a headerless file (gzip too) as arrays of cells; ``?`` is missing.
+
+    Every separator character ends a cell; one within double quotes doesn't, and two quotes there are one.
+    """
+    signs = "".join("\\" + c if c in "\\]^-" else c for c in params.separators)
+    found = F.regexp_extract_all("line", F.lit(f'(?:^|[{signs}])("(?:[^"]|"")*"|[^{signs}]*)'), 1)
+    plain = lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    cells = F.transform(F.transform(found, plain), lambda c: F.trim(c))
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    return lines.select(F.transform(cells, lambda c: F.when(c != "?", c)).alias("cells"))
 
 
 def infer_columns(cells: DataFrame, params: CsvParams = CsvParams()) -> list[CsvColumn]:
-    """The type of every column from one pass over all rows; category tables are sorted."""
+    """The type of every column from one pass over all rows; category tables are sorted.
+
+    A column of words and numbers is an error; whole numbers beside real ones are numbers, and beside words they are
+    categories unless whole numbers were asked to be numbers.  Rows of different widths are an error.
+    """
     whole, real = "^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    least, width = cells.select(F.min(F.size("cells")), F.max(F.size("cells"))).first()
+    if least != width:
+        raise ValueError(f"rows have from {least} to {width} cells")
     flat = cells.select(F.posexplode("cells").alias("k", "c")).where("c IS NOT NULL")
-    rows = flat.groupBy("k").agg(F.bool_and(F.col("c").rlike(whole)).alias("whole"), F.bool_and(F.col("c").rlike(real)).alias("real")).collect()
-    width = cells.select(F.max(F.size("cells"))).first()[0] or 0
-    numerical = {r.k: r.real and (not r.whole or params.int_as_numerical) for r in rows}
-    named = {r.k: r.s for r in flat.where(F.col("k").isin([k for k, n in numerical.items() if not n])).groupBy("k").agg(F.sort_array(F.collect_set("c")).alias("s")).collect()}
-    return [CsvColumn(numerical.get(k, False), named.get(k, [])) for k in range(width)]
+    c = F.col("c")
+    kinds = flat.groupBy("k").agg(F.bool_or(c.rlike(whole)).alias("whole"), F.bool_or(c.rlike(real) & ~c.rlike(whole)).alias("real"), F.bool_or(~c.rlike(real)).alias("word")).collect()
+    for r in kinds:
+        if r.word and (r.real or (r.whole and params.int_as_numerical)):
+            raise ValueError(f"column {r.k} has both words and numbers")
+    numerical = {r.k: not r.word and (r.real or params.int_as_numerical) for r in kinds}
+    named = [k for k, n in numerical.items() if not n]
+    different = flat.where(F.col("k").isin(named)).distinct()
+    counts = {r.k: r["count"] for r in different.groupBy("k").count().collect()} if named else {}
+    small = [k for k, n in counts.items() if n <= PLAN_CATEGORIES]
+    lists = {r.k: r.s for r in different.where(F.col("k").isin(small)).groupBy("k").agg(F.sort_array(F.collect_list("c")).alias("s")).collect()} if small else {}
+    out = []
+    for k in range(width or 0):
+        many = counts.get(k, 0)
+        table = _numbered(different.where(F.col("k") == k).select("c"), ["c"])[0].withColumnRenamed("n", "id") if many > PLAN_CATEGORIES else None
+        out.append(CsvColumn(numerical.get(k, False), lists.get(k, []), many, table))
+    return out
 
 
 def encode(cells: DataFrame, columns: list[CsvColumn], params: CsvParams = CsvParams()) -> DataFrame:
     """(input, target): arrays of the encoded columns; rows with a missing cell are left out unless missing counts as zero."""
+    rows = cells if params.missing_as_zero else cells.where(~F.exists("cells", lambda c: c.isNull()))
+    for k, column in enumerate(columns):
+        if column.table is not None:
+            table = column.table.select(F.col("c").alias(f"_c{k}"), F.col("id").alias(f"_id{k}"))
+            table = F.broadcast(table) if column.n_categories <= BROADCAST_ELEMENTS else table
+            rows = rows.withColumn(f"_at{k}", F.get("cells", F.lit(k))).join(table, F.col(f"_at{k}") == F.col(f"_c{k}"), "left")
 
     def one(k: int, column: CsvColumn) -> Column:
         c = F.get("cells", F.lit(k))
         if column.numerical:
             return F.array(F.coalesce(c.cast("double"), F.lit(0.0)))
-        at = F.coalesce(F.array_position(F.array(*map(F.lit, column.categories)), c) - 1, F.lit(0)) if column.categories else F.lit(0)
-        n, target = len(column.categories), k in params.target_columns
+        n, target = column.n_categories, k in params.target_columns
+        at = F.col(f"_id{k}") if column.table is not None else F.array_position(F.array(*map(F.lit, column.categories)), c) - 1 if n else F.lit(0)
+        at = F.coalesce(at, F.lit(0))
         if params.ordered_int or (n == 2 and not target):
             return F.array(at.cast("double"))
         if n <= 1:
             return F.array().cast("array<double>")
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: (x == at).cast("double"))
 
-    rows = cells if params.missing_as_zero else cells.where(~F.exists("cells", lambda c: c.isNull()))
     join = lambda ks: F.concat(*(one(k, columns[k]) for k in ks)) if ks else F.array().cast("array<double>")
     inputs = [k for k in range(len(columns)) if k not in params.target_columns]
     return rows.select(join(inputs).alias("input"), join(list(params.target_columns)).alias("target"))
+
+
+def csv_info(cells: DataFrame, columns: list[CsvColumn], params: CsvParams = CsvParams()) -> str:
+    """The columns' types and the first five rows, as text."""
+    lines = []
+    for k, c in enumerate(columns):
+        kind = "numerical" if c.numerical else f"categorical with {c.n_categories} values" + (f": {', '.join(c.categories)}" if c.categories else "")
+        lines.append(f"{'target' if k in params.target_columns else 'column'} {k}: {kind}")
+    lines.append("|".join(f"{f'*{k}*' if k in params.target_columns else k:^17}" for k in range(len(columns))))
+    for r in cells.limit(5).collect():
+        lines.append("|".join(f"{'?' if x is None else x[:17]:^17}" for x in r["cells"]))
+    return "\n".join(lines)
+
+
+def load_csv(spark, path: str, params: CsvParams = CsvParams()) -> DataFrame:
+    """(input, target) of a file, typed and encoded."""
+    cells = read_cells(spark, path, params)
+    return encode(cells, infer_columns(cells, params), params)
+
+
+# -- splits ------------------------------------------------------------------------------------------------------------
+def save_split(parts: dict[str, Dataset], path: str) -> None:
+    """Each part under its name."""
+    for name, part in parts.items():
+        part.save(f"{path}/{name}")
+
+
+def load_split(spark, path: str, names: Sequence[str] = ("trn", "val", "tst")) -> dict[str, Dataset]:
+    return {name: Dataset.load(spark, f"{path}/{name}") for name in names}
+
+
+def map_split(parts: dict[str, Dataset], fn: Callable[[Dataset], Dataset]) -> dict[str, Dataset]:
+    return {name: fn(part) for name, part in parts.items()}

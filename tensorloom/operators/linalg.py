@@ -6,7 +6,8 @@ size set by the number of features, which is checked against ``MAX_FEATURES`` be
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -56,12 +57,40 @@ def invert(t: TensorFrame) -> TensorFrame:
     return _batched(t, one, 2, t.shape[-2:])
 
 
+def _split(t: TensorFrame, fn: Callable[[np.ndarray], Sequence[np.ndarray]], shapes: Sequence[tuple[int, ...]]) -> list[TensorFrame]:
+    """As ``_batched`` for functions with several results: each matrix is gone through once, and the results are kept."""
+    m, n = t.shape[-2:]
+    if m * n > MAX_FEATURES**2:
+        raise ValueError(f"a {m} x {n} matrix is too large for one task")
+    lead = _i(t.n_dims - 2)
+    row, column = f"i{t.n_dims - 2}", f"i{t.n_dims - 1}"
+
+    def solve(key, table: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((m, n))
+        a[table[row], table[column]] = table["v"]
+        made = {c: [key[k]] for k, c in enumerate(lead)}
+        return pd.DataFrame(made | {f"p{k}": [np.asarray(x, float).reshape(-1)] for k, x in enumerate(fn(a))})
+
+    schema = ", ".join([*(f"{c} long" for c in lead), *(f"p{k} array<double>" for k in range(len(shapes)))])
+    grouped = t.df.groupBy(*lead) if lead else t.df.withColumn("_all", F.lit(0)).groupBy("_all")
+    found, out = grouped.applyInPandas(solve, schema).persist(), []
+    for k, shape in enumerate(shapes):
+        flat = found.select(*lead, F.posexplode(f"p{k}").alias("_at", "v")).withColumn("_at", F.col("_at").cast("long"))
+        whole = TensorFrame(flat.withColumnRenamed("_at", f"i{len(lead)}"), [*t.shape[:-2], math.prod(shape)])
+        out.append(whole.reshape([*t.shape[:-2], *shape]))
+    return out
+
+
 def svd(t: TensorFrame) -> tuple[TensorFrame, TensorFrame, TensorFrame]:
-    """Full U, singular values and V (not transposed)."""
+    """Full U, singular values and V (not transposed), from one decomposition."""
     m, n = t.shape[-2:]
-    u = _batched(t, lambda a: np.linalg.svd(a)[0], 2, (m, m))
-    s = _batched(t, lambda a: np.linalg.svd(a, compute_uv=False), 1, (min(m, n),))
-    return u, s, _batched(t, lambda a: np.linalg.svd(a)[2].T, 2, (n, n))
+
+    def one(a: np.ndarray):
+        u, s, vt = np.linalg.svd(a)
+        return u, s, vt.T
+
+    u, s, v = _split(t, one, [(m, m), (min(m, n),), (n, n)])
+    return u, s, v
 
 
 def pseudo_invert(t: TensorFrame, r_cond: float = 1e-15) -> TensorFrame:
@@ -77,7 +106,8 @@ def pseudo_invert(t: TensorFrame, r_cond: float = 1e-15) -> TensorFrame:
 def symmetric_eigen(t: TensorFrame, part: str = "L") -> tuple[TensorFrame, TensorFrame]:
     """Eigenvalues ascending, and eigenvectors in columns."""
     n = t.shape[-1]
-    return _batched(t, lambda a: np.linalg.eigh(a, part)[0], 1, (n,)), _batched(t, lambda a: np.linalg.eigh(a, part)[1], 2, (n, n))
+    values, vectors = _split(t, lambda a: np.linalg.eigh(a, part), [(n,), (n, n)])
+    return values, vectors
 
 
 # -- whitening ---------------------------------------------------------------------------------------------------------
@@ -92,24 +122,32 @@ class Whitening:
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, n_comps: int | None = None, zca: bool = False) -> Whitening:
-        """Mean and covariance (divided by n) from one pass of blocked partial sums."""
-        width = df.select(F.size(column).alias("n")).first()["n"]
+        """Mean and covariance (divided by n) from one pass of blocked partial sums about a pilot row.
+
+        Sums about a row of the data keep the digits that sums about zero lose where means are large beside deviations.
+        """
+        first = df.select(F.col(column).alias("a")).where("a IS NOT NULL").first()
+        if first is None:
+            raise ValueError("there are no rows to learn from")
+        pilot = np.asarray(first["a"], float)
+        width = len(pilot)
         if width > MAX_FEATURES:
             raise ValueError(f"{width} features are too many for a covariance matrix")
 
         def moments(batches):
             n, total, square = 0, np.zeros(width), np.zeros((width, width))
             for table in batches:
-                x = np.stack(table[column].to_numpy()).astype(float)
+                if not len(table):
+                    continue
+                x = np.stack(table[column].to_numpy()).astype(float) - pilot
                 n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
-            yield pd.DataFrame({"n": [n], "total": [total.tolist()], "square": [square.reshape(-1).tolist()]})
-
-        parts = df.select(column).mapInPandas(moments, "n long, total array<double>, square array<double>")
-        add = lambda name: parts.select(F.posexplode(name).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
-        n = parts.agg(F.sum("n")).first()[0]
-        mean = add("total").toPandas().sort_values("k")["x"].to_numpy() / n
-        square = add("square").toPandas().sort_values("k")["x"].to_numpy().reshape(width, width) / n
-        values, vectors = np.linalg.eigh(square - np.outer(mean, mean))
+            yield pd.DataFrame({"sums": [np.concatenate([[n], total, square.reshape(-1)])]})
+
+        parts = df.where(F.col(column).isNotNull()).select(column).mapInPandas(moments, "sums array<double>")
+        found = parts.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).toPandas().sort_values("k")["x"].to_numpy()
+        n, shift, square = found[0], found[1 : width + 1] / found[0], found[width + 1 :].reshape(width, width) / found[0]
+        mean = pilot + shift
+        values, vectors = np.linalg.eigh(square - np.outer(shift, shift))
         order = np.argsort(values)[::-1][: n_comps or width]
         return cls(mean, values[order], vectors[:, order], zca)
 

@@ -84,6 +84,22 @@ def test_csv(spark, tmp_path):
     rows = {(tuple(r.input), tuple(r.target)) for r in D.encode(cells, columns).collect()}
     assert rows == {((1, 0, 0, 0.5, 0, 0, 1), (0, 1)), ((0, 0, 1, 1.5, 0, 1, 0), (0, 1)), ((1, 0, 0, 2.0, 0, 0, 1), (1, 0))}
     assert D.encode(cells, columns, D.CsvParams(missing_as_zero=True)).count() == 4
+    text = tmp_path / "b.txt"
+    text.write_text('1 2 3\n"x,y",4 5\n\n"a ""b""",?,?\n')
+    assert [r["cells"] for r in D.read_cells(spark, str(text)).collect()] == [["1", "2", "3"], ["x,y", "4", "5"], ['a "b"', None, None]]
+    text.write_text("".join(f"w{k:03d},{k % 3},{k / 2}\n" for k in range(100)))
+    wide = D.read_cells(spark, str(text))
+    typed = D.infer_columns(wide)
+    assert (typed[0].n_categories, typed[0].table is not None, typed[1].categories, typed[2].numerical) == (100, True, ["0", "1", "2"], True)
+    coded = D.encode(wide, typed).collect()
+    assert sorted(r.target.index(1.0) for r in coded) == list(range(100)) and all(sum(r.target) == 1 and len(r.input) == 4 for r in coded)
+    assert "column 2: numerical" in D.csv_info(wide, typed) and D.load_csv(spark, str(text)).count() == 100
+    text.write_text("1.5,a\nword,b\n")
+    with pytest.raises(ValueError, match="words and numbers"):
+        D.infer_columns(D.read_cells(spark, str(text)))
+    text.write_text("1,2\n3\n")
+    with pytest.raises(ValueError, match="cells"):
+        D.infer_columns(D.read_cells(spark, str(text)))
     numbers = D.CsvParams(int_as_numerical=True)
     assert D.infer_columns(cells, numbers)[1].numerical
 
@@ -106,3 +122,24 @@ def test_files(spark, tmp_path):
     np.testing.assert_array_equal(S.tensor_of(S.read_idx(spark, str(tmp_path / "i.gz"))).numpy(), np.arange(6).reshape(2, 3))
     S.save_numpy(t, str(tmp_path / "o.npy"))
     np.testing.assert_array_equal(np.load(tmp_path / "o.npy"), x)
+
+
+def test_splits_rows_and_templates(spark, tmp_path, sequences):
+    data = D.Dataset.of_samples(spark.createDataFrame([(k, float(k)) for k in range(20)], "k long, x double"), ["k"])
+    D.save_split(data.split(), str(tmp_path / "s"))
+    parts = D.map_split(D.load_split(spark, str(tmp_path / "s")), lambda p: p.map(lambda c, v: v + 1))
+    assert {n: p.n_samples for n, p in parts.items()} == {"trn": 16, "val": 2, "tst": 2} and [r.x for r in parts["tst"].rows()] == [19.0, 20.0]
+    blank = sequences.template_batch(4)
+    assert blank.count() == 4 * 98 and blank.agg(F.sum("x")).first()[0] == 0
+
+
+def test_one_long_sequence_among_short_ones(spark, monkeypatch):
+    """Steps are numbered across buckets, so no sequence is one task's work."""
+    from tensorloom.operators import frame
+
+    monkeypatch.setattr(frame, "BUCKET_ROWS", 500)
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 10 < 6 THEN 0 ELSE id % 10 END AS s", "id AS k", "id * 1.0 AS x").repartition(7)
+    data = D.Dataset.of_sequences(rows, "s", ["k"])
+    found = data.df.groupBy("sample_id").agg(F.count("step").alias("n"), F.countDistinct("step").alias("d"), F.max("step").alias("m"), F.min("s").alias("s")).collect()
+    assert {(r.s, r.n) for r in found} == {(0, 3000), *((s, 500) for s in (6, 7, 8, 9))} and all(r.d == r.n == r.m + 1 for r in found)
+    assert data.n_steps == 3000 and data.ragged

@@ -38,6 +38,16 @@ def test_whitening(spark):
     assert len(L.Whitening.fit(df, "x", 2).transform(df, "x").first().x) == 2
 
 
+def test_whitening_of_large_means(spark):
+    """Means of 1e8 beside deviations of 1."""
+    x = RNG.normal(size=(400, 3)) * [1.0, 2.0, 3.0] + 1e8
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "k long, x array<double>").repartition(4)
+    w = L.Whitening.fit(df, "x")
+    np.testing.assert_allclose(np.sort(w.variances), np.sort(np.linalg.eigvalsh(np.cov((x - 1e8).T, bias=True))), rtol=1e-6)
+    with pytest.raises(ValueError, match="no rows"):
+        L.Whitening.fit(df.limit(0), "x")
+
+
 def test_exact():
     rng = random.Random(234)
     for _ in range(60):
