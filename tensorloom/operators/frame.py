@@ -7,8 +7,9 @@ Nothing is computed before an action, and nothing passes through the driver.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce as fold
 
 import numpy as np
@@ -25,6 +26,8 @@ REMAINDER = -1
 BROADCAST_ELEMENTS = 100_000
 #: Elements of an axis that one window of ``diff_axis`` covers.
 DIFF_BLOCK = 4096
+#: Single products from which matrices are multiplied in tiles, and the rows and columns of a tile.
+TILED_PRODUCTS, TILE = 50_000_000, 512
 #: Elements of an axis that one task multiplies at a time where a product of integers must wrap around.
 PRODUCT_BLOCK = 1024
 
@@ -126,6 +129,15 @@ class TensorFrame:
         """A matrix from one array column per row."""
         return cls(df.select(F.col(row).cast("long").alias("i0"), F.posexplode(array).alias("i1", "v")).withColumn("i1", F.col("i1").cast("long")), shape)
 
+    @classmethod
+    def of_seq(cls, spark: SparkSession, values, shape: Sequence[int]) -> TensorFrame:
+        """The first elements of an iterable in row-major order; ValueError if there are too few."""
+        shape = tuple(shape)
+        found = list(itertools.islice(values, math.prod(shape)))
+        if len(found) < math.prod(shape):
+            raise ValueError(f"{len(found)} values for {shape}")
+        return cls.of_numpy(spark, np.array(found).reshape(shape))
+
     # -- reading ---------------------------------------------------------------------------------------------------
     @property
     def n_dims(self) -> int:
@@ -152,6 +164,30 @@ class TensorFrame:
             out[tuple(table[f"i{k}"].to_numpy() for k in range(self.n_dims))] = table["v"].to_numpy() if self.n_dims else table["v"].iloc[0]
         return out
 
+    def to_list(self) -> list:
+        """Nested lists; for small tensors."""
+        return self.numpy().tolist()
+
+    def elements(self) -> Iterator[tuple[tuple[int, ...], object]]:
+        """(indices, value) in row-major order, one partition at a time."""
+        for r in self.df.orderBy(*_i(self.n_dims)).toLocalIterator():
+            yield tuple(r[: self.n_dims]), r["v"]
+
+    def pretty(self, most: int = 10) -> str:
+        """The first elements of every axis as text."""
+        shown = self.slice(*((0, min(n, most) - 1) for n in self.shape)).numpy() if self.n_elems else np.zeros(self.shape)
+        more = any(n > most for n in self.shape)
+        return f"{self.dtype}{list(self.shape)}{' (beginning)' if more else ''}\n{shown}"
+
+    def copy(self) -> TensorFrame:
+        """This tensor computed once and kept by the executors."""
+        return TensorFrame(self.df.persist(), self.shape)
+
+    @property
+    def is_broadcasted(self) -> bool:
+        """Elements are rows of their own here, so no axis repeats one without holding it."""
+        return False
+
     def element(self, *index: int):
         for n, i in zip(self.shape, index, strict=True):
             if not 0 <= i < n:
@@ -639,6 +675,8 @@ class TensorFrame:
         batch = [max(x, y) if 0 not in (x, y) else 0 for x, y in zip(self.shape[:-2], other.shape[:-2], strict=True)]
         a, b = self.broadcast_to([*batch, *self.shape[-2:]]), other.broadcast_to([*batch, *other.shape[-2:]])
         keys = _i(r - 2)
+        if math.prod(batch) * self.shape[-2] * self.shape[-1] * other.shape[-1] > TILED_PRODUCTS and self.dtype not in BITS and other.dtype not in BITS:
+            return a._tiled_dot(b)
         left = a.df.select(*keys, F.col(f"i{r - 2}").alias("row"), F.col(f"i{r - 1}").alias("k"), F.col("v").alias("x"))
         right = b.df.select(*keys, F.col(f"i{r - 2}").alias("k"), F.col(f"i{r - 1}").alias("col"), F.col("v").alias("y"))
         if min(a.n_elems, b.n_elems) <= BROADCAST_ELEMENTS:
@@ -646,12 +684,54 @@ class TensorFrame:
         sums = left.join(right, [*keys, "k"]).groupBy(*keys, "row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
         return TensorFrame(sums.select(*keys, F.col("row").alias(f"i{r - 2}"), F.col("col").alias(f"i{r - 1}"), "v"), [*batch, self.shape[-2], other.shape[-1]])
 
+    def _tiled_dot(self, other: TensorFrame) -> TensorFrame:
+        """Products of tiles with numpy, summed over the tiles of the shared axis.
+
+        A tile is TILE elements long on each side; a tile of the left matrix goes to every column of tiles, and one of the
+        right matrix to every row of tiles, so a task holds three tiles, and what is summed up is a partial result per tile
+        of the shared axis instead of every single product.
+        """
+        r = self.n_dims
+        keys, (m, k), n = _i(r - 2), self.shape[-2:], other.shape[-1]
+        # The shared axis is cut finer where the result is small, as its partial sums are cheap then.
+        deep = TILE if m * n >= TILE * TILE else max(TILE, min(16 * TILE, TILE * TILE * 4 // max(m, n, 1)))
+        tiles = lambda size, length: -(-size // length)
+        spread = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(tiles(size, TILE), 1) - 1).cast("long")))
+        i, j = F.col(f"i{r - 2}"), F.col(f"i{r - 1}")
+        left = self.df.select(*keys, _div(i, TILE).alias("ti"), spread(n).alias("tj"), _div(j, deep).alias("tk"), (i % TILE).alias("p"), (j % deep).alias("q"), F.col("v").cast("double").alias("x"))
+        right = other.df.select(*keys, spread(m).alias("ti"), _div(j, TILE).alias("tj"), _div(i, deep).alias("tk"), (i % deep).alias("p"), (j % TILE).alias("q"), F.col("v").cast("double").alias("x"))
+        on = [*keys, "ti", "tj", "tk"]
+
+        def multiply(key, a, b):
+            import pandas as pd
+
+            *lead, ti, tj, tk = key
+            x = np.zeros((min(TILE, m - ti * TILE), min(deep, k - tk * deep)))
+            y = np.zeros((x.shape[1], min(TILE, n - tj * TILE)))
+            x[a["p"], a["q"]] = a["x"]
+            y[b["p"], b["q"]] = b["x"]
+            out = x @ y
+            rows, columns = np.indices(out.shape).reshape(2, -1)
+            made = {c: np.full(out.size, v, np.int64) for c, v in zip(keys, lead, strict=True)}
+            return pd.DataFrame(made | {f"i{r - 2}": rows + ti * TILE, f"i{r - 1}": columns + tj * TILE, "v": out.reshape(-1)})
+
+        schema = ", ".join([*(f"i{d} long" for d in range(r)), "v double"])
+        parts = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(multiply, schema)
+        sums = parts.groupBy(*_i(r)).agg(F.sum("v").alias("v")) if tiles(k, deep) > 1 else parts
+        return TensorFrame(sums, [*self.shape[:-1], n])
+
+    def dot_trace(self, other: TensorFrame) -> TensorFrame:
+        """The trace of the product of two matrices (or batches): one multiplication and one sum, without the product."""
+        return (self * other.transpose()).reduce("sum", self.n_dims - 1).reduce("sum", self.n_dims - 2)
+
     def tensor_product(self, other: TensorFrame) -> TensorFrame:
         """Kronecker product: axis sizes multiply."""
         n = max(self.n_dims, other.n_dims)
         a, b = self.at_least_nd(n), other.at_least_nd(n)
+        if min(a.n_elems, b.n_elems) > BROADCAST_ELEMENTS:
+            raise ValueError(f"the product of {self.shape} and {other.shape} would have {a.n_elems * b.n_elems} elements: one side must be small")
         right = b.df.select(*(F.col(f"i{k}").alias(f"j{k}") for k in range(n)), F.col("v").alias("w"))
-        both = a.df.crossJoin(F.broadcast(right) if b.n_elems <= BROADCAST_ELEMENTS else right)
+        both = a.df.crossJoin(F.broadcast(right)) if b.n_elems <= BROADCAST_ELEMENTS else F.broadcast(a.df).crossJoin(right)
         return TensorFrame(both.select(*((F.col(f"i{k}") * b.shape[k] + F.col(f"j{k}")).alias(f"i{k}") for k in range(n)), (F.col("v") * F.col("w")).alias("v")), [x * y for x, y in zip(a.shape, b.shape, strict=True)])
 
     # -- putting together --------------------------------------------------------------------------------------------
@@ -693,6 +773,31 @@ class TensorFrame:
         return TensorFrame.init(spark, shape, lambda *i: F.lit(0))._zero_filled(fold(DataFrame.unionByName, rows), parts[0][1].dtype)
 
 
+def covariance_matrix(kernel: Callable[[Column, Column], Column], a: TensorFrame, b: TensorFrame) -> TensorFrame:
+    """kernel(a[i], b[j]) for all pairs of elements of two vectors; one of them must be small enough to be broadcast."""
+    if a.n_dims != 1 or b.n_dims != 1:
+        raise ValueError("a covariance matrix is of two vectors")
+    if min(a.n_elems, b.n_elems) > BROADCAST_ELEMENTS:
+        raise ValueError(f"{a.n_elems} by {b.n_elems} pairs: one side must be small")
+    x, y = a.df.select("i0", F.col("v").alias("x")), b.df.select(F.col("i0").alias("i1"), F.col("v").alias("y"))
+    both = x.crossJoin(F.broadcast(y)) if b.n_elems <= a.n_elems else F.broadcast(x).crossJoin(y)
+    return TensorFrame(both.select("i0", "i1", kernel(F.col("x"), F.col("y")).alias("v")), (a.n_elems, b.n_elems))
+
+
+def broadcast_to_same(*tensors: TensorFrame, dims: Sequence[int] | None = None) -> list[TensorFrame]:
+    """Tensors of one rank and, on all axes or some, of one size: missing axes are added on the left, sizes of 1 repeated."""
+    n = max(t.n_dims for t in tensors)
+    padded = [t.at_least_nd(n) for t in tensors]
+    shapes = [list(t.shape) for t in padded]
+    for k in range(n) if dims is None else dims:
+        sizes = {s[k] for s in shapes} - {1}
+        if len(sizes) > 1:
+            raise ValueError(f"axis {k} has sizes {sorted(sizes)}")
+        for s in shapes:
+            s[k] = next(iter(sizes), 1)
+    return [t.broadcast_to(s) for t, s in zip(padded, shapes, strict=True)]
+
+
 def _div(c: Column, n: int) -> Column:
     """Whole-number division of a long index that is not negative."""
     return c if n == 1 else ((c - c % n) / n).cast("long")

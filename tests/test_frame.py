@@ -197,3 +197,81 @@ def test_differences_over_blocks(t, monkeypatch):
         same(t(x).diff(), np.diff(x))
     x = RNG.normal(size=(3, 10, 2))
     same(t(x).diff_axis(1), np.diff(x, axis=1))
+
+
+def test_tiles_equal_plain_products(t, monkeypatch):
+    from tensorloom.operators import frame
+
+    monkeypatch.setattr(frame, "TILED_PRODUCTS", 0)
+    monkeypatch.setattr(frame, "TILE", 3)
+    for x, y in (((7, 10), (10, 5)), ((2, 4, 7), (2, 7, 3)), ((1, 20), (20, 1)), ((3, 3), (3, 3))):
+        a, b = RNG.normal(size=x), RNG.normal(size=y)
+        same(t(a).dot(t(b)), a @ b)
+    a = RNG.normal(size=(4, 6))
+    same(t(a).dot_trace(t(a.T)), np.trace(a @ a.T))
+
+
+def test_integers_as_in_fixed_width(t, spark):
+    big = np.array([[2**63 - 1, -(2**63), 3], [5, -7, 2**62]])
+    other = np.array([[1, -1, -2], [2, 2, 5]])
+    with np.errstate(over="ignore"):
+        for name, f in {"add": np.add, "subtract": np.subtract, "multiply": np.multiply}.items():
+            same(t(big).binary(name, t(other)), f(big, other))
+        same(-t(big), -big)
+        for axis in (0, 1):
+            same(t(big).reduce("sum", axis), big.sum(axis))
+            same(t(big).reduce("product", axis), big.prod(axis))
+            same(t(big).reduce("max", axis), big.max(axis))
+            same(t(big).reduce("min", axis), big.min(axis))
+        small = t(np.array([100, -7, 7], np.int32)).convert("tinyint")
+        assert (small + small).to_list() == [-56, -14, 14] and (small + small).dtype == "tinyint"
+        many = RNG.integers(-9, 9, 3000) * 2 + 1
+        same(t(many).reduce("product"), many.prod())
+    same(t(np.array([7, -7, 7])) / t(np.array([2, 2, -2])), [3, -3, -3])
+    same(t(np.array([7, -7, 7])) % t(np.array([2, 2, -2])), [1, -1, 1])
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        (t(np.array([1])) / t(np.array([0]))).numpy()
+    a, b = np.array([2**53, 2**53 + 1, 100000]), np.array([2**53 + 1, 2**53 + 1, 100001])
+    assert t(a).is_close(t(b)).to_list() == [False, True, False] and not t(a).almost_equal(t(b))
+    assert t(a).arg_all("max") == [1] and t(big).arg_all("min") == [0, 1] and t(big).arg("max", 1).to_list() == [0, 2]
+    assert t(np.full(3, -(2**63))).arg("max", 0).element() == NOT_FOUND and t(np.full(3, -(2**63))).reduce("max").element() == -(2**63)
+    empty = spark.createDataFrame([], "i0 long, v smallint")
+    assert TensorFrame(empty, (0,)).reduce("max").element() == -(2**15) and TensorFrame(empty, (0,)).reduce("min").element() == 2**15 - 1
+    assert t(np.array([1.9, -1.9, math.nan, 1e30, 300.0])).convert("int").to_list() == [1, -1, -(2**31), -(2**31), 300]
+    assert t(np.array([300, -129, 2**40 + 5])).convert("tinyint").to_list() == [44, 127, 5]
+    assert not t(np.array([1.0, math.inf])).all_finite() and t(big).all_finite()
+
+
+def test_searches(t):
+    x = np.array([[1.0, math.nan, 5.0], [5.0, -math.inf, 1.0]])
+    assert t(x).find_all(5.0) == [0, 2] and t(x).try_find(math.nan) is None and t(x).find(math.nan, 1).to_list() == [NOT_FOUND] * 2
+    assert t(x).arg_all("max") == [0, 2] and t(x).arg_all("min") == [1, 1]
+    with pytest.raises(LookupError):
+        t(x).find_all(7.0)
+    with pytest.raises(ValueError):
+        t(np.array([math.nan])).arg_all("max")
+    assert t(x).linear_to_idx(4) == [1, 1] and t(x).idx_to_linear([1, 1]) == 4
+    same(t(np.arange(4.0)).set_element([2], 9.0), [0, 1, 9, 3])
+
+
+def test_more_shapes(t, spark):
+    from tensorloom.operators.frame import broadcast_to_same, covariance_matrix
+
+    c = t(C)
+    same(c.trace_axis(0, 0) if False else t(C[:, :2, :2]).trace_axis(0, 1), np.einsum("iij->j", C[:, :2, :2]))
+    want = np.zeros((2, 3, 2, 4))
+    for k in range(2):
+        want[k, :, k] = C[k]
+    same(c.diag_mat_axis(0, 2), want)
+    same(c.mapi2(t(A), lambda i, j, k, a, b: a * b + i * 100 + j * 10 + k), C * A + np.fromfunction(lambda i, j, k: i * 100 + j * 10 + k, C.shape))
+    x, y, z = broadcast_to_same(t(A[:, :1]), t(A[:1]), t(C))
+    assert x.shape == y.shape == z.shape == C.shape
+    same(x, np.broadcast_to(A[:, :1], C.shape))
+    x, y = broadcast_to_same(t(A[:, :1]), t(A[:1]), dims=[0])
+    assert (x.shape, y.shape) == ((3, 1), (3, 4))
+    same(TensorFrame.of_seq(spark, iter(range(100)), (2, 3)), np.arange(6).reshape(2, 3))
+    assert list(t(np.array([[1.5, 2.5]])).elements()) == [((0, 0), 1.5), ((0, 1), 2.5)]
+    assert "beginning" in t(np.zeros((3, 20))).pretty() and "double[3, 4]" in t(A).pretty()
+    same(covariance_matrix(lambda a, b: a * b, t(A[0]), t(A[1])), np.outer(A[0], A[1]))
+    table = t(A).summary(["sum", "max", "arg_max", "std"], 1).orderBy("i0").toPandas()
+    np.testing.assert_allclose(table[["sum", "max", "arg_max", "std"]], np.stack([A.sum(1), A.max(1), A.argmax(1), A.std(1)], 1))
