@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions import rational
 from tensorloom.functions.scalar import BINARY, UNARY, cage, is_close, normal_pdf, relu, sigmoid
-from tensorloom.operators import dataset, learn, linalg, scan
-from tensorloom.operators.frame import ALL, TensorFrame
-from tensorloom.operators.loop import Loop
+from tensorloom.operators import dataset, learn, linalg, model, scan, textmodel
+from tensorloom.operators.frame import ALL, TensorFrame, covariance_matrix
+from tensorloom.operators.loop import ITERATION, Channels, Loop, previous
 from tensorloom.plans import elements, expr
+from tensorloom.plans import tensor as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,7 +58,7 @@ def _out(t: TensorFrame, digits: int | None = 6) -> DataFrame:
 def standardize_argmax(spark, sf_dir):
     x = _matrix(spark, sf_dir)
     z = (x - x.reduce("mean", 0)) / (x.reduce("std", 0) + 1e-5)
-    return z.arg("max", 1).df.withColumnRenamed("v", "axis").join(z.reduce("max", 1).df.withColumnRenamed("v", "z"), "i0").withColumn("z", _r(F.col("z")))
+    return z.summary(["arg_max", "max"], 1).select("i0", F.col("arg_max").alias("axis"), _r(F.col("max")).alias("z"))
 
 
 # -- generators --------------------------------------------------------------------------------------------------------
@@ -129,12 +130,8 @@ def _reductions(axis: int, key: str) -> str:
 
 
 def _reduced(x: TensorFrame, axis: int) -> DataFrame:
-    out = None
-    for name in ("sum", "min", "max", "mean", "var", "std", "norm"):
-        c = F.col("v") if name in ("min", "max") else _r(F.col("v"))
-        one = x.reduce(name, axis).df.select("i0", c.alias(name))
-        out = one if out is None else out.join(one, "i0")
-    return out
+    names = ("sum", "min", "max", "mean", "var", "std", "norm")
+    return x.summary(names, axis).select("i0", *(F.col(n) if n in ("min", "max") else _r(F.col(n)).alias(n) for n in names))
 
 
 @query(_reductions(0, "i1"))
@@ -149,9 +146,8 @@ def reduce_axis1(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT round(sum(v), 5) + 0.0 AS sum, max(v) AS max, round(stddev_samp(v), 6) AS std1 FROM e")
 def reduce_all(spark, sf_dir):
-    x = _matrix(spark, sf_dir)
-    s, m, d = x.reduce("sum"), x.reduce("max"), x.reduce("std", ddof=1)
-    return s.df.select(_r(F.col("v"), 5).alias("sum")).crossJoin(m.df.select(F.col("v").alias("max"))).crossJoin(d.df.select(_r(F.col("v")).alias("std1")))
+    out = _matrix(spark, sf_dir).summary(["sum", "max", "std"], ddof=1)
+    return out.select(_r(F.col("sum"), 5).alias("sum"), "max", _r(F.col("std")).alias("std1"))
 
 
 @query(f"WITH {_E} SELECT i0, round(product(1 + v / 10), 6) AS v FROM e GROUP BY i0")
@@ -161,8 +157,7 @@ def product_axis(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT i0, arg_min(i1, struct_pack(a := v, b := i1)) AS least, arg_min(i1, struct_pack(a := -v, b := i1)) AS most FROM e GROUP BY i0")
 def arg_axis(spark, sf_dir):
-    x = _matrix(spark, sf_dir)
-    return x.arg("min", 1).df.withColumnRenamed("v", "least").join(x.arg("max", 1).df.withColumnRenamed("v", "most"), "i0")
+    return _matrix(spark, sf_dir).summary(["arg_min", "arg_max"], 1).select("i0", F.col("arg_min").alias("least"), F.col("arg_max").alias("most"))
 
 
 @query(f"WITH {_E} SELECT i0, coalesce(min(CASE WHEN floor(v * 4) = 1 THEN i1 END), -9223372036854775804) AS v FROM e GROUP BY i0")
@@ -177,7 +172,7 @@ def count_true_all_any(spark, sf_dir):
     out = None
     for n, t in parts.items():
         one = t.df.withColumnRenamed("v", n)
-        out = one if out is None else out.join(one, "i0")
+        out = one if out is None else out.join(F.broadcast(one), "i0")  # a row for each of the 64 columns
     return out
 
 
@@ -198,9 +193,11 @@ def reshape_permute(spark, sf_dir):
     return x.reshape([x.shape[0], 8, -1]).permute_axes([1, 0, 2]).df
 
 
-@query(f"WITH {_E} SELECT i0, i1, CASE WHEN i0 BETWEEN 2 AND 5 AND i1 BETWEEN 0 AND 31 THEN 0.0 ELSE v END AS v FROM e")
+@query(f"WITH {_E} SELECT i0, i1, CASE WHEN i0 BETWEEN 2 AND 5 AND i1 < 32 THEN i1 * 0.5 WHEN i1 = 63 THEN 0.0 ELSE v END AS v FROM e")
 def set_slice(spark, sf_dir):
-    return _matrix(spark, sf_dir).set_slice([(2, 5), (0, 31)], 0.0).df
+    """A tensor that broadcasts to a block of rows, and a number in the last column of every row."""
+    x, ramp = _matrix(spark, sf_dir), TensorFrame.linspace(spark, 0.0, 15.5, 32)
+    return x.set_slice([(2, 5), (0, 31)], ramp).set_slice([ALL, (63, 63)], 0.0).df
 
 
 @query(f"WITH {_E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT i0, i1, v FROM e UNION ALL SELECT i0 + n, i1, -v FROM e, n")
@@ -209,13 +206,8 @@ def concat(spark, sf_dir):
     return TensorFrame.concat(0, [x, -x]).df
 
 
-@query(f"WITH {_E} SELECT i0, r * 64 + i1 AS i1, v FROM e, range(2) t(r) WHERE i0 < 20")
-def replicate(spark, sf_dir):
-    return _matrix(spark, sf_dir).slice((0, 19), ALL).replicate(1, 2).df
-
-
 @query(f"WITH {_E} SELECT i0, r * 64 + i1 AS i1, v FROM e, range(2) t(r)")
-def replicate_whole(spark, sf_dir):
+def replicate(spark, sf_dir):
     return _matrix(spark, sf_dir).replicate(1, 2).df
 
 
@@ -224,17 +216,38 @@ def diff_axis(spark, sf_dir):
     return _out(_matrix(spark, sf_dir).diff_axis(1))
 
 
-@query(f"WITH {_E} SELECT a.i0 AS i0, b.i0 AS i1, CASE WHEN a.i0 = b.i0 THEN a.v ELSE 0.0 END AS v FROM e a, (SELECT DISTINCT i0 FROM e) b WHERE a.i1 = 0 AND a.i0 < 30 AND b.i0 < 30")
-def diag_mat(spark, sf_dir):
-    return _matrix(spark, sf_dir).slice((0, 29), 0).diag_mat().df
+@query(f"WITH {_E}, f AS (SELECT i0 * 64 + i1 AS k, v FROM e) SELECT a.k AS i0, round(b.v - a.v, 6) + 0.0 AS v FROM f a JOIN f b ON b.k = a.k + 1")
+def diff_flat(spark, sf_dir):
+    """Differences along one long vector of all elements."""
+    return _out(_matrix(spark, sf_dir).flatten().diff())
 
 
 @query(f"WITH {_E} SELECT i0, i1, CAST(c AS BIGINT) AS i2, CASE WHEN i1 = c THEN v ELSE 0.0 END AS v FROM e, range(64) t(c)")
-def diag_mat_whole(spark, sf_dir):
+def diag_mat(spark, sf_dir):
     """Every row on the diagonal of its own matrix."""
     return _matrix(spark, sf_dir).diag_mat().df
 
 
+@query(f"WITH {_E} SELECT i0, i1 // 9 AS i1, v FROM e WHERE i1 % 9 = 0")
+def diag(spark, sf_dir):
+    """The diagonals of the rows as matrices of 8 by 8."""
+    x = _matrix(spark, sf_dir)
+    return x.reshape([x.shape[0], 8, 8]).diag().df
+
+
+@query(f"WITH {_E} SELECT i0, round(sum(v), 6) + 0.0 AS v FROM e WHERE i1 % 9 = 0 GROUP BY i0")
+def trace_batched(spark, sf_dir):
+    x = _matrix(spark, sf_dir)
+    return _out(x.reshape([x.shape[0], 8, 8]).trace())
+
+
+@query(f"WITH {_E} SELECT i0, CAST(0 AS BIGINT) AS i1, i1 AS i2, v FROM e WHERE i1 < 48 UNION ALL SELECT i0, 1, i1 - 16, v FROM e WHERE i1 >= 16")
+def concat_blocks(spark, sf_dir):
+    """Two overlapping parts of every row, put together as blocks along a new axis."""
+    x = _matrix(spark, sf_dir)
+    return TensorFrame.concat(1, [x.slice(ALL, (0, 47)).insert_axis(1), x.slice(ALL, (16, 63)).insert_axis(1)]).df
+
+
 # -- masks, gather, scatter ----------------------------------------------------------------------------------------------
 @query(f"WITH {_E}, k AS (SELECT i0, row_number() OVER (ORDER BY i0) - 1 AS n FROM e WHERE i1 = 0 AND v > 0) SELECT n AS i0, i1, v FROM e JOIN k USING (i0)")
 def mask_get(spark, sf_dir):
@@ -248,6 +261,30 @@ def mask_set(spark, sf_dir):
     return x.set_masked(x.map(lambda v: v < 0), -1.0).df
 
 
+@query(f"WITH {_E}, k AS (SELECT i0, i1, row_number() OVER (ORDER BY i0, i1) - 1 AS n FROM e WHERE v > 0.2) SELECT n AS i0, v FROM k JOIN e USING (i0, i1)")
+def mask_get_matrix(spark, sf_dir):
+    """One mask over both axes."""
+    x = _matrix(spark, sf_dir)
+    return x.masked([x.map(lambda v: v > 0.2)]).df
+
+
+@query(f"WITH {_E}, k AS (SELECT i0, i1, row_number() OVER (ORDER BY i0, i1) - 1 AS n FROM e WHERE v > 0.2) SELECT e.i0, e.i1, CASE WHEN n IS NULL THEN v ELSE n * 0.5 END AS v FROM e LEFT JOIN k USING (i0, i1)")
+def mask_set_vector(spark, sf_dir):
+    """Masked elements replaced by a vector, in row-major order."""
+    x = _matrix(spark, sf_dir)
+    mask = x.map(lambda v: v > 0.2)
+    n = mask.reduce("count_true").element()
+    return x.set_masked(mask, TensorFrame.init(spark, (n,), lambda i: i * 0.5)).df
+
+
+@query(f"WITH {_E}, k AS (SELECT i0 FROM e WHERE i1 = 0 AND v > 0) SELECT e.i0, e.i1, CASE WHEN k.i0 IS NOT NULL AND i1 % 2 = 0 THEN -1.0 ELSE v END AS v FROM e LEFT JOIN k USING (i0)")
+def mask_set_axes(spark, sf_dir):
+    """Masks of both axes: some rows by every second column."""
+    x = _matrix(spark, sf_dir)
+    rows, columns = x.slice(ALL, 0).map(lambda v: v > 0), TensorFrame.init(spark, (WIDTH,), lambda i: i % 2 == 0)
+    return x.set_masked([rows, columns], -1.0).df
+
+
 @query(f"WITH {_E}, k AS (SELECT i0, i1, row_number() OVER (ORDER BY i0, i1) - 1 AS n FROM e WHERE v > 0.3) SELECT n AS i0, CAST(0 AS BIGINT) AS i1, i0 AS v FROM k UNION ALL SELECT n, 1, i1 FROM k")
 def true_idx(spark, sf_dir):
     return _matrix(spark, sf_dir).map(lambda v: v > 0.3).true_idx().df
@@ -292,18 +329,12 @@ def dot_vector(spark, sf_dir):
     return _out(x.dot(x.slice(0)))
 
 
-@query(f"WITH {_E}, r AS (SELECT i0 // 10 AS b, i0 % 10 AS r, i1 AS c, v FROM e WHERE i0 < 200) SELECT x.b AS i0, x.r AS i1, y.r AS i2, round(sum(x.v * y.v), 6) + 0.0 AS v FROM r x JOIN r y ON x.b = y.b AND x.c = y.c GROUP BY 1, 2, 3")
-def dot_batched(spark, sf_dir):
-    x = _matrix(spark, sf_dir).slice((0, 199), ALL).reshape([20, 10, WIDTH])
-    return _out(x.dot(x.transpose()))
-
-
 @query(f"""WITH {_E}, n AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT i0, i1, v FROM e UNION ALL
         SELECT i, c, 0.0 FROM n, range(10) k(d), range(64) u(c), LATERAL (SELECT n + d AS i) WHERE i < 10 * CAST(ceil(n / 10) AS BIGINT)),
     r AS (SELECT i0 // 10 AS b, i0 % 10 AS r, i1 AS c, v FROM p)
     SELECT x.b AS i0, x.r AS i1, y.r AS i2, round(sum(x.v * y.v), 6) + 0.0 AS v FROM r x JOIN r y ON x.b = y.b AND x.c = y.c GROUP BY 1, 2, 3""")
-def dot_batched_whole(spark, sf_dir):
-    """As ``dot_batched`` over all rows; rows of zeros fill the last batch of ten."""
+def dot_batched(spark, sf_dir):
+    """Batches of ten rows times themselves; rows of zeros fill the last batch."""
     x = _matrix(spark, sf_dir)
     if x.shape[0] % 10:
         x = TensorFrame.concat(0, [x, TensorFrame.filled(spark, (-x.shape[0] % 10, WIDTH), 0.0)])
@@ -311,14 +342,8 @@ def dot_batched_whole(spark, sf_dir):
     return _out(x.dot(x.transpose()))
 
 
-@query(f"WITH {_E} SELECT a.i0 * 3 + b.i0 AS i0, a.i1 * 4 + b.i1 AS i1, round(a.v * b.v, 6) + 0.0 AS v FROM e a, e b WHERE a.i0 < 5 AND a.i1 < 6 AND b.i0 < 3 AND b.i1 < 4")
-def tensor_product(spark, sf_dir):
-    x = _matrix(spark, sf_dir)
-    return _out(x.slice((0, 4), (0, 5)).tensor_product(x.slice((0, 2), (0, 3))))
-
-
 @query(f"WITH {_E} SELECT a.i0 * 3 + b.i0 AS i0, a.i1 * 4 + b.i1 AS i1, round(a.v * b.v, 6) + 0.0 AS v FROM e a, e b WHERE b.i0 < 3 AND b.i1 < 4")
-def tensor_product_whole(spark, sf_dir):
+def tensor_product(spark, sf_dir):
     """The whole matrix by a fixed block of 3 x 4, so that the result grows with the rows alone."""
     x = _matrix(spark, sf_dir)
     return _out(x.tensor_product(x.slice((0, 2), (0, 3))))
@@ -327,7 +352,7 @@ def tensor_product_whole(spark, sf_dir):
 @query(f"WITH {_E} SELECT round(sum(v * v), 4) AS v FROM e")
 def trace(spark, sf_dir):
     x = _matrix(spark, sf_dir)
-    return _out(x.transpose().dot(x).trace(), 4)
+    return _out(x.transpose().dot_trace(x), 4)
 
 
 @query(f"WITH {_E}, w AS (SELECT i0, i1, v FROM e WHERE i0 < 8) SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM e a JOIN w b USING (i1) GROUP BY 1, 2")
@@ -336,13 +361,14 @@ def elements_contract(spark, sf_dir):
     return _out(scan.contract("ij,kj->ik", x, x.slice((0, 7), ALL)))
 
 
-@query("SELECT CAST(a.s_suppkey AS BIGINT) AS a, CAST(b.s_suppkey AS BIGINT) AS b, round(1.5 * exp(-power((a.s_acctbal - b.s_acctbal) / 1000, 2) / 2), 6) AS k FROM supplier a, supplier b WHERE a.s_nationkey = b.s_nationkey")
-def covariance_matrix(spark, sf_dir):
-    """A squared-exponential kernel between suppliers of one nation."""
-    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), "s_nationkey", F.col("s_acctbal").alias("x"))
-    a, b = s.select(F.col("k").alias("a"), "s_nationkey", F.col("x").alias("xa")), s.select(F.col("k").alias("b"), "s_nationkey", F.col("x").alias("xb"))
-    d = (F.col("xa") - F.col("xb")) / 1000
-    return a.join(b, "s_nationkey").select("a", "b", _r(1.5 * F.exp(-d * d / 2)).alias("k"))
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i0, s_acctbal / 1000 AS x FROM supplier), b AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i1, n_nationkey / 2.5 AS y FROM nation)
+    SELECT i0, i1, round(1.5 * exp(-power(x - y, 2) / 2), 6) AS v FROM a, b""")
+def covariance(spark, sf_dir):
+    """A squared-exponential kernel between the balances of all suppliers and a point for each nation."""
+    a = dataset.Dataset.of_samples(_table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("v")), ["s_suppkey"])
+    b = dataset.Dataset.of_samples(_table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") / 2.5).alias("v")), ["n_nationkey"])
+    x, y = (TensorFrame(d.df.withColumnRenamed("sample_id", "i0"), (d.n_samples,)) for d in (a, b))
+    return _out(covariance_matrix(lambda p, q: 1.5 * F.exp(-(p - q) * (p - q) / 2), x, y))
 
 
 # -- datasets ----------------------------------------------------------------------------------------------------------
@@ -358,9 +384,10 @@ def batches(spark, sf_dir):
     return _orders(spark, sf_dir).batches(64).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(f"WITH {_ORDERS} SELECT b AS batch_id, CAST(64 AS BIGINT) AS n FROM (SELECT unnest(range(CAST(ceil(n / 64) AS BIGINT))) AS b FROM c)")
+@query(f"""WITH {_ORDERS}, p AS (SELECT b * 64 + k AS sample_id FROM c, range(64) t(k), LATERAL (SELECT unnest(range(CAST(ceil(n / 64) AS BIGINT))) AS b))
+    SELECT p.sample_id // 64 AS batch_id, count(*) AS n, round(sum(coalesce(o_totalprice, 0)), 2) AS total, min(coalesce(o_orderkey, 0)) AS least FROM p LEFT JOIN o USING (sample_id) GROUP BY 1""")
 def padded_batches(spark, sf_dir):
-    return _orders(spark, sf_dir).padded_batches(64).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return _orders(spark, sf_dir).padded_batches(64).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderkey").alias("least"))
 
 
 @query(f"WITH {_ORDERS} SELECT CASE WHEN sample_id < floor(0.8 * n) THEN 'trn' WHEN sample_id < floor(0.8 * n) + floor(0.1 * n) THEN 'val' ELSE 'tst' END AS part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM o, c GROUP BY 1")
@@ -372,41 +399,22 @@ def partition_split(spark, sf_dir):
     return out
 
 
-def _sequences(spark, sf_dir, n_steps: int | None = None) -> dataset.Dataset:
-    return dataset.Dataset.of_sequences(_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], n_steps)
-
-
-def _shortest(spark, sf_dir) -> int:
-    """Steps of the shortest sequence, to which the SQL of ``slot_batches`` and ``cut_sequences`` cuts all of them."""
-    return _table(spark, sf_dir, "events").groupBy("user_id").count().agg(F.min("count")).first()[0] or 0
-
-
-_EVENTS = """u AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value FROM events),
-    l AS (SELECT min(n) AS steps FROM (SELECT count(*) AS n FROM events GROUP BY user_id)), s AS (SELECT u.* FROM u, l WHERE step < steps)"""
-
-
-@query(f"WITH {_EVENTS} SELECT sample_id // 16 AS batch_id, step // 8 AS slot_id, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM s GROUP BY 1, 2")
-def slot_batches(spark, sf_dir):
-    return _sequences(spark, sf_dir, _shortest(spark, sf_dir)).slot_batches(16, 8).groupBy("batch_id", "slot_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
-
-
-@query(f"WITH {_EVENTS} SELECT sample_id * CAST(ceil(steps / 7) AS BIGINT) + step // 7 AS sample_id, CAST(7 AS BIGINT) AS n, round(sum(value), 4) + 0.0 AS total FROM s, l GROUP BY 1")
-def cut_sequences(spark, sf_dir):
-    return _sequences(spark, sf_dir, _shortest(spark, sf_dir)).cut_sequences(7).df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
+def _sequences(spark, sf_dir) -> dataset.Dataset:
+    return dataset.Dataset.of_sequences(_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"])
 
 
 _RAGGED = "u AS (SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value FROM events)"
 
 
 @query(f"WITH {_RAGGED} SELECT sample_id // 16 AS batch_id, step // 8 AS slot_id, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM u GROUP BY 1, 2")
-def slot_batches_whole(spark, sf_dir):
-    """As ``slot_batches``, with every step of every sequence."""
+def slot_batches(spark, sf_dir):
+    """Tiles of 16 sequences by 8 steps, with every step of every sequence."""
     return _sequences(spark, sf_dir).slot_batches(16, 8).groupBy("batch_id", "slot_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 
 @query(f"WITH {_RAGGED}, t AS (SELECT sample_id AS s, step // 7 AS cut, sum(value) AS total FROM u GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY s, cut) - 1 AS sample_id, CAST(7 AS BIGINT) AS n, round(total, 4) + 0.0 AS total FROM t")
-def cut_sequences_whole(spark, sf_dir):
-    """As ``cut_sequences``, with every step of every sequence; chunks are numbered through."""
+def cut_sequences(spark, sf_dir):
+    """Chunks of 7 steps of every sequence, the last one filled up; chunks are numbered through."""
     return _sequences(spark, sf_dir).cut_sequences(7).df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 
@@ -432,11 +440,18 @@ def categories(spark, sf_dir):
     return coded.withColumn("width", F.lit(len(columns[0].categories)).cast("long"))
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS n, round(0.5 * f0 + 0.0, 6) AS v FROM (SELECT l_orderkey, l_linenumber, 2 * (((1 - (p - floor(p))) * power(floor(p), 2)) + (p - floor(p)) * power(floor(p) + 1, 2)) AS f0 FROM (SELECT l_orderkey, l_linenumber, l_discount * 40 AS p FROM lineitem))")
+@query("""WITH p AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_discount - 0.02) * 100 AS p FROM lineitem), q AS (SELECT *, least(greatest(p, 0), 5) AS h FROM p)
+    SELECT k, n, round(power(floor(h), 2) + (h - floor(h)) * (2 * floor(h) + 1), 5) + 0.0 AS near, CASE WHEN p >= 0 AND p < 5 THEN round(power(floor(p), 2) + (p - floor(p)) * (2 * floor(p) + 1), 5) + 0.0 ELSE 0.0 END AS zero,
+           CASE WHEN p >= 0 AND p < 5 THEN round(100 * (2 * floor(p) + 1), 4) ELSE 0.0 END AS slope FROM q WHERE abs(p - round(p, 0)) > 1e-6 OR p < -1e-6 OR p > 5 + 1e-6""")
 def interpolate(spark, sf_dir):
-    """Squares of 0..5 over [0, 0.125], linearly between the points."""
-    at = scan.Interpolator(np.arange(6.0) ** 2, [0.0], [0.125])
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), _r(at(F.col("l_discount"))).alias("v"))
+    """Squares of 0..5 over [0.02, 0.07], linearly, with the nearest edge or zero outside, and the slope; discounts that fall
+    exactly on a point are left out, as rounding decides there on which side they are."""
+    table = np.arange(6.0) ** 2
+    near, zero = scan.Interpolator(table, [0.0], [5.0]), scan.Interpolator(table, [0.0], [5.0], "zero")
+    p = (F.col("l_discount") - 0.02) * 100
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), p.alias("p"))
+    rows = rows.where((F.abs(F.col("p") - F.round("p")) > 1e-6) | (F.col("p") < -1e-6) | (F.col("p") > 5 + 1e-6))
+    return rows.select("k", "n", _r(near(F.col("p")), 5).alias("near"), _r(zero(F.col("p")), 5).alias("zero"), F.round(near.derivative(0)(F.col("p")) * 100, 4).alias("slope"))
 
 
 @query("SELECT event_id, round(sum(value * pow(0.9, -k)) OVER (PARTITION BY user_id ORDER BY k) * pow(0.9, k), 8) + 0.0 AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)")
@@ -454,11 +469,26 @@ def pca_variance(spark, sf_dir):
     return spark.createDataFrame([(float(np.round(fit.variances.sum(), 5)), len(fit.variances))], "total_variance double, axes long")
 
 
-@query(f"WITH {_E} SELECT CAST(i1 AS BIGINT) AS axis, 0.0 AS mean, 1.0 AS variance FROM (SELECT DISTINCT i1 FROM e)")
+_PAIR = """m AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice / 1000) AS b, var_pop(l_quantity) AS p, var_pop(l_extendedprice / 1000) AS q, covar_pop(l_quantity, l_extendedprice / 1000) AS c FROM lineitem),
+    d AS (SELECT *, sqrt(p * q - c * c) AS s, sqrt(p + q + 2 * sqrt(p * q - c * c)) AS t FROM m)"""
+
+
+@query(f"WITH {_PAIR} SELECT l_orderkey, l_linenumber, round(((q + s) * (l_quantity - a) - c * (l_extendedprice / 1000 - b)) / (s * t), 5) + 0.0 AS x, round(((p + s) * (l_extendedprice / 1000 - b) - c * (l_quantity - a)) / (s * t), 5) + 0.0 AS y FROM lineitem, d")
 def zca_whitening(spark, sf_dir):
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    white = linalg.Whitening.fit(rows, "a", zca=True).transform(rows, "a").select(F.posexplode("a").alias("axis", "v"))
-    return white.groupBy(F.col("axis").cast("long").alias("axis")).agg(_r(F.abs(F.avg("v"))).alias("mean"), _r(F.var_pop("v")).alias("variance"))
+    """Quantity and price, whitened and rotated back: the inverse square root of a 2 x 2 covariance in closed form."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", F.col("l_extendedprice") / 1000).alias("a"))
+    white = linalg.Whitening.fit(rows, "a", zca=True).transform(rows, "a")
+    return white.select("l_orderkey", "l_linenumber", _r(F.col("a")[0], 5).alias("x"), _r(F.col("a")[1], 5).alias("y"))
+
+
+@query(f"""WITH {_PAIR}, e AS (SELECT *, (p + q) / 2 + sqrt(power((p - q) / 2, 2) + c * c) AS big, (p + q) / 2 - sqrt(power((p - q) / 2, 2) + c * c) AS small FROM d)
+    SELECT l_orderkey, l_linenumber, round(abs(c * (l_quantity - a) + (big - p) * (l_extendedprice / 1000 - b)) / sqrt((c * c + power(big - p, 2)) * big), 5) AS first,
+           round(abs(c * (l_quantity - a) + (small - p) * (l_extendedprice / 1000 - b)) / sqrt((c * c + power(small - p, 2)) * small), 5) AS second FROM lineitem, e""")
+def pca_whitening(spark, sf_dir):
+    """Quantity and price along their principal axes; signs aren't unique, so magnitudes."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", F.col("l_extendedprice") / 1000).alias("a"))
+    white = linalg.Whitening.fit(rows, "a").transform(rows, "a")
+    return white.select("l_orderkey", "l_linenumber", F.round(F.abs(F.col("a")[0]), 5).alias("first"), F.round(F.abs(F.col("a")[1]), 5).alias("second"))
 
 
 @query("SELECT round(regr_intercept(l_extendedprice, l_quantity), 3) AS bias, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope FROM lineitem")
@@ -478,9 +508,9 @@ def logistic_gradient(spark, sf_dir):
     return rows.agg(_r(F.avg(loss.column(bind))).alias("loss"), _r(F.avg(gradient["w"].column(bind))).alias("g_w"), _r(F.avg(gradient["b"].column(bind))).alias("g_b"))
 
 
-@query(f"WITH {_E}, s AS (SELECT i0, i1, exp(v - max(v) OVER (PARTITION BY i0)) AS x FROM e WHERE i1 < 10), t AS (SELECT i0, i1, x / sum(x) OVER (PARTITION BY i0) AS p FROM s) SELECT round(avg(-ln(p)), 6) AS loss, count(*) AS n FROM t JOIN embeddings ON vec_id = i0 AND label = i1")
+@query(f"WITH {_E}, s AS (SELECT i0, i1, exp(v - max(v) OVER (PARTITION BY i0)) AS x FROM e), t AS (SELECT i0, i1, x / sum(x) OVER (PARTITION BY i0) AS p FROM s) SELECT round(avg(-ln(p)), 6) AS loss, count(*) AS n FROM t JOIN embeddings ON vec_id = i0 AND label = i1")
 def softmax_loss(spark, sf_dir):
-    rows = _table(spark, sf_dir, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("a"), "label")
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("a"), "label")
     return rows.agg(_r(learn.softmax_cross_entropy(F.col("a"), F.col("label"))).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
@@ -492,24 +522,36 @@ def model_quality(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT unnest(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word)
-    SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS id FROM c QUALIFY id <= 100""")
+    SELECT word, row_number() OVER (ORDER BY n DESC, word) AS id FROM c QUALIFY id <= 100""")
 def vocabulary(spark, sf_dir):
     """The 100 most frequent words with ids from 1, ties by word."""
-    words = _table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("word")).where("word <> ''")
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(100)
-    return top.withColumn("id", F.row_number().over(Window.orderBy(F.col("n").desc(), "word")).cast("long"))
+    found = textmodel.Vocabulary.of(_table(spark, sf_dir, "documents"), "text", 100)
+    return spark.createDataFrame(list(found.ids.items()), "word string, id long")
 
 
-@query()
+@query(f"""WITH {_E}, g AS (SELECT a.i1 AS i, b.i1 AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i0) GROUP BY 1, 2)
+    SELECT 'inverse' AS kind, 0.0 AS total, 0.0 AS squares, CAST(1 AS BIGINT) AS n UNION ALL
+    SELECT k, round(sum(v) FILTER (i = j), 3), round(sum(v * v), 2), CAST(64 AS BIGINT) FROM g, (VALUES ('eigen'), ('singular')) t(k) GROUP BY k""")
 def svd_inverse(spark, sf_dir):
-    """Residuals of the inverse, the singular values and the eigenvalues of the Gram matrix of all rows."""
+    """Of the Gram matrix of all rows: the largest residual of its inverse, and sums of its eigenvalues and singular values
+    and of their squares, which are its trace and the sum of its squared elements."""
     x = _matrix(spark, sf_dir)
-    gram = x.transpose().dot(x)
+    gram = x.transpose().dot(x).copy()
     unit = gram.dot(linalg.invert(gram)) - TensorFrame.identity(spark, WIDTH)
-    residual = unit.unary("abs").reduce("max").df.select(F.lit("inverse").alias("kind"), F.lit(0).cast("long").alias("k"), _r(F.col("v")).alias("v"))
     values, _ = linalg.symmetric_eigen(gram)
     _, s, _ = linalg.svd(gram)
-    return residual.unionByName(values.df.select(F.lit("eigen").alias("kind"), F.col("i0").alias("k"), _r(F.col("v"), 4).alias("v"))).unionByName(s.df.select(F.lit("singular").alias("kind"), (WIDTH - 1 - F.col("i0")).alias("k"), _r(F.col("v"), 4).alias("v")))
+    sums = lambda t, kind: t.df.agg(F.round(F.sum("v"), 3).alias("total"), F.round(F.sum(F.col("v") * F.col("v")), 2).alias("squares"), F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "total", "squares", "n")
+    residual = unit.unary("abs").reduce("max").df.select(F.lit("inverse").alias("kind"), F.round("v", 6).alias("total"), F.lit(0.0).alias("squares"), F.lit(1).cast("long").alias("n"))
+    return residual.unionByName(sums(values, "eigen")).unionByName(sums(s, "singular"))
+
+
+@query(f"""WITH {_E}, g AS (SELECT a.i1 AS i, b.i1 AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i0) GROUP BY 1, 2) SELECT i AS i0, CAST(round(sum(v), 4) + 0.0 AS DOUBLE) AS v FROM g GROUP BY i""")
+def solve(spark, sf_dir):
+    """The row sums of the Gram matrix, back from its eigenvectors and eigenvalues."""
+    x = _matrix(spark, sf_dir)
+    values, vectors = linalg.symmetric_eigen(x.transpose().dot(x))
+    ones = TensorFrame.ones(spark, (WIDTH,))
+    return _out(vectors.dot(vectors.transpose().dot(ones) * values), 4)
 
 
 @query("""WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS an, 7 + p_partkey % 5 AS ad, 1 - p_partkey % 6 AS bn, 3 + p_partkey % 4 AS bd FROM part),
@@ -549,3 +591,89 @@ def loop_gradient(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value").withColumn("seed", F.lit(1.0))
     loop = Loop(expr.var("state") * 0.5 + expr.var("value"), "user_id", ["ts", "event_id"], "value")
     return loop.adjoints(rows, "seed").select("event_id", _r(F.col("d_value")).alias("d_value"))
+
+
+# -- integers ------------------------------------------------------------------------------------------------------------
+def _line_keys(spark, sf_dir) -> TensorFrame:
+    """Order keys, part keys and dates of all lines as a matrix of 64-bit integers, large and of both signs."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    data = dataset.Dataset.of_samples(rows, ["l_orderkey", "l_linenumber", "l_partkey"])
+    big = F.array(F.col("l_orderkey").cast("long") * 7_000_000_000_000, -F.col("l_partkey").cast("long") * 90_000_000_000_000, F.col("l_linenumber").cast("long"))
+    return TensorFrame.of_rows(data.df.select("sample_id", big.alias("a")), "sample_id", "a", (data.n_samples, 3))
+
+
+_L = "l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i0, l_orderkey, l_linenumber, l_partkey FROM lineitem), x AS (SELECT i0, CAST(l_orderkey AS BIGINT) * 7000000000000 AS a, -CAST(l_partkey AS BIGINT) * 90000000000000 AS b, CAST(l_linenumber AS BIGINT) AS c FROM l)"
+#: SQL of a HUGEINT reduced to 64 bits as integers in two's complement are.
+_WRAP = "CAST((({0} % 18446744073709551616) + 27670116110564327424) % 18446744073709551616 - 9223372036854775808 AS BIGINT)"
+
+
+@query(f"WITH {_L} SELECT i0, {_WRAP.format('(CAST(a AS HUGEINT) * 1000 % 18446744073709551616)')} AS product, {_WRAP.format('(CAST(a AS HUGEINT) + b)')} AS total, b // 7000 AS quotient, b % 7001 AS rest, least(a, b) AS least, a = b AS same FROM x")
+def integer_elements(spark, sf_dir):
+    """Integers that wrap around, are divided towards zero and are compared exactly."""
+    x = _line_keys(spark, sf_dir)
+    a, b = x.slice(ALL, 0), x.slice(ALL, 1)
+    parts = {"product": a * 1000, "total": a + b, "quotient": b / 7000, "rest": b % 7001, "least": a.binary("min_elemwise", b), "same": a.is_close(b)}
+    out = None
+    for n, t in parts.items():
+        one = t.df.withColumnRenamed("v", n)
+        out = one if out is None else out.join(one, "i0")
+    return out
+
+
+@query(f"WITH {_L}, y AS (SELECT i0, 0 AS k, a AS v FROM x UNION ALL SELECT i0, 1, b FROM x UNION ALL SELECT i0, 2, c FROM x) SELECT CAST(k AS BIGINT) AS i0, {_WRAP.format('sum(CAST(v AS HUGEINT))')} AS sum, min(v) AS min, max(v) AS max, arg_min(i0, struct_pack(a := v, b := i0)) AS arg_min, arg_min(i0, struct_pack(a := -v, b := i0)) AS arg_max FROM y GROUP BY k")
+def integer_reductions(spark, sf_dir):
+    """Sums beyond 64 bits, and places of extreme integers that doubles can't tell apart."""
+    return _line_keys(spark, sf_dir).summary(["sum", "min", "max", "arg_min", "arg_max"], 0)
+
+
+@query(f"WITH {_L} SELECT i0, {_WRAP.format('(((CAST(a AS HUGEINT) * b) % 18446744073709551616) * c)')} AS v FROM x")
+def integer_product(spark, sf_dir):
+    return _line_keys(spark, sf_dir).reduce("product", 1).df
+
+
+@query(f"WITH {_E}, f AS (SELECT i0 * 64 + i1 AS pos, v FROM e), m AS (SELECT arg_min(pos, struct_pack(a := -v, b := pos)) AS most, arg_min(pos, struct_pack(a := v, b := pos)) AS least FROM f), s AS (SELECT min(pos) AS seen FROM f WHERE floor(v * 4) = 1) SELECT most // 64 AS max0, most % 64 AS max1, least // 64 AS min0, least % 64 AS min1, seen // 64 AS found0, seen % 64 AS found1 FROM m, s")
+def search_all(spark, sf_dir):
+    """Indices of the greatest and least elements of the whole tensor, and of the first element of a value."""
+    x = _matrix(spark, sf_dir)
+    row = [*x.arg_all("max"), *x.arg_all("min"), *x.map(lambda v: F.floor(v * 4).cast("double")).find_all(1.0)]
+    return spark.createDataFrame([tuple(row)], "max0 long, max1 long, min0 long, min1 long, found0 long, found1 long")
+
+
+# -- tensor expressions, layers, loops of several channels -----------------------------------------------------------------
+@query(f"""WITH {_E}, w AS (SELECT i, (i % 5 - 2) / 10.0 AS w FROM range(64) t(i)), z AS (SELECT i0, tanh(sum(v * w)) AS z FROM e JOIN w ON i = i1 GROUP BY i0)
+    SELECT i1 AS i0, round(sum(2 * z * (1 - z * z) * v), 4) + 0.0 AS v FROM e JOIN z USING (i0) GROUP BY i1""")
+def expression_gradient(spark, sf_dir):
+    """The gradient of the sum of squares of tanh(X w) by w: an expression of tensors, differentiated, as one plan."""
+    x = _matrix(spark, sf_dir)
+    loss = T.total(T.unary("tanh", T.var("x", x.shape) @ T.var("w", (WIDTH,))) ** 2.0)
+    w = TensorFrame.init(spark, (WIDTH,), lambda i: (i % 5 - 2) / 10.0)
+    return _out(loss.gradient(["w"])["w"].frame(spark, {"x": x, "w": w}), 4)
+
+
+@query(f"""WITH {_E}, k AS (SELECT unnest(range(2)) AS k), h AS (SELECT i0, k, tanh(sum(v * ((i1 + k) % 7 - 3) / 20.0) + 0.1 * k) AS h FROM e, k GROUP BY i0, k),
+    o AS (SELECT i0, h.k AS k, h, (sum(h * (CASE WHEN h.k = 0 THEN 0.5 ELSE -0.25 END)) OVER (PARTITION BY i0)) - 0.2 AS p FROM h), y AS (SELECT vec_id AS i0, CAST(label AS DOUBLE) AS y FROM embeddings)
+    SELECT round(avg(power(p - y, 2)) FILTER (k = 0), 6) AS loss, round(avg(2 * (p - y)) FILTER (k = 0), 6) + 0.0 AS g_bias, round(avg(2 * (p - y) * h) FILTER (k = 0), 6) + 0.0 AS g_out0, round(avg(2 * (p - y) * h) FILTER (k = 1), 6) + 0.0 AS g_out1,
+           round(avg(2 * (p - y) * 0.5 * (1 - h * h)) FILTER (k = 0), 6) + 0.0 AS g_hidden0, round(avg(2 * (p - y) * -0.25 * (1 - h * h)) FILTER (k = 1), 6) + 0.0 AS g_hidden1 FROM o JOIN y USING (i0)""")
+def perceptron_gradient(spark, sf_dir):
+    """Loss of a perceptron with a hidden layer over all embeddings, and its gradient by biases and the last layer's weights."""
+    net = model.Perceptron(WIDTH, (2, 1), ("tanh", "identity"), "mse")
+    i, k = np.arange(WIDTH), np.arange(2)[:, None]
+    flat = net.parameters.pack({"layer0.weights": ((i + k) % 7 - 3) / 20.0, "layer0.bias": np.array([0.0, 0.1]), "layer1.weights": np.array([[0.5, -0.25]]), "layer1.bias": np.array([-0.2])})
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("input"), F.array(F.col("label").cast("double")).alias("target"))
+    loss, slopes = model.loss_and_gradient(net, rows, flat)
+    g = net.parameters.unpack(slopes)
+    row = [loss, g["layer1.bias"][0], *g["layer1.weights"][0], *g["layer0.bias"]]
+    return spark.createDataFrame([tuple(round(float(x), 6) + 0.0 for x in row)], "loss double, g_bias double, g_out0 double, g_out1 double, g_hidden0 double, g_hidden1 double")
+
+
+@query("""WITH RECURSIVE k AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+    s(user_id, event_id, k, level, trend, before) AS (
+        SELECT user_id, event_id, k, CAST(value * 0.4 + 0.3 AS DOUBLE), CAST(0.35 AS DOUBLE), CAST(0.0 AS DOUBLE) FROM k WHERE k = 0
+        UNION ALL SELECT k.user_id, k.event_id, k.k, k.value * 0.4 + 0.6 * (s.level + s.trend), 0.3 * (s.level - s.before) + 0.7 * s.trend, s.level FROM s JOIN k ON k.user_id = s.user_id AND k.k = s.k + 1)
+    SELECT event_id, round(level, 5) + 0.0 AS level, round(trend, 5) + 0.0 AS trend, CAST(k AS DOUBLE) AS at FROM s""")
+def loop_channels(spark, sf_dir):
+    """Level and trend along each user's events: two channels, one of which is read two iterations back, and the iteration."""
+    steps = {"level": expr.var("value") * 0.4 + 0.6 * (previous("level") + previous("trend")), "trend": 0.3 * (previous("level") - previous("level", 2)) + 0.7 * previous("trend"), "at": expr.var(ITERATION) + 0.0}
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    out = Channels(steps, "user_id", ["ts", "event_id"], {"level": [0.0, 0.0], "trend": [0.5]}).states(rows)
+    return out.select("event_id", _r(F.col("level"), 5).alias("level"), _r(F.col("trend"), 5).alias("trend"), "at")
