@@ -454,10 +454,11 @@ def interpolate(spark, sf_dir):
     return rows.select("k", "n", _r(near(F.col("p")), 5).alias("near"), _r(zero(F.col("p")), 5).alias("zero"), F.round(near.derivative(0)(F.col("p")) * 100, 4).alias("slope"))
 
 
-@query("SELECT event_id, round(sum(value * pow(0.9, -k)) OVER (PARTITION BY user_id ORDER BY k) * pow(0.9, k), 6) + 0.0 AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)")
+@query("SELECT event_id, round(sum(value / 3 * pow(0.9, -k)) OVER (PARTITION BY user_id ORDER BY k) * pow(0.9, k), 8) + 0.0 AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)")
 def loop_scan(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return scan.exponential_scan(rows, "user_id", ["ts", "event_id"], "value", 0.9, "state").select("event_id", _r(F.col("state"), 6).alias("state"))
+    # Thirds: decayed decimals often end exactly halfway between two roundings.
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") / 3).alias("value"))
+    return scan.exponential_scan(rows, "user_id", ["ts", "event_id"], "value", 0.9, "state").select("event_id", _r(F.col("state"), 8).alias("state"))
 
 
 # -- decompositions and learning ----------------------------------------------------------------------------------------
