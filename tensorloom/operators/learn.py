@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.plans import tensor as T
 from tensorloom.plans.expr import Expr
 
 # -- losses and scores as Columns --------------------------------------------------------------------------------------
@@ -161,6 +162,18 @@ def train(train_rows: DataFrame, validation_rows: DataFrame, loss: Expr, paramet
     return Training(dict(zip(names, map(float, best), strict=True)), log, reason)
 
 
+def cross_entropy(pred: Column, target: Column) -> Column:
+    """Mean over rows of minus the sum of target * log(prediction), for array columns."""
+    return F.avg(-F.aggregate(F.zip_with(target, pred, lambda t, p: t * F.log(p)), F.lit(0.0), lambda a, x: a + x))
+
+
+def normalized(df: DataFrame, column: str, out: str) -> DataFrame:
+    """A column less its mean, over its population deviation unless that is zero; mean and deviation from one aggregate."""
+    mean, deviation = df.agg(F.avg(column), F.stddev_pop(column)).first()
+    shifted = F.col(column) - F.lit(mean)
+    return df.withColumn(out, shifted / F.lit(deviation) if deviation else shifted)
+
+
 # -- Gaussian process --------------------------------------------------------------------------------------------------
 def squared_exponential(length: float, variance: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return lambda a, b: variance * np.exp(-((a[:, None] - b[None, :]) ** 2) / (2 * length**2))
@@ -170,6 +183,25 @@ def linear_kernel() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return lambda a, b: a[:, None] * b[None, :]
 
 
+def gp_prior(x: np.ndarray, kernel, mean: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a Gaussian process at some points, before anything is known; see ``multivariate_normal`` for draws."""
+    return np.full(len(x), float(mean)), kernel(np.asarray(x, float), np.asarray(x, float))
+
+
+def gp_expressions(n_known: int, n_at: int, length: float, variance: float, noise: float = 0.0) -> tuple[T.Tensor, T.Tensor]:
+    """Posterior mean and covariance as expressions of ``known_x``, ``known_y`` and ``at``, with the squared exponential;
+    they can be differentiated by all three."""
+    known, y, at = T.var("known_x", (n_known,)), T.var("known_y", (n_known,)), T.var("at", (n_at,))
+
+    def kernel(a: T.Tensor, b: T.Tensor) -> T.Tensor:
+        d = T.insert_axis(a, 1) - T.insert_axis(b, 0)
+        return variance * T.unary("exp", -(d * d) / (2 * length**2))
+
+    inverse = T.invert(kernel(known, known) + noise * T.identity(n_known))
+    cross = kernel(at, known)
+    return T.dot(cross, T.dot(inverse, y)), kernel(at, at) - cross @ inverse @ cross.T
+
+
 def gp_predict(df: DataFrame, x: str, known_x: np.ndarray, known_y: np.ndarray, kernel, noise: float = 0.0) -> DataFrame:
     """Posterior mean and variance at each row's ``x`` given a small training set (solved once, then applied per row)."""
     if len(known_x) > 5000:

@@ -143,3 +143,45 @@ def test_one_long_sequence_among_short_ones(spark, monkeypatch):
     found = data.df.groupBy("sample_id").agg(F.count("step").alias("n"), F.countDistinct("step").alias("d"), F.max("step").alias("m"), F.min("s").alias("s")).collect()
     assert {(r.s, r.n) for r in found} == {(0, 3000), *((s, 500) for s in (6, 7, 8, 9))} and all(r.d == r.n == r.m + 1 for r in found)
     assert data.n_steps == 3000 and data.ragged
+
+
+def test_exact_integers_and_images(spark, tmp_path):
+    big = np.array([[2**53 + 1, -(2**63)], [2**63 - 1, 0]])
+    np.savez(tmp_path / "z.npz", big=big, flags=np.array([True, False]), small=np.array([1, 2], np.uint8))
+    rows = S.read_numpy(spark, str(tmp_path / "z.npz"))
+    assert S.tensor_of(rows, "big").to_list() == big.tolist() and S.tensor_of(rows, "flags").to_list() == [True, False] and S.tensor_of(rows, "small").to_list() == [1, 2]
+    pixels = np.arange(24, dtype=np.uint8) * 10
+    (tmp_path / "x.gz").write_bytes(gzip.compress(struct.pack(">HBBIII", 0, 8, 3, 4, 2, 3) + pixels.tobytes()))
+    (tmp_path / "y").write_bytes(struct.pack(">HBBI", 0, 8, 1, 4) + bytes([3, 0, 9, 3]))
+    got = S.read_labelled_images(spark, str(tmp_path / "x.gz"), str(tmp_path / "y")).orderBy("record").collect()
+    np.testing.assert_allclose([r.image for r in got], pixels.reshape(4, 6) / 255)
+    assert [r.label.index(1.0) for r in got] == [3, 0, 9, 3] and all(sum(r.label) == 1 for r in got)
+
+
+def test_store(spark, tmp_path):
+    import dataclasses
+
+    @dataclasses.dataclass
+    class Setup:
+        rate: float
+        names: list
+
+    store = S.TensorStore(spark, str(tmp_path / "s"))
+    x = TensorFrame.of_numpy(spark, np.arange(6).reshape(2, 3))
+    store.write("a/b/x", x)
+    assert store.exists("a/b") and store.exists("a/b/x") and not store.exists("c") and store.names("a/b") == ["x"]
+    assert store.read("a/b/x", "bigint").to_list() == x.to_list() and store.data_type("a/b/x") == "bigint"
+    with pytest.raises(FileExistsError):
+        store.write("a/b/x", x)
+    with pytest.raises(TypeError):
+        store.read("a/b/x", "double")
+    store.create_groups("empty/group")
+    store.set_attribute("a/b/x", "unit", "m"), store.set_attribute("a/b/x", "scale", [1, 2])
+    assert store.get_attribute("a/b/x", "scale") == [1, 2] and store.attributes("a/b/x")["unit"] == "m" and store.exists("empty/group")
+    store.set_record("a", Setup(0.5, ["p", "q"]))
+    assert store.get_record("a", Setup) == Setup(0.5, ["p", "q"])
+    S.dump_tensors(spark, str(tmp_path / "d"), {"y": np.ones(2)})
+    assert S.TensorStore(spark, str(tmp_path / "d")).read("y").to_list() == [1.0, 1.0]
+    assert S.TensorStore(spark, str(tmp_path / "s"), overwrite=True).names() == []
+    S.save_json({"setup": Setup(1.0, []), "loss": np.float64(2.5), "x": np.arange(2)}, str(tmp_path / "j"))
+    assert S.load_json(str(tmp_path / "j")) == {"setup": {"rate": 1.0, "names": []}, "loss": 2.5, "x": [0, 1]}

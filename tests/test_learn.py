@@ -117,3 +117,27 @@ def test_parameters_and_image_records(spark, tmp_path):
     (tmp_path / "batch.bin").write_bytes(data.tobytes())
     rows = tensors.read_image_records(spark, str(tmp_path / "batch.bin"), (3, 2, 2)).orderBy("record").collect()
     assert [r.label for r in rows] == data[:, 0].tolist() and [r.image for r in rows] == data[:, 1:].tolist()
+
+
+def test_normalized_and_cross_entropy(spark):
+    rows = [(1.0, 5.0, [0.5, 0.5], [1.0, 0.0]), (3.0, 5.0, [0.2, 0.8], [0.0, 1.0]), (8.0, 5.0, [0.9, 0.1], [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "x double, c double, p array<double>, t array<double>")
+    x = np.array([r[0] for r in rows])
+    np.testing.assert_allclose([r.y for r in L.normalized(df, "x", "y").collect()], (x - x.mean()) / x.std())
+    assert [r.y for r in L.normalized(df, "c", "y").collect()] == [0.0] * 3
+    assert df.agg(L.cross_entropy(F.col("p"), F.col("t"))).first()[0] == pytest.approx(-(np.log(0.5) + np.log(0.8) + np.log(0.9)) / 3)
+
+
+def test_gaussian_process_expressions():
+    from tensorloom.plans import tensor as T
+
+    x, y, at = np.array([-1.0, 0.2, 1.5]), np.array([0.3, -0.5, 0.9]), np.array([-0.4, 0.7])
+    kernel = L.squared_exponential(0.8, 1.3)
+    mean, cov = L.gp_expressions(3, 2, 0.8, 1.3, 0.01)
+    inverse = np.linalg.inv(kernel(x, x) + 0.01 * np.eye(3))
+    bind = {"known_x": x, "known_y": y, "at": at}
+    np.testing.assert_allclose(mean.value(bind), kernel(at, x) @ inverse @ y)
+    np.testing.assert_allclose(cov.value(bind), kernel(at, at) - kernel(at, x) @ inverse @ kernel(x, at), atol=1e-12)
+    assert all(d < 1e-5 for d in T.derivative_deviation(mean, bind).values())
+    m, c = L.gp_prior(at, kernel, 2.0)
+    assert m.tolist() == [2.0, 2.0] and c[0, 0] == 1.3
