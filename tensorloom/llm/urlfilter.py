@@ -14,9 +14,9 @@ equal length that fit one url, the first by code points counts; other columns, w
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -130,9 +130,18 @@ def judge_urls(urls: Sequence[str | None], rules: DigestArray, default: str) ->
     return [h for h, _ in split], [p for _, p in split], names, verdicts
 
 
+#: (application, file) that were given to the executors.
+_given: set[tuple[str, str]] = set()
+
+
 def _distribute(spark, data: bytes) -> str:
-    """Write the array once in the shared folder and have Spark give the file to every executor; its name there."""
-    name = f"rules-{uuid.uuid4().hex}.dig"
+    """Write the array once in the shared folder and have Spark give the file to every executor; its name there.
+
+    The name follows the content, so an application holds each set of rules once however often it is used.
+    """
+    name = f"rules-{hashlib.sha256(data).hexdigest()}.dig"
+    if (spark.sparkContext.applicationId, name) in _given:
+        return name
     target = f"{new_path(spark, 'urlrules')}/{name}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(target)
@@ -140,6 +149,7 @@ def _distribute(spark, data: bytes) -> str:
     stream.write(bytearray(data))
     stream.close()
     spark.sparkContext.addFile(path.getFileSystem(conf).makeQualified(path).toString())
+    _given.add((spark.sparkContext.applicationId, name))
     return name
 
 
