@@ -97,16 +97,14 @@ class PrefixCounter:
         self.late = {t: self.rank[p] for t, p in self.parts.items()}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self._automaton = None
-        #: Of each piece met: the length of the last token of each of its prefixes.
-        self.prefixed: dict[bytes, Sequence[int]] = {}
+        #: Of each piece met, for each of its prefixes: the length of its last token, and its token count.
+        self.prefixed: dict[bytes, tuple[Sequence[int], Sequence[int]]] = {}
         self.chunks: dict[str, int] = {}
-        self._recent: tuple[str, Sequence[int]] = ("", [0])
-        self._long: tuple[bytes, Sequence[int]] = (b"", [0])
+        self._long: tuple[bytes, tuple[Sequence[int], Sequence[int]]] = (b"", ([0], [0]))
 
     def clear(self) -> None:
         """Forget all words met."""
-        self.follows, self.prefixed, self.chunks = {}, {}, {}
-        self._recent, self._long = ("", [0]), (b"", [0])
+        self.follows, self.prefixed, self.chunks, self._long = {}, {}, {}, (b"", ([0], [0]))
 
     def _merged(self, data: bytes) -> list[tuple[bytes, bytes]]:
         """The merges that encode one short piece, in order: the best-ranked neighbours first, leftmost first."""
@@ -142,14 +140,14 @@ class PrefixCounter:
                 # A pair of the same rank across the border stands left of b's own and would have come first.
                 undone, b = y + 1, parts[b][0]
 
-    def _lengths(self, data: bytes) -> Sequence[int]:
-        """Of every prefix of one short piece, the length of its last token."""
+    def _pass(self, data: bytes) -> tuple[Sequence[int], Sequence[int]]:
+        """Of every prefix of one short piece, the length of its last token and its token count."""
         n = len(data)
         known, at = None, n
         while known is None and at > 1:  # a word met before that this one continues
             at -= 1
             known = self.prefixed.get(data[:at])
-        size = [*known] if known is not None else [0]
+        size, count = ([*known[0]], [*known[1]]) if known is not None else ([0], [0])
         tokens, follows, longest = self.tokens, self.follows, self.longest
         for k in range(len(size), n + 1):
             for j in range(k - longest if k > longest else 0, k):
@@ -166,17 +164,18 @@ class PrefixCounter:
                     if not fine:
                         continue
                 size.append(k - j)
+                count.append(count[j] + 1)
                 break
-        return bytes(size)
+        return bytes(size), bytes(count)
 
-    def _long_lengths(self, data: bytes) -> Sequence[int]:
-        """As ``_lengths`` for a piece of any length, in time linear in it: matches of the vocabulary, longest first at each place."""
+    def _long_pass(self, data: bytes) -> tuple[Sequence[int], Sequence[int]]:
+        """As ``_pass`` for a piece of any length, in time linear in it: matches of the vocabulary, longest first at each place."""
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
             for token in self.tokens:
                 self._automaton.add_word(token.decode("latin-1"), token)
             self._automaton.make_automaton()
-        size, follows, done = array("i", bytes(4 * (len(data) + 1))), self.follows, 0
+        size, count, follows, done = array("i", bytes(4 * (len(data) + 1))), array("i", bytes(4 * (len(data) + 1))), self.follows, 0
         for end, token in self._automaton.iter(data.decode("latin-1")):
             k = end + 1
             if k == done:
@@ -191,42 +190,28 @@ class PrefixCounter:
                     fine = follows[pair] = self._neighbours(*pair)
                 if not fine:
                     continue
-            size[k], done = len(token), k
-        return size
+            size[k], count[k], done = len(token), count[j] + 1, k
+        return size, count
 
-    def _sizes(self, data: bytes) -> Sequence[int]:
+    def _table(self, data: bytes) -> tuple[Sequence[int], Sequence[int]]:
         if len(data) >= LONG_PIECE:  # only the last one is kept
             if self._long[0] != data:
-                self._long = (data, self._long_lengths(data))
+                self._long = (data, self._long_pass(data))
             return self._long[1]
-        size = self.prefixed.get(data)
-        if size is None:
-            size = self._lengths(data)
+        found = self.prefixed.get(data)
+        if found is None:
+            found = self._pass(data)
             if len(self.prefixed) >= TABLE_LIMIT:
                 self.prefixed.clear()
-            self.prefixed[data] = size
-        return size
+            self.prefixed[data] = found
+        return found
 
     def piece(self, piece: str) -> Sequence[int]:
         """Counts at every byte prefix of one piece, 0 to its length."""
-        if self._recent[0] == piece:
-            return self._recent[1]
-        size = self._sizes(piece.encode("utf-8", "surrogatepass"))
-        count = array("i", [0])
-        for k in range(1, len(size)):
-            count.append(count[k - size[k]] + 1)
-        self._recent = (piece, count)
-        return count
+        return self._table(piece.encode("utf-8", "surrogatepass"))[1]
 
     def _total(self, piece: str) -> int:
-        """The count of a whole piece, followed back over the last tokens of its prefixes."""
-        data = piece.encode("utf-8", "surrogatepass")
-        size = self._sizes(data)
-        k, total = len(data), 0
-        while k:
-            k -= size[k]
-            total += 1
-        return total
+        return self._table(piece.encode("utf-8", "surrogatepass"))[1][-1]
 
     def _chunk(self, chunk: str) -> int:
         body = chunk[1:] if chunk[0] == " " else chunk
