@@ -149,6 +149,11 @@ class Dataset:
             more = more.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.n_steps - 1).cast("long"))))
         return more.select(*(F.col(c) if c in ("sample_id", "step") else _zero(self.df.schema[c].dataType.simpleString()).alias(c) for c in self.df.columns))
 
+    def persist(self) -> Dataset:
+        """This dataset, kept by the executors once it has been computed."""
+        self.df.persist()
+        return self
+
     def map(self, fn: Callable[[str, Column], Column]) -> Dataset:
         return Dataset(self.df.select("sample_id", *(["step"] if self.n_steps is not None else []), *(fn(c, F.col(c)).alias(c) for c in self.fields)), self.n_samples, self.n_steps, self.ragged)
 
@@ -225,6 +230,36 @@ class Standardization(Normalizer):
         return F.col(c) * scale + mean
 
 
+class WhiteningNormalizer(Normalizer):
+    """PCA or ZCA whitening of numerical columns together; with fewer components, the last columns go and come back by ``inverse``."""
+
+    def __init__(self, n_comps: int | None = None, zca: bool = False):
+        self.n_comps, self.zca = n_comps, zca
+
+    def fit(self, df: DataFrame, columns: Sequence[str]) -> WhiteningNormalizer:
+        from tensorloom.operators.linalg import Whitening
+
+        self.columns = list(columns)
+        self.whitening = Whitening.fit(df.select(self._packed(self.columns).alias("_w")), "_w", self.n_comps, self.zca)
+        return self
+
+    @staticmethod
+    def _packed(columns: Sequence[str]) -> Column:
+        return F.array(*(F.col(c).cast("double") for c in columns))
+
+    def _kept(self) -> list[str]:
+        return self.columns if self.zca else self.columns[: len(self.whitening.variances)]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        moved = self.whitening.transform(df.withColumn("_w", self._packed(self.columns)).drop(*self.columns), "_w")
+        return moved.withColumns({c: F.col("_w")[k] for k, c in enumerate(self._kept())}).drop("_w")
+
+    def inverse(self, df: DataFrame) -> DataFrame:
+        kept = self._kept()
+        moved = self.whitening.inverse(df.withColumn("_w", self._packed(kept)).drop(*kept), "_w")
+        return moved.withColumns({c: F.col("_w")[k] for k, c in enumerate(self.columns)}).drop("_w")
+
+
 def unit_length(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each row's columns divided by their Euclidean norm plus 1e-5."""
     norm = F.sqrt(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))) + 1e-5

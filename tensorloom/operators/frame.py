@@ -290,6 +290,13 @@ class TensorFrame:
             line = _div(line, max(n, 1))
         return self._axes(columns, shape)
 
+    def try_reshape(self, shape: Sequence[int]) -> TensorFrame | None:
+        """As ``reshape``; None where the sizes don't fit."""
+        try:
+            return self.reshape(shape)
+        except ValueError:
+            return None
+
     def flatten(self) -> TensorFrame:
         return self.reshape([REMAINDER]) if self.n_elems else self.reshape([0])
 

@@ -100,6 +100,13 @@ def read_image_records(spark: SparkSession, path: str, shape: tuple[int, ...] =
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, record long, label int, image array<smallint>")
 
 
+def read_scaled_records(spark: SparkSession, path: str, shape: tuple[int, ...] = (3, 32, 32), classes: int = 10) -> DataFrame:
+    """(path, record, image, label) of ``read_image_records``: values divided by 255, labels as one of ``classes``."""
+    rows = read_image_records(spark, path, shape)
+    one = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: (k == F.col("label")).cast("double"))
+    return rows.select("path", "record", F.transform("image", lambda v: v / 255.0).alias("image"), one.alias("label"))
+
+
 def save_parameters(spark: SparkSession, parameters: dict[str, np.ndarray | float], path: str, mode: str = "errorifexists") -> None:
     """Named parameters of a model as one Parquet row each: name, shape, row-major values."""
     rows = [(k, list(np.shape(v)), np.asarray(v, float).reshape(-1).tolist()) for k, v in parameters.items()]

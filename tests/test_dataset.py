@@ -71,6 +71,13 @@ def test_normalizers(spark):
     y = D.Standardization(True).fit(df, ["a", "c"]).transform(df).toPandas()
     np.testing.assert_allclose(y["a"], (x[:, 0] - x[:, 0].mean()) / (x[:, 0].std() + 1e-5))
     assert set(y["c"]) == {0.0, 1.0}
+    for zca in (False, True):
+        w = D.WhiteningNormalizer(zca=zca).fit(df, ["a", "b"])
+        y = w.transform(df)
+        np.testing.assert_allclose(np.cov(y.toPandas()[["a", "b"]].to_numpy().T, bias=True), np.eye(2), atol=1e-9)
+        np.testing.assert_allclose(w.inverse(y).toPandas()[["a", "b"]].to_numpy(), x, atol=1e-9)
+    one = D.WhiteningNormalizer(1).fit(df, ["a", "b"])
+    assert one.transform(df).columns == ["c", "d", "a"] and set(one.inverse(one.transform(df)).columns) == {"a", "b", "c", "d"}
     u = D.unit_length(df, ["a", "b"]).toPandas()[["a", "b"]].to_numpy()
     np.testing.assert_allclose(u, x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-5))
 

@@ -250,6 +250,7 @@ def test_searches(t):
         t(x).find_all(7.0)
     with pytest.raises(ValueError):
         t(np.array([math.nan])).arg_all("max")
+    assert t(x).try_reshape([4, 2]) is None and t(x).try_reshape([3, -1]).shape == (3, 2)
     assert t(x).linear_to_idx(4) == [1, 1] and t(x).idx_to_linear([1, 1]) == 4
     same(t(np.arange(4.0)).set_element([2], 9.0), [0, 1, 9, 3])
 

@@ -117,6 +117,9 @@ def test_parameters_and_image_records(spark, tmp_path):
     (tmp_path / "batch.bin").write_bytes(data.tobytes())
     rows = tensors.read_image_records(spark, str(tmp_path / "batch.bin"), (3, 2, 2)).orderBy("record").collect()
     assert [r.label for r in rows] == data[:, 0].tolist() and [r.image for r in rows] == data[:, 1:].tolist()
+    scaled = tensors.read_scaled_records(spark, str(tmp_path / "batch.bin"), (3, 2, 2), 256).orderBy("record").collect()
+    np.testing.assert_allclose([r.image for r in scaled], data[:, 1:] / 255)
+    assert [r.label.index(1.0) for r in scaled] == data[:, 0].tolist()
 
 
 def test_normalized_and_cross_entropy(spark):

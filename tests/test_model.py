@@ -16,7 +16,7 @@ CASES = {
     "permute": T.permute(s, (1, 2, 0)), "part": T.part(a, (1, 2), (0, 1)), "set_part": T.set_part(a, (1, 1), T.part(b, (0, 1))), "concat": T.concat([a, a * 2.0], 1), "reverse": T.reverse_axis(a, 1),
     "gather": T.gather(a, [T.const([0, 2, 2]), T.const([1, 1, 3])]), "gather_own": T.gather(a, [None, T.const([[1, 3], [0, 0], [2, 2]])]), "scatter": T.scatter(a, [T.const([[0], [1], [0]]), None], (2, 4)),
     "where": T.where(T.binary("greater", a, 0.0), a * a, a), "kronecker": T.tensor_product(a, b), "divide": a / (2.0 + a * a), "sigmoid": T.sigmoid(a), "relu": T.relu(a), "vector": T.dot(w, a), "replicate": T.replicate(a, 0, 2),
-    "build": T.build((5, 4), [((0, 0), a), ((3, 2), T.part(a, (0, 1), (0, 1)))]), "least": T.least(a), "column": T.part(a, 1, T.ALL),
+    "build": T.build((5, 4), [((0, 0), a), ((3, 2), T.part(a, (0, 1), (0, 1)))]), "least": T.least(a), "column": T.part(a, 1, T.ALL), "part_at": T.part_at(a, [1, T.const(2.0)], (2, 2)),
 }
 
 
