@@ -253,7 +253,7 @@ def _joined_further(roots: DataFrame, more: DataFrame) -> DataFrame:
     own = roots.select(F.col("node").alias("x"), "root")
     at = more.join(own.withColumnRenamed("x", "a"), "a", "left").select(F.coalesce("root", "a").alias("a"), "b")
     at = at.join(own.withColumnRenamed("x", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
-    over = materialise(union_find(at).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
+    over = union_find(at).select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return moved.union(over.select(F.col("root").alias("node"), F.col("top").alias("root")))
 
@@ -305,29 +305,24 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), do
     buckets = materialise(buckets.groupBy("members", "who", "who2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("bands")).select("key", ((F.col("members") - 1) * F.col("bands")).alias("weight")), "buckets")
     joined = banded.hint("merge").join(buckets, "key").select("key", "rep", "n", "weight")
     # The class that meets most others is the middle of a group of copies: it leads its buckets.
-    joined = materialise(joined, "joined")
     central = joined.groupBy("rep").agg(F.sum("weight").alias("weight"))
     scored = joined.drop("weight").hint("merge").join(central, "rep")
     leaders = scored.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader"))
     members = materialise(scored.hint("merge").join(leaders, "key").select("key", "leader", "rep", "n"), "members")
-    discard(joined)
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     # One row of text per id even where rows repeat.
     texts = narrow.hint("merge").join(involved, "doc_id").dropDuplicates(["doc_id"])
     sets = materialise(_sets(texts, params), "sets")
 
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialise(verify(star, sets, params.percent), "links")
-    roots = union_find(links)
+    roots = union_find(verify(star, sets, params.percent))
 
     where = members.hint("merge").join(roots, members["rep"] == roots["node"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     mixed = where.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = where.hint("merge").join(mixed, "key").select("rep", "n", "root").distinct()
-    more = materialise(verify(_cross_pairs(rest, sets, params.percent), sets, params.percent), "links")
+    roots = _joined_further(roots, verify(_cross_pairs(rest, sets, params.percent), sets, params.percent))
     for done in (buckets, members, sets):
         discard(done)
-    if not more.isEmpty():
-        roots = _joined_further(roots, more)
 
     class_of = known.join(reps.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep")
     rooted = class_of.join(roots, class_of["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
