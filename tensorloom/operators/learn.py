@@ -23,21 +23,29 @@ def binary_cross_entropy(pred: Column, target: Column) -> Column:
     return F.avg(-target * F.log(pred) - (1 - target) * F.log(1 - pred))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, not once for each element that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(values: Column) -> Column:
     """Of an array column, shifted by its largest element."""
-    shifted = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    shares = lambda xs: _let(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(xs, lambda x: x / total))
+    return _let(F.array_max(values), lambda top: _let(F.transform(values, lambda x: F.exp(x - top)), shares))
+
+
+def _log_total(values: Column) -> Column:
+    """Logarithm of the sum of the elements' exponentials."""
+    return _let(F.array_max(values), lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
 
 
 def log_softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(values, lambda x: x - top - F.log(total))
+    return _let(_log_total(values), lambda total: F.transform(values, lambda x: x - total))
 
 
 def softmax_cross_entropy(values: Column, label: Column) -> Column:
     """Mean of minus the log-softmax at the label (0-based)."""
-    return F.avg(-F.get(log_softmax(values), label))
+    return F.avg(_log_total(values) - F.get(values, label))
 
 
 def l1(weights: np.ndarray) -> float:
