@@ -15,16 +15,18 @@ carried through; an empty table gives an empty table; other columns are not read
 
 from __future__ import annotations
 
+import re
 import secrets
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tensorloom.llm import _tables
 from tensorloom.llm._shared import materialise
@@ -36,6 +38,12 @@ TABLE_LIMIT = 600_000
 SHARES = 1024
 #: White space on which this tokenizer's library and ``str.split`` agree; texts with other white space take the slow way.
 _ODD = "\x1c\x1d\x1e\x1f"
+#: The layout whose words are independent: the normalisers, the pattern that cuts texts, what follows the pattern.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: The same pattern for Python, for lower-cased words of Latin-1 characters.
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
 class WordIds:
@@ -59,16 +67,29 @@ class WordIds:
             spec = json.load(f)
         self.added = [t["content"] for t in spec["added_tokens"]]
         #: Words are independent only if white space never reaches the model and nothing is put around a text.
-        self.by_word = spec["post_processor"] is None and (spec["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("invert") is True and any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"])
-        #: A character that is one token by itself; words without it never have that token.
-        self.mark = "^"
-        alone = self.library.encode(self.mark, add_special_tokens=False).ids
-        self.mark_id = alone[0] if len(alone) == 1 else None
-        self.table: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        split = {"type": "Split", "pattern": _PATTERN, "behavior": "Removed", "invert": True}
+        self.by_word = spec["post_processor"] is None and spec["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS} and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, _BYTES]} and spec["model"].get("end_of_word_suffix") == "</w>"
+        if self.by_word:
+            # Both share the library's model.  A text's added tokens are looked for before it is lower-cased, so lower-cased
+            # words have none.
+            self.words = Tokenizer(self.library.model)
+            self.words.normalizer, self.words.pre_tokenizer = self.library.normalizer, self.library.pre_tokenizer
+            #: For lower-cased words of letters only, which the pattern leaves whole.
+            self.letters = Tokenizer(self.library.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = spec["model"]["vocab"]
+            #: Whether an id is the last of a word of letters.
+            self.ending = np.zeros(max(vocab.values()) + 1, bool)
+            self.ending[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        #: Words of the texts at hand that are not in the table, with the ids they are given.
+        self.unmet: defaultdict[str, bytearray] = defaultdict(bytearray)
+        #: A dictionary that answers for words it lacks with their places in ``unmet``, without a call of Python code.
+        self.Table = type("Table", (dict,), {"__missing__": self.unmet.__getitem__})
+        self.forget()
 
     def forget(self) -> None:
-        self.table, self.older = {}, {}
+        self.table, self.older = self.Table(), {}
+        self.unmet.clear()
 
     def _simple(self, text: str) -> bool:
         """Whether lower-casing and cutting at white space is all that happens before single words are encoded."""
@@ -82,41 +103,69 @@ class WordIds:
             return False
         return True
 
-    def _learn(self, words: list[str]) -> None:
-        """Enter words in the table: those without the mark many at a time with the mark between them, others singly."""
-        plain = [w for w in words if self.mark not in w] if self.mark_id is not None else []
-        other = [w for w in words if self.mark in w] if self.mark_id is not None else words
-        for word, found in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.table[word] = np.array(found.ids, "<u4").tobytes()
-        words = plain
-        joined = [f" {self.mark} ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
-        for k, found in enumerate(self.library.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
+    def _learn(self, words: Collection[str]) -> None:
+        """Enter words in the table, and in their places: those of letters only many at a time, others singly."""
+        table, unmet = self.table, self.unmet
+        other = [w for w in words if not w.isalpha()]
+        words = [w for w in words if w.isalpha()]
+        for k in range(0, len(words), 300):
+            own = words[k : k + 300]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ending[ids]) + 1) * 4
+            if len(ends) != len(own):  # a word without its last token
+                other += own
+                continue
             raw, first = ids.tobytes(), 0
-            for word, end in zip(words[500 * k : 500 * k + 500], ends.tolist(), strict=True):
-                self.table[word] = raw[first:end]
-                first = end + 4
+            for word, end in zip(own, ends.tolist(), strict=True):
+                table[word] = ids = raw[first:end]
+                place = unmet.get(word)
+                if place is not None:
+                    place += ids
+                first = end
+        for word, found in zip(other, self.words.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            table[word] = ids = np.array(found.ids, "<u4").tobytes()
+            place = unmet.get(word)
+            if place is not None:
+                place += ids
+
+    def _fill(self) -> None:
+        """Find the ids of words that are not in the table.
+
+        Words are cut as the pattern cuts them, and their parts are entered in the table.  A word of several parts is
+        entered itself only if all of them were known, as most are not met again.
+        """
+        if len(self.table) + len(self.unmet) > TABLE_LIMIT // 2:
+            self.table, self.older = self.Table(), self.table
+        table, older = self.table, self.older
+        parts_of, new = {}, set()
+        for word, place in self.unmet.items():
+            if word in older:
+                table[word] = ids = older[word]
+                place += ids
+            elif word.isalpha():
+                new.add(word)
+            else:
+                parts_of[word] = parts = _CUT.findall(word)
+                for part in parts:
+                    if part not in table:
+                        if part in older:
+                            table[part] = older[part]
+                        else:
+                            new.add(part)
+        self._learn(new)
+        for word, parts in parts_of.items():
+            ids = b"".join([table[p] for p in parts])
+            self.unmet[word][:] = ids
+            if new.isdisjoint(parts):
+                table[word] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [text.lower().split() if self._simple(text) else None for text in texts]
-        met = set().union(*(ws for ws in words if ws))
-        if len(self.table) + len(met) > TABLE_LIMIT // 2:
-            self.table, self.older = {}, self.table
-        table, older = self.table, self.older
-        unmet = [w for w in met if w not in table]
-        missing = []
-        for w in unmet:
-            ids = older.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
-                table[w] = ids
-        if missing:
-            self._learn(missing)
+        self.unmet.clear()
         look = self.table.__getitem__
-        return [b"".join(map(look, ws)) if ws is not None else np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for ws, text in zip(words, texts, strict=True)]
+        rows = [list(map(look, text.lower().split())) if self._simple(text) else [np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()] for text in texts]
+        self._fill()
+        return [b"".join(ids) for ids in rows]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str, text: str) -> DataFrame:

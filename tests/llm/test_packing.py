@@ -49,6 +49,35 @@ def test_forgotten_words(monkeypatch):
         assert len(coder.table) + len(coder.older) <= 100
 
 
+def test_words_with_signs_equal_the_library():
+    rng = random.Random(6)
+    library, ours = Tokenizer.from_file(PATH), WordIds(PATH)
+    latin = [chr(c) for c in range(33, 256)]
+    signs = ["", "'", "''", "'s", "'ll", "-", "...", "!!", "¿", "«", "²", "½", "7", "42", "ª", "µ", "\xad", "^", "</w>"]
+    texts = [" ".join("".join(rng.choice(latin) for _ in range(rng.randrange(1, 6))) for _ in range(8)) for _ in range(2000)]
+    texts += [" ".join(rng.choice(signs) + rng.choice(["word", "Été", "don't", "it's'", "x"]) + rng.choice(signs) + rng.choice(signs) for _ in range(8)) for _ in range(2000)]
+    for lo in range(0, len(texts), 50):  # later texts meet words of earlier ones
+        part = texts[lo : lo + 50]
+        for text, ids in zip(part, ours.encode(part), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_added_tokens_in_capitals_are_text():
+    library, ours = Tokenizer.from_file(PATH), WordIds(PATH)
+    texts = ["x <|ENDOFTEXT|> y", "<|StartOfText|>", "a<|ENDOFTEXT|>b", "<|endoftext|> <|ENDOFTEXT|>"]
+    for text, ids in zip(texts, ours.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_signs_do_not_make_a_word_new(monkeypatch):
+    coder, learned = WordIds(PATH), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda words: (learned.extend(words), learn(words)))
+    coder.encode(["alpha beta"])
+    coder.encode(["(Alpha), beta! beta; alpha: alpha-beta", "gamma", "\"gamma\""])
+    assert sorted(w for w in learned if any(c.isalpha() for c in w)) == ["alpha", "beta", "gamma"]
+
+
 def test_equal_rows_without_ids_are_ranked_in_many_shares(spark):
     from tensorloom.llm.packing import SHARES, pieces_of
 
