@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.functions import rational
+from tensorloom.functions import rational, scalar
 from tensorloom.functions.scalar import BINARY, UNARY, cage, is_close, normal_pdf, relu, sigmoid
 from tensorloom.operators import dataset, learn, linalg, model, scan, textmodel
 from tensorloom.operators.frame import ALL, TensorFrame, covariance_matrix
@@ -596,10 +596,13 @@ def loop_gradient(spark, sf_dir):
 
 # -- integers ------------------------------------------------------------------------------------------------------------
 def _line_keys(spark, sf_dir) -> TensorFrame:
-    """Order keys, part keys and dates of all lines as a matrix of 64-bit integers, large and of both signs."""
+    """Order keys, part keys and line numbers of all lines as a matrix of 64-bit integers, large and of both signs.
+
+    Keys times these factors wrap around too: from order key 1 317 625 and part key 102 482 on, where the SQL's BIGINT is an error."""
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     data = dataset.Dataset.of_samples(rows, ["l_orderkey", "l_linenumber", "l_partkey"])
-    big = F.array(F.col("l_orderkey").cast("long") * 7_000_000_000_000, -F.col("l_partkey").cast("long") * 90_000_000_000_000, F.col("l_linenumber").cast("long"))
+    times = lambda c, n: scalar.binary("multiply", F.col(c), F.lit(n), "bigint")
+    big = F.array(times("l_orderkey", 7_000_000_000_000), times("l_partkey", -90_000_000_000_000), F.col("l_linenumber").cast("long"))
     return TensorFrame.of_rows(data.df.select("sample_id", big.alias("a")), "sample_id", "a", (data.n_samples, 3))
 
 
