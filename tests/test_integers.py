@@ -17,7 +17,7 @@ def _wide(sql: str) -> str:
     return sql
 
 
-@pytest.mark.parametrize("name", ["integer_elements", "integer_product"])
+@pytest.mark.parametrize("name", ["integer_elements", "integer_product", "integer_reductions"])
 def test_on_large_keys(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     small = spark.read.parquet(f"{SMALL}/lineitem.parquet")
