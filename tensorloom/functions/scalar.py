@@ -126,9 +126,10 @@ def _subtract64(a: Column, b: Column) -> Column:
 def _multiply64(a: Column, b: Column) -> Column:
     low = lambda c: c.bitwiseAND(F.lit(_LOW32))
     ah, al, bh, bl = F.shiftright(a, 32), low(a), F.shiftright(b, 32), low(b)
-    cross = F.shiftleft(low(low(ah * bl) + low(al * bh)), 32)
-    product = _add64(F.shiftleft(F.shiftright(al, 16) * bl, 16), al.bitwiseAND(F.lit(0xFFFF)) * bl)
-    return _add64(cross, product)
+    # All but the last 16 bits, in sums below 2**51, and those 16.
+    least = al.bitwiseAND(F.lit(0xFFFF)) * bl
+    rest = F.shiftleft(low(ah * bl) + low(al * bh), 16) + F.shiftright(al, 16) * bl + F.shiftright(least, 16)
+    return F.shiftleft(rest, 16).bitwiseOR(least.bitwiseAND(F.lit(0xFFFF)))
 
 
 def sum_parts(c: Column) -> list[Column]:

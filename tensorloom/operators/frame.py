@@ -30,6 +30,8 @@ DIFF_BLOCK = 4096
 TILED_PRODUCTS, TILE = 50_000_000, 512
 #: Elements of an axis that one task multiplies at a time where a product of integers must wrap around.
 PRODUCT_BLOCK = 1024
+#: Elements of an axis up to which such a product is made of one aggregate for each of them, which needs no lists.
+PRODUCT_SHORT = 16
 
 
 def _i(n: int) -> list[str]:
@@ -458,7 +460,13 @@ class TensorFrame:
         others = [f"i{k}" for k in range(self.n_dims) if k != axis]
         shape = [s for k, s in enumerate(self.shape) if k != axis]
         value, kind = _aggregate(name, F.col("v"), self.dtype, n, options)
-        df = self.df.groupBy(*others).agg(value.alias("v"))
+        if name == "product" and kind in BITS and 0 < n <= PRODUCT_SHORT:
+            df = self.df.groupBy(*others).agg(*(F.coalesce(F.max(F.when(F.col(f"i{axis}") == k, F.col("v"))), F.lit(1).cast(kind)).alias(f"_{k}") for k in range(n)))
+            df = df.withColumn("v", F.col("_0"))
+            for k in range(1, n):
+                df = df.withColumn("v", scalar.binary("multiply", F.col("v"), F.col(f"_{k}"), kind))
+        else:
+            df = self.df.groupBy(*others).agg(value.alias("v"))
         if n == 0:
             df = TensorFrame.init(self.spark, shape, lambda *i: F.lit(0)).df.crossJoin(self.df.agg(value.alias("w"))).withColumn("v", F.col("w")) if shape else self.df.agg(value.alias("v"))
             others = _i(len(shape))

@@ -595,15 +595,26 @@ def loop_gradient(spark, sf_dir):
 
 
 # -- integers ------------------------------------------------------------------------------------------------------------
+#: What order keys and part keys are multiplied by.
+_BY_ORDER, _BY_PART = 7_000_000_000_000, -90_000_000_000_000
+
+
+def _times(key: Column, factor: int) -> Column:
+    """A key times its factor, wrapped around: from order key 1 317 625 and part key 102 482 on, where the SQL's BIGINT is an error."""
+    return scalar.binary("multiply", key, F.lit(factor), "bigint")
+
+
+def _lines(spark, sf_dir) -> dataset.Dataset:
+    columns = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return dataset.Dataset.of_samples(_table(spark, sf_dir, "lineitem").select(*columns), columns)
+
+
 def _line_keys(spark, sf_dir) -> TensorFrame:
-    """Order keys, part keys and line numbers of all lines as a matrix of 64-bit integers, large and of both signs.
-
-    Keys times these factors wrap around too: from order key 1 317 625 and part key 102 482 on, where the SQL's BIGINT is an error."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    data = dataset.Dataset.of_samples(rows, ["l_orderkey", "l_linenumber", "l_partkey"])
-    times = lambda c, n: scalar.binary("multiply", F.col(c), F.lit(n), "bigint")
-    big = F.array(times("l_orderkey", 7_000_000_000_000), times("l_partkey", -90_000_000_000_000), F.col("l_linenumber").cast("long"))
-    return TensorFrame.of_rows(data.df.select("sample_id", big.alias("a")), "sample_id", "a", (data.n_samples, 3))
+    """Multiples of order keys and part keys, and line numbers, of all lines as a matrix of 64-bit integers, large and of both signs."""
+    data = _lines(spark, sf_dir)
+    keys = data.df.select("sample_id", F.array("l_orderkey", "l_partkey", F.col("l_linenumber").cast("long")).alias("a"))
+    x = TensorFrame.of_rows(keys, "sample_id", "a", (data.n_samples, 3))
+    return x.mapi(lambda i, k, v: F.when(k == 0, _times(v, _BY_ORDER)).when(k == 1, _times(v, _BY_PART)).otherwise(v))
 
 
 _L = "l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i0, l_orderkey, l_linenumber, l_partkey FROM lineitem), x AS (SELECT i0, CAST(l_orderkey AS BIGINT) * 7000000000000 AS a, -CAST(l_partkey AS BIGINT) * 90000000000000 AS b, CAST(l_linenumber AS BIGINT) AS c FROM l)"

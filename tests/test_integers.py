@@ -1,10 +1,15 @@
 """The integer queries on keys whose products with the queries' factors don't fit 64 bits."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tensorloom import queries
+from tensorloom.functions import scalar
+from tensorloom.operators.frame import PRODUCT_SHORT, TensorFrame
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,3 +36,24 @@ def test_on_large_keys(spark, tmp_path, name):
     want = con.execute(_wide(entry.oracle_sql()[name]))
     columns = [c[0] for c in want.description]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
+
+
+def _wrapped(n: int) -> int:
+    return (n + 2**63) % 2**64 - 2**63
+
+
+def test_multiply_wraps(spark):
+    edges = [0, 1, -1, 3, 2**16 - 1, -(2**31), 2**32 - 1, 2**32, -(2**48) + 1, 2**62, 2**63 - 1, -(2**63)]
+    frame = spark.createDataFrame([(a, b) for a in edges for b in edges], "a long, b long")
+    rows = frame.select("a", "b", scalar.binary("multiply", F.col("a"), F.col("b"), "bigint").alias("v")).collect()
+    assert len(rows) == len(edges) ** 2 and all(r["v"] == _wrapped(r["a"] * r["b"]) for r in rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, PRODUCT_SHORT, PRODUCT_SHORT + 1])
+def test_products_of_short_axes(spark, n):
+    x = np.random.default_rng(n).integers(-(2**63), 2**63 - 1, (4, n))
+    t = TensorFrame.of_numpy(spark, x)
+    want = [_wrapped(math.prod(map(int, row))) for row in x]
+    assert t.reduce("product", 1).to_list() == want and t.transpose().reduce("product", 0).to_list() == want
+    assert t.slice(0).reduce("product").element() == want[0] and t.reduce("product", 1, keep=True).shape == (4, 1)
+    assert t.convert("int").reduce("product", 1).dtype == "int"
