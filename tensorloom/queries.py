@@ -625,14 +625,15 @@ _WRAP = "CAST((({0} % 18446744073709551616) + 27670116110564327424) % 1844674407
 @query(f"WITH {_L} SELECT i0, {_WRAP.format('(CAST(a AS HUGEINT) * 1000 % 18446744073709551616)')} AS product, {_WRAP.format('(CAST(a AS HUGEINT) + b)')} AS total, b // 7000 AS quotient, b % 7001 AS rest, least(a, b) AS least, a = b AS same FROM x")
 def integer_elements(spark, sf_dir):
     """Integers that wrap around, are divided towards zero and are compared exactly."""
-    x = _line_keys(spark, sf_dir)
-    a, b = x.slice(ALL, 0), x.slice(ALL, 1)
-    parts = {"product": a * 1000, "total": a + b, "quotient": b / 7000, "rest": b % 7001, "least": a.binary("min_elemwise", b), "same": a.is_close(b)}
-    out = None
-    for n, t in parts.items():
-        one = t.df.withColumnRenamed("v", n)
-        out = one if out is None else out.join(one, "i0")
-    return out
+    data = _lines(spark, sf_dir)
+    pair = F.struct(_times(F.col("l_orderkey"), _BY_ORDER).alias("a"), _times(F.col("l_partkey"), _BY_PART).alias("b"))
+    pairs = TensorFrame(data.df.select(F.col("sample_id").alias("i0"), pair.alias("v")), (data.n_samples,))
+
+    def parts(a, b):
+        made = {"product": ("multiply", a, F.lit(1000)), "total": ("add", a, b), "quotient": ("divide", b, F.lit(7000)), "rest": ("modulo", b, F.lit(7001)), "least": ("min_elemwise", a, b), "same": ("is_close", a, b)}
+        return F.struct(*(scalar.binary(*x, "bigint").alias(n) for n, x in made.items()))
+
+    return pairs.map(lambda v: parts(v["a"], v["b"])).df.select("i0", "v.*")
 
 
 @query(f"WITH {_L}, y AS (SELECT i0, 0 AS k, a AS v FROM x UNION ALL SELECT i0, 1, b FROM x UNION ALL SELECT i0, 2, c FROM x) SELECT CAST(k AS BIGINT) AS i0, {_WRAP.format('sum(CAST(v AS HUGEINT))')} AS sum, min(v) AS min, max(v) AS max, arg_min(i0, struct_pack(a := v, b := i0)) AS arg_min, arg_min(i0, struct_pack(a := -v, b := i0)) AS arg_max FROM y GROUP BY k")
