@@ -32,6 +32,8 @@ TILED_PRODUCTS, TILE = 50_000_000, 512
 PRODUCT_BLOCK = 1024
 #: Elements of an axis up to which such a product is made of one aggregate for each of them, which needs no lists.
 PRODUCT_SHORT = 16
+#: Groups up to which places of extreme elements are found without grouping, as Spark sorts all rows by group for them.
+FEW_GROUPS = 16
 
 
 def _i(n: int) -> list[str]:
@@ -480,17 +482,29 @@ class TensorFrame:
         if axis is None:
             return self.flatten().summary(names, 0, **options)
         others = [f"i{k}" for k in range(self.n_dims) if k != axis]
-        made = []
-        for name in names:
-            if name.startswith("arg_"):
-                usable, order = self._first(name[4:])
-                first = F.min(F.when(usable, F.struct(F.when(usable, order).alias("v"), F.col(f"i{axis}").alias("at"))))["at"]
-                made.append(F.coalesce(first, F.lit(NOT_FOUND)).alias(name))
-            else:
-                value, kind = _aggregate(name, F.col("v"), self.dtype, self.shape[axis], options)
-                made.append(value.cast(kind).alias(name))
-        found = self.df.groupBy(*others).agg(*made)
-        return found.select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(others)), *names)
+        shape = [s for k, s in enumerate(self.shape) if k != axis]
+
+        def made(hit: Column) -> list[Column]:
+            out = []
+            for name in names:
+                if name.startswith("arg_"):
+                    usable, order = self._first(name[4:])
+                    first = F.min(F.when(hit & usable, F.struct(F.when(usable, order).alias("v"), F.col(f"i{axis}").alias("at"))))["at"]
+                    out.append(F.coalesce(first, F.lit(NOT_FOUND)).alias(name))
+                else:
+                    value, kind = _aggregate(name, F.when(hit, F.col("v")), self.dtype, self.shape[axis], options)
+                    out.append(value.cast(kind).alias(name))
+            return out
+
+        if not any(name.startswith("arg_") for name in names) or not others or not 0 < math.prod(shape) <= FEW_GROUPS:
+            found = self.df.groupBy(*others).agg(*made(F.lit(True)))
+            return found.select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(others)), *names)
+        rows = []
+        for at in itertools.product(*map(range, shape)):
+            hit = fold(lambda a, b: a & b, (F.col(c) == i for c, i in zip(others, at, strict=True)))
+            index = (F.lit(i).cast("long").alias(f"i{k}") for k, i in enumerate(at))
+            rows.append(F.when(F.count_if(hit) > 0, F.struct(*index, *made(hit))))
+        return self.df.agg(F.array_compact(F.array(*rows)).alias("_rows")).select(F.inline("_rows"))
 
     def sum(self, axis=None):
         return self.reduce("sum", axis)
@@ -506,9 +520,8 @@ class TensorFrame:
 
     def arg(self, name: str, axis: int) -> TensorFrame:
         """Index of the first least ("min") or greatest ("max") element along an axis; NaN never wins."""
-        usable, order = self._first(name)
-        first = F.min(F.when(usable, F.struct(F.when(usable, order).alias("v"), F.col(f"i{axis}").alias("at"))))["at"]
-        return self._by_axis(axis, F.coalesce(first, F.lit(NOT_FOUND)))
+        df = self.summary([f"arg_{name}"], axis).withColumnRenamed(f"arg_{name}", "v")
+        return TensorFrame(df, [s for k, s in enumerate(self.shape) if k != axis])
 
     def arg_all(self, name: str) -> list[int]:
         """Indices of the first least or greatest element of the whole tensor; ValueError where there is none."""

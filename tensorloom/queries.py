@@ -612,7 +612,7 @@ def _lines(spark, sf_dir) -> dataset.Dataset:
 def _line_keys(spark, sf_dir) -> TensorFrame:
     """Multiples of order keys and part keys, and line numbers, of all lines as a matrix of 64-bit integers, large and of both signs."""
     data = _lines(spark, sf_dir)
-    keys = data.df.select("sample_id", F.array("l_orderkey", "l_partkey", F.col("l_linenumber").cast("long")).alias("a"))
+    keys = data.df.select("sample_id", F.array(*(F.col(c).cast("long") for c in ("l_orderkey", "l_partkey", "l_linenumber"))).alias("a"))
     x = TensorFrame.of_rows(keys, "sample_id", "a", (data.n_samples, 3))
     return x.mapi(lambda i, k, v: F.when(k == 0, _times(v, _BY_ORDER)).when(k == 1, _times(v, _BY_PART)).otherwise(v))
 

@@ -57,3 +57,17 @@ def test_products_of_short_axes(spark, n):
     assert t.reduce("product", 1).to_list() == want and t.transpose().reduce("product", 0).to_list() == want
     assert t.slice(0).reduce("product").element() == want[0] and t.reduce("product", 1, keep=True).shape == (4, 1)
     assert t.convert("int").reduce("product", 1).dtype == "int"
+
+
+@pytest.mark.parametrize("name", ["integer_elements", "integer_product", "integer_reductions"])
+@pytest.mark.parametrize("kind", ["decimal(38,0)", "decimal(20,0)", "int"])
+def test_on_keys_of_other_types(spark, tmp_path, name, kind):
+    duckdb = pytest.importorskip("duckdb")
+    small = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    small.withColumns({c: F.col(c).cast(kind) for c in ("l_orderkey", "l_partkey")}).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = entry.queries()[name](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
