@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tensorloom import queries
 from tensorloom.functions import scalar
-from tensorloom.operators.frame import PRODUCT_SHORT, TensorFrame
+from tensorloom.operators.frame import FEW_GROUPS, PRODUCT_SHORT, TensorFrame
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -71,3 +71,27 @@ def test_on_keys_of_other_types(spark, tmp_path, name, kind):
     want = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("groups", [1, FEW_GROUPS, FEW_GROUPS + 1])
+def test_places_of_few_groups(spark, groups):
+    names = ["sum", "min", "max", "mean", "arg_min", "arg_max"]
+    x = np.random.default_rng(groups).integers(-(2**63) + 1, 2**63 - 1, (40, groups))
+    x[[3, 30], 0] = 2**63 - 2  # a tie of integers that doubles can't tell from their neighbours
+    x[20, 0], x[0, -1] = 2**63 - 3, -(2**63)
+    want = [(k, _wrapped(sum(map(int, c))), int(c.min()), int(c.max()), int(np.argmin(c)), int(np.argmax(c))) for k, c in enumerate(x.T)]
+    for t, axis in ((TensorFrame.of_numpy(spark, x), 0), (TensorFrame.of_numpy(spark, x).transpose(), 1)):
+        found = t.summary(names, axis)
+        assert sorted(map(tuple, found.drop("mean").collect())) == want
+        assert [c for c, _ in found.dtypes] == ["i0", *names] and {k for _, k in found.dtypes} == {"bigint"}
+        assert t.arg("max", axis).to_list() == [r[-1] for r in want]
+        # Spark sorts all rows for such places by group; where groups are few, none are sorted.
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("Sort [" in plan) == (groups > FEW_GROUPS)
+
+
+def test_places_of_few_groups_of_reals(spark):
+    nan = math.nan
+    x = np.array([[nan, 2.0, nan], [1.0, 2.0, nan], [-3.0, -math.inf, nan]])
+    rows = TensorFrame.of_numpy(spark, x).summary(["arg_min", "arg_max", "max"], 0).orderBy("i0").collect()
+    assert [tuple(r) for r in rows][:2] == [(0, 2, 1, 1.0), (1, 2, 0, 2.0)] and tuple(rows[2])[:3] == (2, scalar.NOT_FOUND, scalar.NOT_FOUND)
